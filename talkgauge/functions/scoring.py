@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,8 +66,8 @@ def word_hits(text: Column, words: tuple[str, ...] = COMMON_WORDS) -> Column:
     The count of a newline-joined bundle is the sum of the counts of its
     messages, so a bundle can be scored without ever joining its text.
     """
-    tokens = F.split(F.lower(text), r"\s+")
-    return F.size(F.filter(tokens, lambda w: w.isin(*words)))
+    listed = "|".join(re.escape(w) for w in words)
+    return F.regexp_count(F.lower(text), F.lit(rf"(?<!\S)(?:{listed})(?!\S)"))
 
 
 def score_from_hits(hits: Column) -> Column:

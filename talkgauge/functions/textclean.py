@@ -33,7 +33,7 @@ _SOLID = r"[^\s\x1c-\x1f]"
 
 def _unicode(pattern: str) -> str:
     """The pattern with Unicode classes; blanks as Python sees them."""
-    return "(?U)" + pattern.replace(r"\S", _SOLID).replace(r"\s", _BLANK)
+    return "(?U)" + pattern.replace(r"\s", _BLANK).replace(r"\S", _SOLID)
 
 
 @pandas_udf(T.StringType())
@@ -83,12 +83,17 @@ def collapse_blanks(text: Column) -> Column:
 
 def keep_plain(text: Column, punctuation: bool = True) -> Column:
     """Only ASCII letters, digits and blanks, with or without common punctuation."""
-    return F.regexp_replace(text, _unicode(NOT_PLAIN_TEXT if punctuation else NOT_ALPHANUMERIC), "")
+    pattern = NOT_PLAIN_TEXT if punctuation else NOT_ALPHANUMERIC
+    return F.regexp_replace(text, "(?U)" + pattern.replace(r"\s", r"\s\x1c-\x1f"), "")
+
+
+# The steps below name their input once: Catalyst copies a repeated expression,
+# and the whole regex chain behind it would run again for every copy.
 
 
 def word_count(collapsed: Column) -> Column:
     """Words of a blank-collapsed text; an empty text has none."""
-    return F.when(F.length(collapsed) == 0, 0).otherwise(F.size(F.split(collapsed, " ")))
+    return F.size(F.array_remove(F.split(collapsed, " "), ""))
 
 
 def raw_word_count(text: Column) -> Column:
@@ -96,7 +101,10 @@ def raw_word_count(text: Column) -> Column:
 
 
 def require_words(collapsed: Column, least: int = MIN_WORDS) -> Column:
-    return F.when(word_count(collapsed) >= least, collapsed).otherwise("")
+    """Empty when there are fewer than ``least`` words."""
+    if least < 2:
+        return collapsed
+    return F.regexp_replace(collapsed, r"\A[^ ]*(?: [^ ]+){0,%d}\z" % (least - 2), "")
 
 
 def present(text: Column) -> Column:
@@ -136,7 +144,7 @@ def is_long(collapsed: Column, most: int = MAX_WORDS) -> Column:
 
 def first_words(collapsed: Column, most: int = MAX_WORDS) -> Column:
     """Opt-in cut of an over-long text to its first words."""
-    return F.when(is_long(collapsed, most), F.array_join(F.slice(F.split(collapsed, " "), 1, most), " ")).otherwise(collapsed)
+    return F.array_join(F.slice(F.split(collapsed, " "), 1, most), " ")
 
 
 def special_share(text: Column) -> Column:

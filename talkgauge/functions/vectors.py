@@ -13,11 +13,16 @@ def argmax(values: Column) -> Column:
     return (F.array_position(values, F.array_max(values)) - 1).cast("int")
 
 
+def _each(values: Column, one: Column) -> Column:
+    """One value repeated beside every element; inside a lambda it would be computed per element."""
+    return F.array_repeat(one, F.size(values))
+
+
 def softmax(logits: Column) -> Column:
     """Probabilities; the maximum is taken off first, so large logits stay finite."""
-    grown = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
+    grown = F.zip_with(logits, _each(logits, F.array_max(logits)), lambda x, top: F.exp(x - top))
     total = F.aggregate(grown, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(grown, lambda x: x / total)
+    return F.zip_with(grown, _each(logits, total), lambda x, whole: x / whole)
 
 
 def dot(left: Column, right: Column) -> Column:

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from talkgauge.plans import chat_queries, report_queries, text_queries  # noqa: F401  (register on import)
+from talkgauge.plans import chat_queries, data_queries, report_queries, text_queries  # noqa: F401  (register on import)
 from talkgauge.plans.chat_queries import chat_scores
 from talkgauge.plans.registry import QUERIES, TWINS
 

@@ -44,17 +44,17 @@ def top_user_report(spark: SparkSession, folder: str) -> DataFrame:
     return reports.top_users(_users(spark, folder), 8).drop("raw_score")
 
 
-@register(f"{VIEW_SQL} SELECT u1,u2,score FROM cs WHERE score>=9.5")
+@register(f"{VIEW_SQL} SELECT u1,u2,score FROM cs WHERE score>=7")
 def network_edge_report(spark: SparkSession, folder: str) -> DataFrame:
-    return reports.network_edges(_chats(spark, folder), 9.5)
+    return reports.network_edges(_chats(spark, folder), 7)
 
 
 @register(
-    f"""{VIEW_SQL}, e AS (SELECT * FROM cs WHERE score>=9.5), n AS (SELECT u1 AS "user" FROM e UNION SELECT u2 FROM e)
+    f"""{VIEW_SQL}, e AS (SELECT * FROM cs WHERE score>=7), n AS (SELECT u1 AS "user" FROM e UNION SELECT u2 FROM e)
     SELECT n."user", coalesce(score,0) AS score, 300+50*coalesce(score,0) AS node_size FROM n LEFT JOIN us USING ("user")"""
 )
 def network_node_report(spark: SparkSession, folder: str) -> DataFrame:
-    return reports.network_nodes(reports.network_edges(_chats(spark, folder), 9.5), _users(spark, folder))
+    return reports.network_nodes(reports.network_edges(_chats(spark, folder), 7), _users(spark, folder))
 
 
 @register(f"""{VIEW_SQL} SELECT u1 AS "user",u2 AS other,score FROM cs UNION ALL SELECT u2,u1,score FROM cs WHERE u1<>u2""")
