@@ -121,9 +121,13 @@ def vote(probabilities: Sequence[Column], weights: Sequence[float] | None = None
     """Soft vote of models whose probabilities stand side by side: weighted mean per class."""
     weights = list(weights) if weights is not None else [1.0] * len(probabilities)
     total = float(sum(weights))
-    mixed = F.transform(probabilities[0], lambda p: p * F.lit(weights[0] / total))
+
+    def scaled(column: Column, w: float) -> Column:
+        return F.transform(column, lambda p: p * F.lit(w / total))
+
+    mixed = scaled(probabilities[0], weights[0])
     for column, w in zip(probabilities[1:], weights[1:]):
-        mixed = F.zip_with(mixed, column, lambda acc, p, w=w: acc + p * F.lit(w / total))
+        mixed = F.zip_with(mixed, scaled(column, w), lambda a, b: a + b)
     return mixed
 
 

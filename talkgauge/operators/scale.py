@@ -129,20 +129,25 @@ def hash_cuts(df: DataFrame, group: str, key: str, seed: int | str, cuts: dict[s
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
         F.sum("_n").over(W.partitionBy("_g")).alias("n"),
     )
+    # One row per group: where each cut lies and how many rows come before its prefix.
     names = list(cuts)
-    ranks = F.array(*[cuts[c].cast("bigint") for c in names])
-    wanted = cells.withColumn("_ranks", ranks)
-    holds = F.exists("_ranks", lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_n")))
-    with_cut = wanted.filter(holds).select("_g", "_p", "_before", "_ranks")
-    inside = attach(placed, with_cut, ["_g", "_p"], null_safe=True)
-    ranked = inside.withColumn(
-        "_rank", F.row_number().over(W.partitionBy("_g", "_p").orderBy("_h")) - 1 + F.col("_before")
-    )
+    ranked_cells = cells.withColumns({f"_rank_{c}": cuts[c].cast("bigint") for c in names})
+
+    def spot(c: str) -> Column:
+        rank = F.col(f"_rank_{c}")
+        inside = (rank >= F.col("_before")) & (rank < F.col("_before") + F.col("_n"))
+        return F.min(F.when(inside, F.struct(F.col("_p"), (rank - F.col("_before")).alias("_skip")))).alias(c)
+
+    spots, _ = bounded(ranked_cells.groupBy("_g").agg(F.max("n").alias("n"), *[spot(c) for c in names]))
+    wanted = spots.select("_g", F.explode(F.array(*[F.struct(F.lit(c).alias("_cut"), F.col(f"{c}._p"), F.col(f"{c}._skip")) for c in names])).alias("_w"))
+    wanted = wanted.select("_g", "_w.*").filter(F.col("_p").isNotNull())
+    targets = wanted.groupBy("_g", "_p").agg(F.map_from_entries(F.collect_list(F.struct("_cut", "_skip"))).alias("_skips"))
+    inside = attach(placed, targets, ["_g", "_p"], null_safe=True)
+    ranked = inside.withColumn("_rank", F.row_number().over(W.partitionBy("_g", "_p").orderBy("_h")) - 1)
     found = ranked.groupBy("_g").agg(
-        *[F.min(F.when(F.col("_rank") == F.get("_ranks", F.lit(i)), F.col("_h"))).alias(c) for i, c in enumerate(names)]
+        *[F.min(F.when(F.col("_rank") == F.try_element_at("_skips", F.lit(c)), F.col("_h"))).alias(c) for c in names]
     )
-    sizes = cells.groupBy("_g").agg(F.max("n").alias("n"))
-    return keyed_join(sizes, found, "_g", "left", null_safe=True).withColumnRenamed("_g", group)
+    return keyed_join(spots.select("_g", "n"), found, "_g", "left", null_safe=True).withColumnRenamed("_g", group)
 
 
 def before_cut(place: Column, cut: str) -> Column:

@@ -9,7 +9,7 @@ from talkgauge.operators import neardup, prepare, profile
 from talkgauge.plans.registry import register
 from talkgauge.plans.tables import labelled, table
 from talkgauge.plans.text_queries import blanks_sql, clean_sql, words_sql
-from talkgauge.session import scratch_path
+from talkgauge.session import materialize, scratch_path
 from talkgauge.sources import datasets
 
 LABELLED_SQL = "l AS (SELECT d.doc_id, d.text, d.lang, d.source, quality, toxic FROM documents d JOIN labels USING (doc_id))"
@@ -33,9 +33,12 @@ def _kept(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _dataset(spark: SparkSession, folder: str) -> DataFrame:
-    """All documents cleaned, with the language as label: the large dataset."""
+    """All documents cleaned, with the language as label: the large dataset.
+
+    Written once: the split passes over keys and labels must not clean again.
+    """
     rows = prepare.drop_empty(prepare.cleaned(table(spark, folder, "documents").select("doc_id", "text", "lang")))
-    return prepare.as_dataset(rows, label="lang", key="doc_id")
+    return materialize(prepare.as_dataset(rows, label="lang", key="doc_id"), "cleaned")
 
 
 def _splits(spark: SparkSession, folder: str) -> DataFrame:
@@ -58,9 +61,10 @@ def _round_trip(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
     elif suffix == ".jsonl":
         rows.write.json(path)
     else:
-        # A JSON array per file, as other tools write it.
-        arrays = rows.groupBy((F.col("doc_id") % 8).alias("part")).agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value"))
-        arrays.select("value").repartition("value").write.option("lineSep", "\n").text(path)
+        # One JSON array per file, each of at most a hundred neighbouring ids.
+        part = F.floor(F.col("doc_id") / 100).alias("part")
+        arrays = rows.groupBy(part).agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value"))
+        arrays.write.partitionBy("part").text(path)
     again = datasets.read_dataset(spark, path, rows.schema)
     datasets.require_columns(again, "text", "quality")
     return again.select("doc_id", F.sha2("text", 256).alias("digest"), "quality")
@@ -76,6 +80,11 @@ def json_lines_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return _round_trip(spark, folder, ".jsonl")
 
 
+@register(ROUND_TRIP_SQL)
+def json_array_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    return _round_trip(spark, folder, ".json")
+
+
 @register(f"{'WITH ' + SPLITS_SQL} SELECT id, sha256(text) AS digest, label FROM sp WHERE split='val'")
 def split_files(spark: SparkSession, folder: str) -> DataFrame:
     """Splits written one folder each; the validation folder read back."""

@@ -1,6 +1,12 @@
 """All registered queries."""
 
-from talkgauge.plans import chat_queries, data_queries, report_queries, text_queries  # noqa: F401  (register on import)
+from talkgauge.plans import (  # noqa: F401  (register on import)
+    chat_queries,
+    data_queries,
+    eval_queries,
+    report_queries,
+    text_queries,
+)
 from talkgauge.plans.chat_queries import chat_scores
 from talkgauge.plans.registry import QUERIES, TWINS
 
