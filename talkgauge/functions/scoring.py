@@ -43,11 +43,9 @@ def parse_score(answer: Column) -> Column:
     number = digits.try_cast("decimal(38,0)")
     huge = F.when(digits.startswith("-"), F.lit(LOWEST)).otherwise(F.lit(HIGHEST))
     clamped = F.greatest(F.lit(LOWEST), F.least(F.lit(HIGHEST), number)).cast("int")
-    return (
-        F.when(bare.rlike(r"^[+-]?[0-9]+(_[0-9]+)*$"), F.coalesce(clamped, huge))
-        .otherwise(F.lit(FALLBACK))
-        .cast("int")
-    )
+    whole = bare.rlike(r"^[+-]?[0-9]+(_[0-9]+)*$")
+    # least() skips nulls, so a number too long for a decimal needs its own branch.
+    return F.when(whole & number.isNull(), huge).when(whole, clamped).otherwise(F.lit(FALLBACK)).cast("int")
 
 
 def parse_yes(answer: Column) -> Column:
