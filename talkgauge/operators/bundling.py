@@ -30,7 +30,7 @@ def with_bundle_id(messages: DataFrame, mode: str = "count", size: int = 1, hot_
         return messages.withColumn("bundle_id", day_number("ts"))
     if mode == "message" or size == 1:
         return messages.withColumn("bundle_id", F.col("msg_id"))
-    ranked = order_rank(messages, PAIR, "ts", "msg_id", "_rn", hot_rows)
+    ranked = order_rank(messages, PAIR, "ts", "msg_id", "_rn", hot_rows=hot_rows)
     return ranked.withColumn("bundle_id", F.floor((F.col("_rn") - 1) / size).cast("bigint")).drop("_rn")
 
 

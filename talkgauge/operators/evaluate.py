@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from talkgauge.functions.scoring import HIGHEST, LOWEST
 from talkgauge.functions.vectors import argmax
 from talkgauge.operators.scale import attach, hash_unit, range_splits, split_number
+from talkgauge.session import materialize
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -133,7 +134,8 @@ def vote(probabilities: Sequence[Column], weights: Sequence[float] | None = None
 
 def vote_tall(rows: DataFrame, key: str, probabilities: str = "probabilities", weight: str = "weight") -> DataFrame:
     """The same for one row per (item, model): averaged per class position, then the best class."""
-    spread = rows.select(key, weight, F.posexplode(probabilities).alias("class", "p"))
+    # Partitioned by item first: both groupings below then need no further shuffle.
+    spread = rows.repartition(key).select(key, weight, F.posexplode(probabilities).alias("class", "p"))
     mean = spread.groupBy(key, "class").agg((F.sum(F.col("p") * F.col(weight)) / F.sum(weight)).alias("p"))
     lists = mean.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("class", "p"))), lambda s: s["p"]).alias("probabilities"))
     return lists.withColumn("predicted", argmax(F.col("probabilities")))
@@ -146,10 +148,12 @@ def roc_auc(scored: DataFrame, score: str = "score", positive: str = "positive")
     """Area under the ROC curve, ties counted half.
 
     Scores are first counted, then summed up in two levels: over ranges of the
-    score, and inside each range.  No task sees all scores.
+    score, and inside each range.  No task sees all scores.  The counts are
+    written once, as three passes read them.
     """
     wins = F.col(positive).cast("boolean")
     counted = scored.groupBy(F.col(score).alias("_s")).agg(F.count_if(wins).alias("pos"), F.count_if(~wins).alias("neg"))
+    counted = materialize(counted, "scores")
     ranged = counted.withColumn("_r", split_number(F.col("_s"), range_splits(counted, "_s")))
     totals = ranged.groupBy("_r").agg(F.sum("neg").alias("_n"))
     offsets = totals.select("_r", F.coalesce(F.sum("_n").over(W.orderBy("_r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))

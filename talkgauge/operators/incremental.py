@@ -27,9 +27,9 @@ def add_scored(state: DataFrame, new_scored: DataFrame, as_of, half_life_days: f
     return as_state(total, as_of)
 
 
-def replace_chats(state: DataFrame, recomputed: DataFrame, as_of, half_life_days: float) -> DataFrame:
-    """Fresh sums for recomputed chats, faded sums for all others, one common moment."""
-    kept = attach(state, recomputed.select(*PAIR), PAIR, "left_anti", null_safe=True)
+def replace_chats(state: DataFrame, recomputed: DataFrame, touched: DataFrame, as_of, half_life_days: float) -> DataFrame:
+    """Fresh sums for the touched chats, faded sums for all others, one common moment."""
+    kept = attach(state, touched, PAIR, "left_anti", null_safe=True)
     faded = state_at(kept, as_of, half_life_days)
     return faded.unionByName(as_state(recomputed, as_of).select(faded.columns))
 
@@ -41,9 +41,10 @@ def recompute_affected(history: DataFrame, new: DataFrame, state: DataFrame, sco
     ``history`` already holds the new messages.  ``score_rows`` turns messages
     into scored bundles (``score``, ``mean_us``, ``n_messages``).
     """
-    touched = messages_of(history, affected_chats(new))
-    sums = chat_sums(weighted(score_rows(touched), as_of, half_life_days), min_score)
-    return replace_chats(state, sums, as_of, half_life_days)
+    touched = affected_chats(new)
+    rows = score_rows(messages_of(history, touched))
+    sums = chat_sums(weighted(rows, as_of, half_life_days), min_score)
+    return replace_chats(state, sums, touched, as_of, half_life_days)
 
 
 def overall_delta(old_overall: DataFrame, old_state: DataFrame, new_state: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talkgauge.functions.textclean import collapse_blanks
+from talkgauge.operators.scale import HOT_ROWS, split_join
 from talkgauge.session import materialize
 
 SHINGLE_WORDS = 3
@@ -64,15 +65,15 @@ def band_keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield batch.map(one)
 
 
-def first_texts(df: DataFrame, key: str, text: str) -> DataFrame:
+def first_texts(df: DataFrame, key: str, text: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Each distinct text's lowest key beside every key that holds it."""
     digests = df.select(key, F.unhex(F.sha2(text, 256)).alias("_d"))
     firsts = digests.groupBy("_d").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("_n"))
-    copies = digests.join(firsts.filter(F.col("_n") > 1), "_d").filter(F.col(key) != F.col("first"))
-    return copies.select(key, "first")
+    firsts = materialize(firsts.filter(F.col("_n") > 1), "firsts")
+    return split_join(digests, firsts, ["_d"], hot_rows=hot_rows).filter(F.col(key) != F.col("first")).select(key, "first")
 
 
-def candidates(signed: DataFrame, key: str) -> DataFrame:
+def candidates(signed: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``(key, first)`` for every text that shares a band with an earlier one.
 
     Sizes prune pairs that cannot reach the threshold before any set is read.
@@ -81,27 +82,30 @@ def candidates(signed: DataFrame, key: str) -> DataFrame:
     leader = member.groupBy("band", "bucket").agg(
         F.min(F.struct(key, "size")).alias("_first"), F.count(F.lit(1)).alias("_n")
     )
-    leader = leader.filter(F.col("_n") > 1).select("band", "bucket", F.col(f"_first.{key}").alias("first"), F.col("_first.size").alias("first_size"))
+    leader = leader.filter(F.col("_n") > 1).select(
+        "band", "bucket", F.col(f"_first.{key}").alias("first"), F.col("_first.size").alias("first_size"), "_n"
+    )
+    leader = materialize(leader, "leaders")
     close = F.least("size", "first_size") > F.lit(LEAST_SIMILARITY) * F.greatest("size", "first_size")
     return (
-        member.join(leader, ["band", "bucket"])
+        split_join(member, leader, ["band", "bucket"], hot_rows=hot_rows)
         .filter((F.col(key) != F.col("first")) & close)
         .select(key, "first")
         .distinct()
     )
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Flagged texts with the earlier text they repeat and their Jaccard similarity."""
-    copies = materialize(first_texts(df, key, text), "copies")
+    copies = materialize(first_texts(df, key, text, hot_rows), "copies")
     singles = df.select(key, text).join(copies.select(key), key, "left_anti")
     shingled = with_shingles(singles, key, text)
     signed = materialize(
         shingled.select(key, F.size("shingles").alias("size"), band_keys("shingles").alias("bands")), "signatures"
     )
-    pairs = materialize(candidates(signed, key), "candidates")
+    pairs = materialize(candidates(signed, key, hot_rows), "candidates")
     wanted = pairs.select(key).union(pairs.select("first")).distinct()
-    sets = with_shingles(df.join(wanted, key, "left_semi"), key, text)
+    sets = materialize(with_shingles(df.join(wanted, key, "left_semi"), key, text), "shingles")
     both = pairs.join(sets, key).join(
         sets.select(F.col(key).alias("first"), F.col("shingles").alias("_other")), "first"
     )

@@ -188,7 +188,7 @@ def tokenized(df: DataFrame, max_length: int = 256, text: str = "text",
     called once per task; its product maps a batch of texts to lists of ids.
     """
     if make_tokenizer is None:
-        ids = df.withColumn("_ids", hashed_ids(F.col(text), max_length))
+        ids = df.withColumn("_ids", hashed_ids(textclean.present(F.col(text)), max_length))
     else:
 
         @F.pandas_udf(T.ArrayType(T.IntegerType()))

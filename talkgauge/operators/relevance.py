@@ -9,7 +9,7 @@ from talkgauge.functions.decay import MICROS_PER_DAY, fade, rate, to_micros, wei
 from talkgauge.functions.scoring import COMMON_WORDS, MIN_SCORE, display_score, score_from_hits, word_hits
 from talkgauge.operators.bundling import BUNDLE, message_bundles, with_bundle_id
 from talkgauge.operators.keys import PAIR
-from talkgauge.operators.scale import HOT_ROWS, attach, order_rank
+from talkgauge.operators.scale import HOT_ROWS, order_rank
 
 SUMS = ["weighted_sum", "weight_sum"]
 
@@ -129,10 +129,9 @@ def position_weighted(scored: DataFrame, half_life: float, hot_rows: int = HOT_R
 
     Needs ``msg_id`` as the order; ``half_life`` counts messages.
     """
-    ranked = order_rank(scored, PAIR, "msg_id", "msg_id", "_rn", hot_rows)
-    sizes = scored.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("_n"))
-    aged = attach(ranked, sizes, PAIR, "left", null_safe=True).withColumn("position_age", F.col("_n") - F.col("_rn"))
-    return aged.withColumn("weight", F.exp(F.lit(-rate(half_life)) * F.col("position_age"))).drop("_rn", "_n")
+    ranked = order_rank(scored, PAIR, "msg_id", "msg_id", "_back", descending=True, hot_rows=hot_rows)
+    aged = ranked.withColumn("position_age", F.col("_back") - 1).drop("_back")
+    return aged.withColumn("weight", F.exp(F.lit(-rate(half_life)) * F.col("position_age")))
 
 
 def condense(weighted_rows: DataFrame, as_of, keep_days: float = 30.0, min_score: float = MIN_SCORE) -> DataFrame:

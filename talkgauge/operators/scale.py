@@ -50,9 +50,27 @@ def attach(big: DataFrame, small: DataFrame, on: Sequence[str] | str, how: str =
     return keyed_join(big, F.broadcast(side) if is_small else side, on, how, null_safe)
 
 
-def order_rank(df: DataFrame, keys: Sequence[str], order: str, tie: str, out: str = "rn",
+def split_join(rows: DataFrame, per_key: DataFrame, on: Sequence[str], n: str = "_n", hot_rows: int = HOT_ROWS,
+               max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Inner join of rows with a written one-row-per-key table that counts them in ``n``.
+
+    Keys with more than ``hot_rows`` rows meet a broadcast of just those keys, so
+    their rows stay where they are; there are at most total / ``hot_rows`` of
+    them.  All other keys shuffle.  Together that is the plain join.
+    """
+    hot = per_key.filter(F.col(n) > hot_rows)
+    found = hot.limit(max_rows + 1).collect()
+    if not found or len(found) > max_rows:
+        return rows.join(per_key, on)
+    hot = F.broadcast(rows.sparkSession.createDataFrame(found, per_key.schema))
+    crowded = rows.join(hot, on)
+    others = rows.join(hot.select(*on), on, "left_anti").join(per_key.filter(F.col(n) <= hot_rows), on)
+    return crowded.unionByName(others)
+
+
+def order_rank(df: DataFrame, keys: Sequence[str], order: str, tie: str, out: str = "rn", descending: bool = False,
                hot_rows: int = HOT_ROWS, split_points: int = SPLIT_POINTS) -> DataFrame:
-    """Exact 1-based rank by ``(order, tie)`` inside each key.
+    """Exact 1-based rank by ``(order, tie)`` inside each key, from the first or the last.
 
     A plain window puts a whole key into one task.  When a key exceeds
     ``hot_rows``, its rows are cut into consecutive cells, ranked per cell and
@@ -65,8 +83,10 @@ def order_rank(df: DataFrame, keys: Sequence[str], order: str, tie: str, out: st
     top, hot = counts.agg(
         F.coalesce(F.max("_n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("_n") > hot_rows, F.col("_n"))), F.lit(0))
     ).first()
+    direction = F.desc if descending else F.asc
+    places = [direction(order), direction(tie)]
     if top <= hot_rows:
-        return df.withColumn(out, F.row_number().over(W.partitionBy(*keys).orderBy(order, tie)).cast("bigint"))
+        return df.withColumn(out, F.row_number().over(W.partitionBy(*keys).orderBy(*places)).cast("bigint"))
 
     step = max(hot_rows // 4, hot // split_points, 1)
     place = F.struct(F.col(order).alias("o"), F.col(tie).alias("t"))
@@ -82,13 +102,13 @@ def order_rank(df: DataFrame, keys: Sequence[str], order: str, tie: str, out: st
         .drop("_borders")
     )
     cells = celled.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy(*keys).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy(*keys).orderBy(direction("_cell")).rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         cells.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .filter(F.col("_before") > 0)
         .drop("_n")
     )
-    inside = F.row_number().over(W.partitionBy(*keys, "_cell").orderBy(order, tie))
+    inside = F.row_number().over(W.partitionBy(*keys, "_cell").orderBy(*places))
     return (
         attach(celled, offsets, keys + ["_cell"], "left", null_safe=True)
         .withColumn(out, inside + F.coalesce(F.col("_before"), F.lit(0)))

@@ -19,6 +19,7 @@ from talkgauge.functions.scoring import (
     render_prompt,
     word_score,
 )
+from talkgauge.operators.scale import BROADCAST_ROWS, bounded
 from talkgauge.session import materialize
 from talkgauge.sources.store import append_scores, load_scores
 
@@ -65,7 +66,17 @@ def distinct_texts(bundled: DataFrame) -> DataFrame:
     return bundled.select("text_key", "text").dropDuplicates(["text_key"])
 
 
-def unseen_texts(bundled: DataFrame, cached: DataFrame) -> DataFrame:
+def unseen_texts(bundled: DataFrame, cached: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Texts without a stored score, each once.
+
+    The usual daily batch misses few keys: their texts are picked in the scan.
+    With many misses, copies collapse before the shuffle and the cache is
+    subtracted from what is left.
+    """
+    keys = bundled.select("text_key").distinct().join(cached.select("text_key"), "text_key", "left_anti")
+    missing, is_small = bounded(keys, max_rows)
+    if is_small:
+        return distinct_texts(bundled.join(F.broadcast(missing), "text_key", "left_semi"))
     return distinct_texts(bundled).join(cached.select("text_key"), "text_key", "left_anti")
 
 

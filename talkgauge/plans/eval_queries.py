@@ -186,7 +186,7 @@ def soft_vote_tall(spark: SparkSession, folder: str) -> DataFrame:
 )
 def roc_auc(spark: SparkSession, folder: str) -> DataFrame:
     """Class 0 against the rest by its probability."""
-    rows = materialize(_predictions(spark, folder).select(F.get("probabilities", F.lit(0)).alias("score"), (F.col("label") == 0).alias("positive")), "scores")
+    rows = _predictions(spark, folder).select(F.get("probabilities", F.lit(0)).alias("score"), (F.col("label") == 0).alias("positive"))
     return r6(evaluate.roc_auc(rows), "auc")
 
 

@@ -112,13 +112,14 @@ def test_order_rank_with_one_hot_chat_and_equal_times(spark, hot_rows):
     rows += [(1000 + i, "solo", None, datetime(2024, 1, 1)) for i in range(90)]
     df = spark.createDataFrame(rows, "msg_id bigint, u1 string, u2 string, ts timestamp")
     got = {r.msg_id: r.rn for r in order_rank(df, ["u1", "u2"], "ts", "msg_id", hot_rows=hot_rows).collect()}
+    back = {r.msg_id: r.rn for r in order_rank(df, ["u1", "u2"], "ts", "msg_id", descending=True, hot_rows=hot_rows).collect()}
     assert len(got) == len(rows)
     groups = {}
     for r in rows:
         groups.setdefault((r[1], r[2]), []).append((r[3], r[0]))
     for members in groups.values():
         for place, (_, msg) in enumerate(sorted(members), 1):
-            assert got[msg] == place
+            assert got[msg] == place and back[msg] == len(members) + 1 - place
 
 
 def test_trailing_messages(spark, trio):
@@ -162,7 +163,7 @@ def test_addition_equals_full_run_for_new_and_old_chats(spark):
 def test_replace_chats_fades_the_others(spark):
     state = relevance.as_state(sums(spark, TWO), AS_OF)
     fresh = sums(spark, [("me", "FriendB", 16, 10)], "2025-12-24T00:00:00")
-    got = by_key(incremental.replace_chats(state, fresh, "2025-12-24T00:00:00", 7), "u2")
+    got = by_key(incremental.replace_chats(state, fresh, fresh.select("u1", "u2"), "2025-12-24T00:00:00", 7), "u2")
     before = by_key(state, "u2")
     assert got[("FriendA",)].weighted_sum == pytest.approx(before[("FriendA",)].weighted_sum / 2)
     assert got[("FriendB",)].weighted_sum == pytest.approx(10 * math.exp(-math.log(2) / 7 * 8))
@@ -178,6 +179,15 @@ def test_condensing_keeps_chat_sums(spark):
         assert after[k].n_messages == before[k].n_messages
 
 
+def test_unseen_texts_agree_on_both_paths(spark, trio):
+    pairs = keys.with_pair(trio)
+    twice = bundling.with_key(bundling.bundles(pairs.unionByName(pairs), "message"))
+    cached = twice.filter("bundle_id <= 2").select("text_key").distinct()
+    few = sorted(r.text for r in scorer.unseen_texts(twice, cached).collect())
+    many = sorted(r.text for r in scorer.unseen_texts(twice, cached, max_rows=1).collect())
+    assert few == many and len(few) == 4
+
+
 class CountingScorer(scorer.PromptScorer):
     """Counts the prompts that reach the answerer."""
 
