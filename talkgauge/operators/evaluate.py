@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from talkgauge.functions.hashing import row_seed, unit
 from talkgauge.functions.scoring import HIGHEST, LOWEST
 from talkgauge.functions.vectors import argmax
-from talkgauge.operators.scale import attach, hash_unit, range_splits, split_number
+from talkgauge.operators.scale import attach, filter_after, range_splits, split_number
 from talkgauge.session import materialize
 
 
@@ -196,9 +197,9 @@ def bootstrap(predictions: DataFrame, key: str, replicates: int = 100, level: fl
     need no shuffle of rows: partial sums per replicate are all that moves.
     """
     hit = (F.col("label") == F.col("predicted")).cast("int")
-    drawn = predictions.select(F.col(key).alias("_k"), hit.alias("_hit"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    chance = hash_unit(F.concat_ws(":", F.col("replicate").cast("string"), F.col("_k").cast("string")), seed)
-    drawn = drawn.withColumn("_u", chance)
+    seeded = predictions.select(row_seed(key, seed).alias("_start"), hit.alias("_hit"))
+    drawn = seeded.select("_start", "_hit", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    drawn = drawn.withColumn("_u", unit(F.col("_start"), F.col("replicate")))
     weight = sum([(F.col("_u") >= p).cast("int") for p in POISSON_ONE], F.lit(0))
     sums = drawn.select("replicate", "_hit", weight.alias("_w")).groupBy("replicate").agg(
         (F.sum(F.col("_w") * F.col("_hit")) / F.sum("_w")).alias("accuracy")
@@ -219,7 +220,7 @@ def low_confidence(predictions: DataFrame, key: str, n: int = 100, probabilities
 
 
 def misclassified(predictions: DataFrame) -> DataFrame:
-    return predictions.filter(F.col("label") != F.col("predicted"))
+    return filter_after(predictions, F.col("label") != F.col("predicted"))
 
 
 def label_errors(predictions: DataFrame, label: str = "label", probabilities: str = "probabilities") -> DataFrame:
@@ -238,7 +239,8 @@ def label_errors(predictions: DataFrame, label: str = "label", probabilities: st
     )
     marked = marked.withColumn("_cleared", cleared)
     suggested = F.when(F.array_max("_cleared") >= 0, argmax(F.col("_cleared")))
-    return marked.withColumn("suggested", suggested).filter(F.col("suggested") != F.col(label)).drop("_bars", "_cleared")
+    judged = marked.withColumn("suggested", suggested)
+    return filter_after(judged, F.col("suggested") != F.col(label)).drop("_bars", "_cleared")
 
 
 # --- relevance diagnostics ---------------------------------------------------------------

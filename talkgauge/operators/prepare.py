@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talkgauge.functions import textclean
+from talkgauge.functions.hashing import hash_place, row_seed, unit, units
 from talkgauge.functions.scoring import content_key
-from talkgauge.operators.scale import attach, before_cut, bounded, hash_cuts, hash_place, hash_unit, order_rank
+from talkgauge.operators.scale import attach, before_cut, bounded, filter_after, hash_cuts, order_rank
 
 SPLITS = ("train", "val", "test")
 PAD, UNKNOWN, FIRST_WORD_ID = 0, 1, 2
@@ -45,11 +46,20 @@ def encode_labels(df: DataFrame, mapping: DataFrame, label: str = "label") -> Da
 
 
 def cleaned(df: DataFrame, text: str = "text", least: int = textclean.MIN_WORDS, replace_urls: bool = True,
-            replace_emails: bool = True) -> DataFrame:
-    return df.withColumn("text_cleaned", textclean.clean_joint(F.col(text), least, replace_urls, replace_emails))
+            replace_emails: bool = True, keep_empty: bool = True) -> DataFrame:
+    """Add ``text_cleaned``; ``keep_empty=False`` drops emptied rows in the same step.
+
+    A filter on the result would be pushed below the projection and clean every
+    text a second time; a generator that yields nothing for an empty text is not.
+    """
+    result = textclean.clean_joint(F.col(text), least, replace_urls, replace_emails)
+    if keep_empty:
+        return df.withColumn("text_cleaned", result)
+    return df.select("*", F.explode(F.filter(F.array(result), lambda t: t != "")).alias("text_cleaned"))
 
 
 def drop_empty(df: DataFrame, text: str = "text_cleaned") -> DataFrame:
+    """For cleaned rows that were already written."""
     return df.filter(F.length(text) > 0)
 
 
@@ -58,7 +68,8 @@ def first_copies(df: DataFrame, key: str, text: str = "text_cleaned") -> DataFra
 
     Only digests and keys are grouped, with map-side partials, so a text that
     makes up a third of the table costs no more than any other; the rows
-    themselves meet the surviving keys by their unique key.
+    themselves meet the surviving keys by their unique key.  ``df`` is read
+    twice: write it first when its text is expensive to compute.
     """
     kept = df.groupBy(F.unhex(F.sha2(text, 256)).alias("_d")).agg(F.min(key).alias(key)).select(key)
     return df.join(kept, key, "left_semi")
@@ -121,6 +132,32 @@ def shared_texts(splits: DataFrame, text: str = "text") -> DataFrame:
     return grouped.filter(F.col("splits") > 1)
 
 
+def contained_passages(df: DataFrame, passages: DataFrame, key: str, passage_key: str, text: str = "text",
+                       window: int = 8) -> DataFrame:
+    """Rows whose text holds a whole held-out passage, word for word.
+
+    Each passage is looked up by the hash of its first words among all word
+    windows of the texts, so no text is compared with a passage it cannot hold;
+    the hits are then checked in full.
+    """
+    held = passages.select(passage_key, textclean.collapse_blanks(F.col(text)).alias("_passage"))
+    held = held.withColumn("_p", F.split("_passage", " ")).filter(F.length("_passage") > 0)
+    width = min(window, held.agg(F.coalesce(F.min(F.size("_p")), F.lit(window))).first()[0])
+
+    def hashed(words: str, i: Column) -> Column:
+        return F.xxhash64(*[F.get(F.col(words), i + step) for step in range(width)])
+
+    anchors = held.select(passage_key, "_passage", hashed("_p", F.lit(0)).alias("_h"))
+    worded = df.select(key, F.split(textclean.collapse_blanks(F.col(text)), " ").alias("_w"))
+    starts = F.sequence(F.lit(0), F.size("_w") - width)
+    windows = worded.filter(F.size("_w") >= width).select(
+        key, F.explode(F.array_distinct(F.transform(starts, lambda i: hashed("_w", i)))).alias("_h")
+    )
+    hits = attach(windows, anchors, "_h").select(key, passage_key, "_passage").distinct()
+    whole = hits.join(df.select(key, F.concat(F.lit(" "), textclean.collapse_blanks(F.col(text)), F.lit(" ")).alias("_t")), key)
+    return filter_after(whole, F.contains("_t", F.concat(F.lit(" "), F.col("_passage"), F.lit(" ")))).select(key, passage_key)
+
+
 # --- balance -----------------------------------------------------------------------------
 
 
@@ -162,22 +199,18 @@ def oversample(df: DataFrame, key: str = "id", label: str = "label", seed: int =
 
 
 def hashed_ids(text: Column, max_length: int, vocabulary: int = VOCABULARY) -> Column:
-    """Word ids by hash, cut at ``max_length`` words; ids 0 and 1 stay reserved."""
+    """Word ids by CRC-32, cut at ``max_length`` words; ids 0 and 1 stay reserved."""
     words = F.slice(F.array_remove(F.split(textclean.collapse_blanks(F.lower(text)), " "), ""), 1, max_length)
     room = F.lit(vocabulary - FIRST_WORD_ID)
-    return F.transform(
-        words, lambda w: (F.conv(F.substring(F.md5(w), 1, 7), 16, 10).cast("int") % room + FIRST_WORD_ID).cast("int")
-    )
+    return F.transform(words, lambda w: (F.crc32(w) % room + FIRST_WORD_ID).cast("int"))
 
 
 def pad(ids: Column, max_length: int) -> tuple[Column, Column]:
     """Fixed-length ids and their attention mask."""
+    used = F.least(F.size(ids), F.lit(max_length))
     fill = F.array_repeat(F.lit(PAD), max_length)
-    ones = F.array_repeat(F.lit(1), max_length)
-    kept = F.slice(ids, 1, max_length)
-    return F.slice(F.concat(kept, fill), 1, max_length), F.transform(
-        ones, lambda one, i: F.when(i < F.size(kept), one).otherwise(F.lit(0))
-    )
+    mask = F.concat(F.array_repeat(F.lit(1), used), F.array_repeat(F.lit(0), F.lit(max_length) - used))
+    return F.slice(F.concat(F.slice(ids, 1, max_length), fill), 1, max_length), mask
 
 
 def tokenized(df: DataFrame, max_length: int = 256, text: str = "text",
@@ -209,34 +242,36 @@ def _words(text: Column) -> Column:
     return F.split(textclean.collapse_blanks(text), " ")
 
 
-def _chance(key: Column, seed: int | str, place: Column) -> Column:
-    return hash_unit(F.concat_ws(":", key.cast("string"), place.cast("string")), seed)
+def _chances(words: Column, key: Column, seed: int | str) -> Column:
+    """One reproducible number in [0, 1) per word."""
+    return units(row_seed(key, seed), F.size(words))
 
 
 def delete_words(words: Column, key: Column, share: float, seed: int = 42) -> Column:
     """Drop each word with the given chance; the first stays when all would go."""
-    kept = F.filter(words, lambda w, i: _chance(key, f"{seed}-delete", i) >= share)
-    return F.when(F.size(kept) > 0, kept).otherwise(F.slice(words, 1, 1))
+    marked = F.zip_with(words, _chances(words, key, f"{seed}-delete"), lambda w, u: F.when(u >= share, w))
+    kept = F.array_compact(marked)
+    return F.coalesce(F.nullif(kept, F.array().cast("array<string>")), F.slice(words, 1, 1))
 
 
 def insert_words(words: Column, key: Column, share: float, seed: int = 42) -> Column:
     """After a word, with the given chance, repeat another word of the same text."""
 
-    def grow(w: Column, i: Column) -> Column:
-        other = F.floor(_chance(key, f"{seed}-pick", i) * F.size(words)).cast("int")
-        doubled = F.array(w, F.get(words, other))
-        return F.when(_chance(key, f"{seed}-insert", i) < share, doubled).otherwise(F.array(w))
+    def grow(w: Column, u: Column) -> Column:
+        # Below the share, u / share is uniform again and picks the other word.
+        other = F.floor(u / share * F.size(words)).cast("int")
+        return F.when(u < share, F.array(w, F.get(words, other))).otherwise(F.array(w))
 
-    return F.flatten(F.transform(words, grow))
+    return F.flatten(F.zip_with(words, _chances(words, key, f"{seed}-insert"), grow))
 
 
 def replace_words(words: Column, synonyms: Column, key: Column, share: float, seed: int = 42) -> Column:
     """Swap a listed word for its synonym with the given chance; ``synonyms`` is a map."""
 
-    def swap(w: Column, i: Column) -> Column:
-        return F.when(_chance(key, f"{seed}-synonym", i) < share, F.coalesce(F.try_element_at(synonyms, w), w)).otherwise(w)
+    def swap(w: Column, u: Column) -> Column:
+        return F.when(u < share, F.coalesce(F.try_element_at(synonyms, w), w)).otherwise(w)
 
-    return F.transform(words, swap)
+    return F.zip_with(words, _chances(words, key, f"{seed}-synonym"), swap)
 
 
 def augmented(splits: DataFrame, method: Callable[[Column, Column], Column], name: str, key: str = "id",
@@ -266,7 +301,7 @@ def augmented_by_synonyms(splits: DataFrame, synonyms: DataFrame, share: float,
     train = splits.filter(F.col("split") == "train")
     words = train.select(key, F.posexplode(_words(F.col(text))).alias("_i", "word"))
     named = words.join(synonyms, "word", "left")
-    swap = F.when(_chance(F.col(key), f"{seed}-synonym", F.col("_i")) < share, F.coalesce("synonym", "word")).otherwise(F.col("word"))
+    swap = F.when(unit(row_seed(key, f"{seed}-synonym"), F.col("_i")) < share, F.coalesce("synonym", "word")).otherwise(F.col("word"))
     again = named.groupBy(key).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", swap.alias("w")))), lambda x: x["w"]), " ").alias(text)
     )
@@ -278,9 +313,8 @@ def with_typos(text: Column, key: Column, share: float, seed: int = 42) -> Colum
     """Swap the 2nd and 3rd character of a word with the given chance (words of four and more)."""
     words = F.split(text, " ")
 
-    def scramble(w: Column, i: Column) -> Column:
+    def scramble(w: Column, u: Column) -> Column:
         swapped = F.concat(F.substring(w, 1, 1), F.substring(w, 3, 1), F.substring(w, 2, 1), F.substr(w, F.lit(4)))
-        hit = (F.length(w) >= 4) & (_chance(key, f"{seed}-typo", i) < share)
-        return F.when(hit, swapped).otherwise(w)
+        return F.when((F.length(w) >= 4) & (u < share), swapped).otherwise(w)
 
-    return F.array_join(F.transform(words, scramble), " ")
+    return F.array_join(F.zip_with(words, _chances(words, key, f"{seed}-typo"), scramble), " ")

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from talkgauge.functions.hashing import hash_place
+
 BROADCAST_ROWS = 100_000
 HOT_ROWS = 2_000_000
 SPLIT_POINTS = 16_384
@@ -50,6 +52,15 @@ def attach(big: DataFrame, small: DataFrame, on: Sequence[str] | str, how: str =
     return keyed_join(big, F.broadcast(side) if is_small else side, on, how, null_safe)
 
 
+def filter_after(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter on computed columns without computing them twice.
+
+    A plain filter is pushed below the projections it reads and repeats their
+    expressions there, model calls included; a generator stays where it is.
+    """
+    return df.select("*", F.explode(F.when(condition, F.array(F.lit(True)))).alias("_keep")).drop("_keep")
+
+
 def split_join(rows: DataFrame, per_key: DataFrame, on: Sequence[str], n: str = "_n", hot_rows: int = HOT_ROWS,
                max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Inner join of rows with a written one-row-per-key table that counts them in ``n``.
@@ -116,18 +127,6 @@ def order_rank(df: DataFrame, keys: Sequence[str], order: str, tie: str, out: st
     )
 
 
-def hash_place(key: Column | str, seed: int | str) -> Column:
-    """Reproducible pseudo-random place of a row: SHA-256 of ``seed:key`` in hex."""
-    key = F.col(key) if isinstance(key, str) else key
-    return F.sha2(F.concat(F.lit(f"{seed}:"), key.cast("string")), 256)
-
-
-def hash_unit(key: Column, seed: int | str) -> Column:
-    """Reproducible number in [0, 1) from the first 8 hex digits of an MD5."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-
-
 def hash_cuts(df: DataFrame, group: str, key: str, seed: int | str, cuts: dict[str, Column]) -> DataFrame:
     """Hash places that cut each group at exact ranks, one row per group.
 

@@ -119,16 +119,17 @@ def merged_history(spark: SparkSession, folder: str) -> DataFrame:
 
 @register(
     f"""WITH {MESSAGES_SQL},
-    odd AS (SELECT * FROM p WHERE msg_id%2=1), even AS (SELECT * FROM p WHERE msg_id%2=0),
-    f AS (SELECT u1,u2,min(us) AS first_new, count(*) AS n_new FROM odd GROUP BY u1,u2),
-    l AS (SELECT u1,u2,max(us) AS last_old FROM even GROUP BY u1,u2)
+    d AS (SELECT *, least(sender,receiver) AS u1, greatest(sender,receiver) AS u2 FROM m),
+    f AS (SELECT u1,u2,min(us) AS first_new, count(*) AS n_new FROM d WHERE sender>receiver GROUP BY u1,u2),
+    l AS (SELECT u1,u2,max(us) AS last_old FROM d WHERE sender<=receiver GROUP BY u1,u2)
     SELECT u1,u2,n_new,first_new,last_old,coalesce(first_new<last_old,false) AS out_of_order
     FROM f LEFT JOIN l USING (u1,u2)"""
 )
 def late_append_flags(spark: SparkSession, folder: str) -> DataFrame:
-    """Replies arriving after the questions they answer: most chats need a re-sort."""
-    rows = pairs(spark, folder)
-    return keys.late_appends(rows.filter("msg_id % 2 = 0"), rows.filter("msg_id % 2 = 1"))
+    """One direction of every chat is stored, the other arrives later: most chats need a re-sort."""
+    rows = messages(spark, folder)
+    upward = F.col("sender") <= F.col("receiver")
+    return keys.late_appends(keys.with_pair(rows.filter(upward)), keys.with_pair(rows.filter(~upward)))
 
 
 @register(

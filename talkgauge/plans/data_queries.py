@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from talkgauge.operators import neardup, prepare, profile
 from talkgauge.plans.registry import register
-from talkgauge.plans.tables import labelled, table
+from talkgauge.plans.tables import labelled, table, texts
 from talkgauge.plans.text_queries import blanks_sql, clean_sql, words_sql
 from talkgauge.session import materialize, scratch_path
 from talkgauge.sources import datasets
@@ -28,8 +28,8 @@ def r6(df: DataFrame, *names: str) -> DataFrame:
 
 
 def _kept(spark: SparkSession, folder: str) -> DataFrame:
-    rows = prepare.drop_empty(prepare.cleaned(labelled(spark, folder)))
-    return prepare.first_copies(rows, "doc_id")
+    rows = prepare.cleaned(labelled(spark, folder), keep_empty=False)
+    return prepare.first_copies(materialize(rows, "cleaned"), "doc_id")
 
 
 def _dataset(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,7 +37,7 @@ def _dataset(spark: SparkSession, folder: str) -> DataFrame:
 
     Written once: the split passes over keys and labels must not clean again.
     """
-    rows = prepare.drop_empty(prepare.cleaned(table(spark, folder, "documents").select("doc_id", "text", "lang")))
+    rows = prepare.cleaned(texts(spark, folder, "documents").select("doc_id", "text", "lang"), keep_empty=False)
     return materialize(prepare.as_dataset(rows, label="lang", key="doc_id"), "cleaned")
 
 
@@ -148,7 +148,7 @@ WORDS_SQL = f"b AS (SELECT doc_id, lang, text, {blanks_sql('text')} AS bt FROM d
       round(quantile_cont(words,0.95),6) AS p95, round(100.0*avg(CASE WHEN words>256 THEN 1.0 ELSE 0 END),6) AS percent_above FROM w"""
 )
 def length_statistics(spark: SparkSession, folder: str) -> DataFrame:
-    stats = profile.length_stats(table(spark, folder, "documents"))
+    stats = profile.length_stats(texts(spark, folder, "documents"))
     return r6(stats, "mean", "median", "p25", "p75", "p95", "percent_above")
 
 
@@ -160,7 +160,7 @@ def length_statistics(spark: SparkSession, folder: str) -> DataFrame:
 )
 def stats_record(spark: SparkSession, folder: str) -> DataFrame:
     """The statistics row after a trip through its JSON file; the class map as text."""
-    record = profile.stats_record(table(spark, folder, "documents"), label="lang")
+    record = profile.stats_record(texts(spark, folder, "documents"), label="lang")
     path = scratch_path(spark, "stats")
     datasets.write_json(record, path)
     again = datasets.read_json_lines(spark, path, record.schema)
@@ -175,7 +175,7 @@ def stats_record(spark: SparkSession, folder: str) -> DataFrame:
       round(100.0*(count(*) - count(DISTINCT CASE WHEN t<>'' THEN t END))/count(*),6) AS removed_percent FROM k"""
 )
 def cleaning_report(spark: SparkSession, folder: str) -> DataFrame:
-    rows = prepare.cleaned(table(spark, folder, "documents").select("doc_id", "text"))
+    rows = prepare.cleaned(texts(spark, folder, "documents").select("doc_id", "text"))
     return r6(profile.cleaning_report(rows), "removed_percent")
 
 
@@ -193,7 +193,7 @@ SPECIAL_SQL = r"round(CASE WHEN length(text)>0 THEN len(regexp_extract_all(text,
     SELECT doc_id, words, special, words<lo AS too_short, words>hi AS too_long, special>sp AS too_special FROM v, q"""
 )
 def outlier_documents(spark: SparkSession, folder: str) -> DataFrame:
-    return profile.outliers(table(spark, folder, "documents"), "doc_id")
+    return profile.outliers(texts(spark, folder, "documents"), "doc_id")
 
 
 @register("SELECT sha256(text) AS text_key, count(*) AS n, count(DISTINCT source) AS labels FROM documents GROUP BY 1 HAVING count(DISTINCT source)>1")
@@ -215,14 +215,15 @@ def data_version(spark: SparkSession, folder: str) -> DataFrame:
 
 @register(f"WITH {CLEAN_DOCS_SQL} SELECT doc_id, sha256(t) AS digest FROM k WHERE t<>''")
 def emptied_dropped(spark: SparkSession, folder: str) -> DataFrame:
-    rows = prepare.drop_empty(prepare.cleaned(table(spark, folder, "documents").select("doc_id", "text")))
+    rows = prepare.cleaned(texts(spark, folder, "documents").select("doc_id", "text"), keep_empty=False)
     return rows.select("doc_id", F.sha2("text_cleaned", 256).alias("digest"))
 
 
 @register(f"WITH {CLEAN_DOCS_SQL} SELECT min(doc_id) AS doc_id, sha256(t) AS digest FROM k WHERE t<>'' GROUP BY t")
 def copies_dropped(spark: SparkSession, folder: str) -> DataFrame:
-    rows = prepare.drop_empty(prepare.cleaned(table(spark, folder, "documents").select("doc_id", "text")))
-    return prepare.first_copies(rows, "doc_id").select("doc_id", F.sha2("text_cleaned", 256).alias("digest"))
+    rows = prepare.cleaned(texts(spark, folder, "documents").select("doc_id", "text"), keep_empty=False)
+    kept = prepare.first_copies(materialize(rows.select("doc_id", "text_cleaned"), "cleaned"), "doc_id")
+    return kept.select("doc_id", F.sha2("text_cleaned", 256).alias("digest"))
 
 
 @register(f"WITH {KEPT_SQL} SELECT doc_id AS id, sha256(t) AS digest, quality AS label FROM kept")
@@ -242,7 +243,7 @@ def prepared_dataset(spark: SparkSession, folder: str) -> DataFrame:
 )
 def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Flagged near copies; the twin compares all pairs exactly."""
-    return neardup.near_duplicates(table(spark, folder, "documents")).select("doc_id", "first")
+    return neardup.near_duplicates(texts(spark, folder, "documents")).select("doc_id", "first")
 
 
 # --- splits ------------------------------------------------------------------------------
@@ -264,6 +265,17 @@ def texts_in_two_splits(spark: SparkSession, folder: str) -> DataFrame:
     return prepare.shared_texts(_splits(spark, folder))
 
 
+@register(
+    f"""WITH b AS MATERIALIZED (SELECT item_id, ' ' || {blanks_sql('text')} || ' ' AS bt FROM benchmark),
+    d AS MATERIALIZED (SELECT doc_id, ' ' || {blanks_sql('text')} || ' ' AS dt FROM documents)
+    SELECT doc_id, item_id FROM d JOIN b ON contains(dt, bt) WHERE trim(bt)<>''"""
+)
+def held_out_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a benchmark passage in full: the test data would not be independent."""
+    docs = texts(spark, folder, "documents").select("doc_id", "text")
+    return prepare.contained_passages(docs, table(spark, folder, "benchmark"), "doc_id", "item_id")
+
+
 @register(
     """WITH r AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY sha256('42:' || doc_id))-1 AS rk, count(*) OVER (PARTITION BY quality) AS n FROM labels)
     SELECT doc_id, quality, CAST((rk>=floor(n*0.2+0.5))::INT + (rk>=floor(n*0.4+0.5))::INT + (rk>=floor(n*0.6+0.5))::INT + (rk>=floor(n*0.8+0.5))::INT AS INTEGER) AS fold FROM r"""
@@ -315,16 +327,22 @@ def oversampled(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- tokens and augmentation -------------------------------------------------------------
 
+# CRC-32 of every distinct word, byte by byte from its table.
+CRC_SQL = """tab AS (SELECT list(list_reduce(range(8), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, n) ORDER BY n) AS t
+    FROM (SELECT unnest(range(256)) AS n)),
+bytes AS (SELECT x, list_transform(range(octet_length(encode(x))), lambda b: ('0x' || substr(hex(encode(x)), 2*b+1, 2))::BIGINT) AS bs FROM (SELECT DISTINCT x FROM u)),
+crcs AS (SELECT x, xor(list_reduce(bs, lambda c, b: xor(t[(xor(c, b) & 255)+1], c >> 8), 4294967295), 4294967295) AS crc FROM bytes, tab)"""
 
 @register(
     f"""WITH b AS (SELECT doc_id, {blanks_sql('lower(text)')} AS t FROM documents),
     w AS (SELECT doc_id, list_slice(list_filter(string_split(t,' '), lambda x: x<>''),1,256) AS w FROM b),
-    i AS (SELECT doc_id, list_transform(w, lambda x: ('0x' || substr(md5(x),1,7))::BIGINT % 29998 + 2) AS ids FROM w)
-    SELECT doc_id, len(ids)::BIGINT AS used, coalesce(list_sum(list_transform(ids, lambda x, k: x*k)),0)::BIGINT AS checksum, 256::INTEGER AS width FROM i"""
+    u AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w,1) AS k FROM w), {CRC_SQL},
+    i AS (SELECT doc_id, count(*) AS used, sum((crc % 29998 + 2)*k)::BIGINT AS checksum FROM u JOIN crcs USING (x) GROUP BY doc_id)
+    SELECT doc_id, coalesce(used,0)::BIGINT AS used, coalesce(checksum,0)::BIGINT AS checksum, 256::INTEGER AS width FROM w LEFT JOIN i USING (doc_id)"""
 )
 def tokenized_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Hashed word ids of fixed length, summed up by position."""
-    rows = prepare.tokenized(table(spark, folder, "documents").select("doc_id", "text"))
+    rows = prepare.tokenized(texts(spark, folder, "documents").select("doc_id", "text"))
     total = F.aggregate(F.transform("input_ids", lambda x, i: x.cast("bigint") * (i + 1)), F.lit(0).cast("bigint"), lambda a, x: a + x)
     used = F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda a, x: a + x)
     return rows.select("doc_id", used.alias("used"), total.alias("checksum"), F.size("input_ids").alias("width"))
@@ -348,8 +366,22 @@ def tokenized_with_plugin(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("conv_id", "turn", used.alias("used"), F.size("input_ids").alias("width"))
 
 
-def chance_sql(tag: str, place: str) -> str:
-    return f"('0x' || substr(md5('42-{tag}:' || id || ':' || ({place})),1,8))::BIGINT/4294967296.0"
+def seed_sql(tag: str, key: str = "id") -> str:
+    return f"('0x' || substr(md5('{tag}:' || {key}),1,15))::BIGINT"
+
+
+def unit_sql(seed: str, place: str) -> str:
+    """The number sequence of a row: two squarings modulo 2^31-1, widened so that nothing overflows."""
+    low = f"((({seed} & 2147483647) + ({place})*40503) % 2147483647)::HUGEINT"
+    once = f"(({low}*{low} + ({seed} >> 31)) % 2147483647)"
+    return f"(({once}*{once} + ({place}) + 6789) % 2147483647)::DOUBLE/2147483647.0"
+
+
+def seeded_sql(tag: str, source: str = "wd") -> str:
+    return f"sd AS (SELECT *, {seed_sql(tag)} AS s0 FROM {source})"
+
+
+CHANCE_SQL = unit_sql("s0", "i-1")
 
 
 VARIANT_SQL = f"""{SPLITS_SQL}, wd AS (SELECT id, label, split, string_split(text,' ') AS w FROM sp WHERE split='train'),
@@ -357,7 +389,7 @@ orig AS (SELECT id, split, 'original' AS variant, sha256(text) AS digest FROM sp
 
 
 @register(
-    f"""WITH {VARIANT_SQL}, d AS (SELECT id, split, list_filter(w, lambda x, i: {chance_sql('delete', 'i-1')} >= 0.1) AS v, w FROM wd)
+    f"""WITH {VARIANT_SQL}, {seeded_sql('42-delete')}, d AS (SELECT id, split, list_filter(w, lambda x, i: {CHANCE_SQL} >= 0.1) AS v, w FROM sd)
     SELECT * FROM orig UNION ALL SELECT id, split, 'deletion', sha256(array_to_string(CASE WHEN len(v)>0 THEN v ELSE w[1:1] END,' ')) FROM d"""
 )
 def words_deleted(spark: SparkSession, folder: str) -> DataFrame:
@@ -366,8 +398,8 @@ def words_deleted(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @register(
-    f"""WITH {VARIANT_SQL}, d AS (SELECT id, split, flatten(list_transform(w, lambda x, i: CASE WHEN {chance_sql('insert', 'i-1')} < 0.1
-        THEN [x, w[CAST(floor({chance_sql('pick', 'i-1')}*len(w)) AS BIGINT)+1]] ELSE [x] END)) AS v FROM wd)
+    f"""WITH {VARIANT_SQL}, {seeded_sql('42-insert')}, d AS (SELECT id, split, flatten(list_transform(w, lambda x, i: CASE WHEN {CHANCE_SQL} < 0.1
+        THEN [x, w[CAST(floor({CHANCE_SQL}/0.1*len(w)) AS BIGINT)+1]] ELSE [x] END)) AS v FROM sd)
     SELECT * FROM orig UNION ALL SELECT id, split, 'insertion', sha256(array_to_string(v,' ')) FROM d"""
 )
 def words_inserted(spark: SparkSession, folder: str) -> DataFrame:
@@ -382,7 +414,7 @@ def _synonyms(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("the", "that"), ("of", "from"), ("en", "dans"), ("der", "jener")], "word string, synonym string")
 
 
-SYNONYMS_SQL = f"""WITH {VARIANT_SQL}, d AS (SELECT id, split, list_transform(w, lambda x, i: CASE WHEN {chance_sql('synonym', 'i-1')} < 0.5 THEN {SYNONYM_SQL} ELSE x END) AS v FROM wd)
+SYNONYMS_SQL = f"""WITH {VARIANT_SQL}, {seeded_sql('42-synonym')}, d AS (SELECT id, split, list_transform(w, lambda x, i: CASE WHEN {CHANCE_SQL} < 0.5 THEN {SYNONYM_SQL} ELSE x END) AS v FROM sd)
     SELECT * FROM orig UNION ALL SELECT id, split, 'synonym', sha256(array_to_string(v,' ')) FROM d"""
 
 

@@ -12,9 +12,9 @@ from talkgauge.functions.vectors import argmax, mean_logits, softmax
 from talkgauge.operators import classify, evaluate, prepare
 from talkgauge.plans import dataset_jobs
 from talkgauge.plans.chat_queries import CENTROID_SQL, SCORE_SQL, SCORED_SQL, bundle_rows
-from talkgauge.plans.data_queries import LABELLED_SQL, r6
+from talkgauge.plans.data_queries import CHANCE_SQL, LABELLED_SQL, r6, seed_sql, unit_sql
 from talkgauge.plans.registry import register
-from talkgauge.plans.tables import labelled, table
+from talkgauge.plans.tables import labelled, table, texts
 from talkgauge.plans.text_queries import blanks_sql
 from talkgauge.session import materialize, scratch_path
 from talkgauge.sources import datasets
@@ -217,8 +217,8 @@ _POISSON_SQL = "+".join(f"(u>={p})::INT" for p in evaluate.POISSON_ONE)
 
 
 @register(
-    f"""WITH {LOGITS_SQL}, d AS (SELECT (label=predicted)::INT AS hit, r, ('0x' || substr(md5('42:' || r || ':' || vec_id),1,8))::BIGINT/4294967296.0 AS u
-      FROM pr, (SELECT unnest(range(0,100)) AS r)),
+    f"""WITH {LOGITS_SQL}, sd AS (SELECT label, predicted, {seed_sql('42', 'vec_id')} AS s0 FROM pr),
+    d AS (SELECT (label=predicted)::INT AS hit, r, {unit_sql('s0', 'r')} AS u FROM sd, (SELECT unnest(range(0,100)) AS r)),
     w AS (SELECT r, sum(({_POISSON_SQL})*hit)/sum({_POISSON_SQL}) AS a FROM d GROUP BY r)
     SELECT round(avg(a),6) AS mean, round(quantile_cont(a,0.025),6) AS low, round(quantile_cont(a,0.975),6) AS high FROM w"""
 )
@@ -275,13 +275,13 @@ def signal_to_noise(spark: SparkSession, folder: str) -> DataFrame:
 
 @register(
     f"""WITH b AS (SELECT doc_id, {blanks_sql('text')} AS t FROM documents), w AS (SELECT doc_id, t, string_split(t,' ') AS w FROM b),
-    x AS (SELECT doc_id, list_transform(w, lambda v, i: CASE WHEN length(v)>=4 AND ('0x' || substr(md5('42-typo:' || doc_id || ':' || (i-1)),1,8))::BIGINT/4294967296.0 < 0.3
-      THEN v[1:1] || v[3:3] || v[2:2] || v[4:] ELSE v END) AS y FROM w)
+    sd AS (SELECT *, {seed_sql('42-typo', 'doc_id')} AS s0 FROM w),
+    x AS (SELECT doc_id, list_transform(w, lambda v, i: CASE WHEN length(v)>=4 AND {CHANCE_SQL} < 0.3 THEN v[1:1] || v[3:3] || v[2:2] || v[4:] ELSE v END) AS y FROM sd)
     SELECT doc_id, sha256(array_to_string(y,' ')) AS digest FROM x"""
 )
 def typo_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Perturbed texts for robustness checks."""
-    rows = table(spark, folder, "documents").select("doc_id", collapse_blanks(F.col("text")).alias("text"))
+    rows = texts(spark, folder, "documents").select("doc_id", collapse_blanks(F.col("text")).alias("text"))
     return rows.select("doc_id", F.sha2(prepare.with_typos(F.col("text"), F.col("doc_id"), 0.3), 256).alias("digest"))
 
 
@@ -343,7 +343,7 @@ def out_of_fold_label_errors(spark: SparkSession, folder: str) -> DataFrame:
 @register()
 def typo_robustness(spark: SparkSession, folder: str) -> DataFrame:
     """Quality classifier on words: test accuracy as typos grow."""
-    rows = prepare.as_dataset(prepare.drop_empty(prepare.cleaned(labelled(spark, folder))), label="quality", key="doc_id")
+    rows = prepare.as_dataset(prepare.cleaned(labelled(spark, folder), keep_empty=False), label="quality", key="doc_id")
     splits = prepare.split(materialize(rows, "labelled"))
     features = classify.text_features(splits.filter("split = 'train'"))
     model = classify.classifier(maxIter=10, regParam=0.01).fit(features)

@@ -20,6 +20,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table whose texts are expensive to process.
+
+    A single small file is one split, so one core would do all the work: such
+    an input is spread first.  With as many splits as cores nothing happens.
+    """
+    rows = table(spark, folder, name)
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def messages(spark: SparkSession, folder: str, as_names: bool = False) -> DataFrame:
     return conversation_messages(table(spark, folder, "conversations"), as_names)
 
@@ -45,5 +56,5 @@ def event_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 def labelled(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that have a quality label."""
-    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
+    docs = texts(spark, folder, "documents").select("doc_id", "text", "lang", "source")
     return docs.join(table(spark, folder, "labels"), "doc_id")

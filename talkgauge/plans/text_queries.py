@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from talkgauge.functions import textclean as tc
 from talkgauge.plans.registry import register
-from talkgauge.plans.tables import table
+from talkgauge.plans.tables import texts
 
 BLANK = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]"
 SOLID = r"[^\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]"
@@ -53,84 +53,84 @@ def _digest_sql(key: str, text: str, source: str) -> str:
 
 @register(_digest_sql("page_id", markup_sql("html"), "pages"))
 def page_markup_stripped(spark: SparkSession, folder: str) -> DataFrame:
-    return _digest(table(spark, folder, "pages"), "page_id", tc.strip_markup(F.col("html")))
+    return _digest(texts(spark, folder, "pages"), "page_id", tc.strip_markup(F.col("html")))
 
 
 @register(_digest_sql("page_id", urls_sql("html"), "pages"))
 def page_urls_replaced(spark: SparkSession, folder: str) -> DataFrame:
-    return _digest(table(spark, folder, "pages"), "page_id", tc.mark_urls(F.col("html")))
+    return _digest(texts(spark, folder, "pages"), "page_id", tc.mark_urls(F.col("html")))
 
 
 @register(_digest_sql("page_id", urls_sql("url || ' ' || html", ""), "pages"))
 def page_urls_removed(spark: SparkSession, folder: str) -> DataFrame:
-    return _digest(table(spark, folder, "pages"), "page_id", tc.mark_urls(F.concat_ws(" ", "url", "html"), "remove"))
+    return _digest(texts(spark, folder, "pages"), "page_id", tc.mark_urls(F.concat_ws(" ", "url", "html"), "remove"))
 
 
 @register(_digest_sql("doc_id", emails_sql("text"), "documents"))
 def document_emails_replaced(spark: SparkSession, folder: str) -> DataFrame:
-    return _digest(table(spark, folder, "documents"), "doc_id", tc.mark_emails(F.col("text")))
+    return _digest(texts(spark, folder, "documents"), "doc_id", tc.mark_emails(F.col("text")))
 
 
 @register(_digest_sql("doc_id", blanks_sql("text"), "documents"))
 def document_blanks_collapsed(spark: SparkSession, folder: str) -> DataFrame:
-    return _digest(table(spark, folder, "documents"), "doc_id", tc.collapse_blanks(F.col("text")))
+    return _digest(texts(spark, folder, "documents"), "doc_id", tc.collapse_blanks(F.col("text")))
 
 
 @register(_digest_sql("doc_id", f"regexp_replace(text, '[^a-zA-Z0-9\\s\\x{{0b}}\\x{{1c}}-\\x{{1f}}\\x{{85}}\\p{{Z}}.,!?;:\\-''\"]', '', 'g')", "documents"))
 def document_plain(spark: SparkSession, folder: str) -> DataFrame:
-    return _digest(table(spark, folder, "documents"), "doc_id", tc.keep_plain(F.col("text")))
+    return _digest(texts(spark, folder, "documents"), "doc_id", tc.keep_plain(F.col("text")))
 
 
 @register(_digest_sql("doc_id", "regexp_replace(text, '[^a-zA-Z0-9\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\p{Z}]', '', 'g')", "documents"))
 def document_plain_words(spark: SparkSession, folder: str) -> DataFrame:
-    return _digest(table(spark, folder, "documents"), "doc_id", tc.keep_plain(F.col("text"), punctuation=False))
+    return _digest(texts(spark, folder, "documents"), "doc_id", tc.keep_plain(F.col("text"), punctuation=False))
 
 
 @register(_digest_sql("doc_id", f"CASE WHEN {words_sql(blanks_sql('text'))}>=3 THEN {blanks_sql('text')} ELSE '' END", "documents"))
 def document_min_words(spark: SparkSession, folder: str) -> DataFrame:
-    return _digest(table(spark, folder, "documents"), "doc_id", tc.require_words(tc.collapse_blanks(F.col("text"))))
+    return _digest(texts(spark, folder, "documents"), "doc_id", tc.require_words(tc.collapse_blanks(F.col("text"))))
 
 
 @register(_digest_sql("doc_id", clean_sql("text"), "documents"))
 def cleaned_documents(spark: SparkSession, folder: str) -> DataFrame:
-    return _digest(table(spark, folder, "documents"), "doc_id", tc.clean(F.col("text")))
+    return _digest(texts(spark, folder, "documents"), "doc_id", tc.clean(F.col("text")))
 
 
 @register(_digest_sql("page_id", clean_sql("html"), "pages"))
 def cleaned_pages(spark: SparkSession, folder: str) -> DataFrame:
-    return _digest(table(spark, folder, "pages"), "page_id", tc.clean(F.col("html")))
+    return _digest(texts(spark, folder, "pages"), "page_id", tc.clean(F.col("html")))
 
 
 @register(_digest_sql("page_id", clean_sql("html", "", ""), "pages"))
 def cleaned_pages_links_removed(spark: SparkSession, folder: str) -> DataFrame:
     """Both replace flags off: links vanish."""
     text = tc.clean_joint(F.col("html"), replace_urls=False, replace_emails=False)
-    return _digest(table(spark, folder, "pages"), "page_id", text)
+    return _digest(texts(spark, folder, "pages"), "page_id", text)
 
 
 @register(_digest_sql("doc_id", "CASE WHEN n_chars%7=0 THEN '' ELSE text END", "documents"))
 def missing_as_empty(spark: SparkSession, folder: str) -> DataFrame:
     """Every seventh length is treated as missing text."""
     gone = F.when(F.col("n_chars") % 7 != 0, F.col("text"))
-    return _digest(table(spark, folder, "documents"), "doc_id", tc.present(gone))
+    return _digest(texts(spark, folder, "documents"), "doc_id", tc.present(gone))
 
 
 @register(_digest_sql("doc_id", "nfc_normalize(text)", "documents"))
 def normalized_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Compatibility forms do not occur in these texts, so the canonical form must agree."""
-    return _digest(table(spark, folder, "documents"), "doc_id", tc.normalize(F.col("text")))
+    return _digest(texts(spark, folder, "documents"), "doc_id", tc.normalize(F.col("text")))
 
 
 @register(_digest_sql("doc_id", r"regexp_replace(text, '\p{Cf}', '', 'g')", "documents"))
 def invisible_removed(spark: SparkSession, folder: str) -> DataFrame:
-    return _digest(table(spark, folder, "documents"), "doc_id", tc.drop_invisible(F.col("text")))
+    return _digest(texts(spark, folder, "documents"), "doc_id", tc.drop_invisible(F.col("text")))
 
 
 @register(
     r"""SELECT doc_id, len(regexp_extract_all(text, '[\x{fffd}\x{00}-\x{08}\x{0e}-\x{1b}\x{7f}]'))::INTEGER AS corrupt_chars FROM documents"""
 )
 def corrupt_characters(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", tc.corrupt_count(F.col("text")).alias("corrupt_chars"))
+    return texts(spark, folder, "documents").select("doc_id", tc.corrupt_count(F.col("text")).alias("corrupt_chars"))
 
 
 @register(
@@ -140,6 +140,6 @@ def corrupt_characters(spark: SparkSession, folder: str) -> DataFrame:
 )
 def long_documents(spark: SparkSession, folder: str) -> DataFrame:
     text = tc.collapse_blanks(F.col("text"))
-    return table(spark, folder, "documents").select(
+    return texts(spark, folder, "documents").select(
         "doc_id", tc.is_long(text).alias("is_long"), F.sha2(tc.first_words(text), 256).alias("digest")
     )

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from talkgauge.config import DatasetSettings
 from talkgauge.operators import neardup, prepare, profile
-from talkgauge.operators.scale import attach, bounded, hash_cuts, hash_place, split_join
+from talkgauge.functions.hashing import hash_place, row_seed, unit
+from talkgauge.operators.scale import attach, bounded, hash_cuts, split_join
 from talkgauge.plans import dataset_jobs
 from talkgauge.sources import datasets
 
@@ -86,6 +87,19 @@ def test_split_is_independent_of_row_order_and_partitions(spark):
     assert a == {tuple(r) for r in prepare.split(df.orderBy(F.rand(1)).repartition(7)).collect()}
 
 
+def test_row_sequences_look_uniform_and_unrelated(spark):
+    drawn = spark.range(4000).select(row_seed("id", 1).alias("s")).select(
+        *[unit(F.col("s"), F.lit(i)).alias(f"u{i}") for i in range(4)]
+    )
+    row = drawn.agg(
+        *[F.avg(f"u{i}").alias(f"m{i}") for i in range(4)], *[F.corr("u0", f"u{i}").alias(f"c{i}") for i in range(1, 4)],
+        *[F.avg((F.floor(F.col("u0") * 10) == d).cast("int")).alias(f"d{d}") for d in range(10)],
+        F.min("u0").alias("low"), F.max("u0").alias("high"),
+    ).first().asDict()
+    assert all(abs(row[f"m{i}"] - 0.5) < 0.02 for i in range(4)) and all(abs(row[f"c{i}"]) < 0.05 for i in range(1, 4))
+    assert all(abs(row[f"d{d}"] - 0.1) < 0.02 for d in range(10)) and row["low"] >= 0 and row["high"] < 1
+
+
 def test_folds_are_balanced(spark):
     df = spark.range(103).select("id", F.when(F.col("id") < 11, "rare").otherwise("common").alias("label"))
     counts = prepare.folds(df, 5).groupBy("label", "fold").count().collect()
@@ -189,6 +203,18 @@ def test_bounded_and_attach_agree_on_both_paths(spark):
     assert attach(nulls, small, "k", null_safe=True).first().v == "n"
 
 
+def test_contained_passages_against_brute_force(spark):
+    rng = random.Random(2)
+    passages = [" ".join(rng.choice("abcdefgh") for _ in range(n)) for n in (2, 5, 12)] + ["", "a  b\nc a"]
+    docs = [" ".join(rng.choice("abcdefgh") for _ in range(60)) for _ in range(40)] + ["", "a", passages[2] + " x", "xa b c ay"]
+    rows = spark.createDataFrame(list(enumerate(docs)), "doc bigint, text string")
+    held = spark.createDataFrame(list(enumerate(passages)), "item bigint, text string")
+    got = {tuple(r) for r in prepare.contained_passages(rows, held, "doc", "item").collect()}
+    flat = lambda t: " " + " ".join(t.split()) + " "
+    assert got == {(i, j) for i, d in enumerate(docs) for j, p in enumerate(passages) if p and flat(p) in flat(d)}
+    assert prepare.contained_passages(rows, held.filter("item = 3"), "doc", "item").count() == 0
+
+
 def test_split_join_equals_plain_join(spark):
     rows = spark.range(300).select(F.when(F.col("id") < 100, 0).otherwise(F.col("id") % 50).alias("k"), "id")
     per_key = rows.filter("k < 40").groupBy("k").agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("first"))

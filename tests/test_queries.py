@@ -85,6 +85,12 @@ def test_cleaning_evaluates_the_chain_once(spark):
     assert text.count("http") == 1 and text.count("ArrowEvalPython") == 1
 
 
+def test_dropping_emptied_texts_does_not_clean_twice(spark):
+    rows = prepare.cleaned(table(spark, SF, "documents").select("doc_id", "text"), keep_empty=False)
+    text = plan(rows.select("doc_id", "text_cleaned"))
+    assert text.count("ArrowEvalPython") == 1 and "Filter" not in text
+
+
 def test_scans_read_needed_columns_only(spark):
     assert "ReadSchema: struct<conv_id:bigint,turn:bigint,role:string>" in plan(QUERIES["pair_keys"](spark, SF))
     assert "ReadSchema: struct<lang:string>" in plan(QUERIES["class_imbalance"](spark, SF))
