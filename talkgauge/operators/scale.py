@@ -102,23 +102,28 @@ def order_rank(df: DataFrame, keys: Sequence[str], order: str, tie: str, out: st
     step = max(hot_rows // 4, hot // split_points, 1)
     place = F.struct(F.col(order).alias("o"), F.col(tie).alias("t"))
     hot_keys = counts.filter(F.col("_n") > hot_rows).select(*keys)
-    borders = (
+    borders, is_small = bounded(
         attach(df.filter(F.pmod(F.xxhash64(tie), F.lit(step)) == 0), hot_keys, keys, "left_semi", null_safe=True)
         .groupBy(*keys)
         .agg(F.array_sort(F.collect_list(place)).alias("_borders"))
     )
-    celled = (
-        attach(df, borders, keys, "left", null_safe=True)
-        .withColumn("_cell", F.coalesce(F.size(F.filter("_borders", lambda b: b <= place)), F.lit(0)))
-        .drop("_borders")
+    borders = F.broadcast(borders) if is_small else borders
+    cell = F.size(F.filter("_borders", lambda b: b <= place))
+    # Rows per cell are needed for hot keys only; all other keys are a single cell.
+    cells = keyed_join(df, borders, keys, "inner", null_safe=True).groupBy(*keys, cell.alias("_cell")).agg(
+        F.count(F.lit(1)).alias("_n")
     )
-    cells = celled.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*keys).orderBy(direction("_cell")).rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         cells.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .filter(F.col("_before") > 0)
         .drop("_n")
     )
+    celled = (
+        keyed_join(df, borders, keys, "left", null_safe=True)
+        .withColumn("_cell", F.when(F.col("_borders").isNull(), 0).otherwise(cell))
+        .drop("_borders")
+    )
     inside = F.row_number().over(W.partitionBy(*keys, "_cell").orderBy(*places))
     return (
         attach(celled, offsets, keys + ["_cell"], "left", null_safe=True)
