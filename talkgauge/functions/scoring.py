@@ -17,6 +17,11 @@ BUNDLE_PROMPT = (
     "{topic} (1 = completely unrelated, 10 = directly about it). Respond with only the integer score.\n"
     "Message bundle: {message}\n"
 )
+MESSAGE_PROMPT = (
+    "\nOn a scale of 1 to 10, rate how closely this message relates to the topic of {topic} "
+    "(1 = completely unrelated, 10 = directly about it). Respond with only the integer score.\nMessage: {message}\n"
+)
+SHORT_PROMPT = "Rate 1-10: {message} relevance to {topic}"
 YES_NO_PROMPT = "Is this message about {topic}? Answer only 'Yes' or 'No': {message}"
 SCORE_BANDS = ((3, "not relevant"), (6, "moderate"), (10, "high"))
 HISTOGRAM_BINS = ((2, "0-2"), (4, "3-4"), (6, "5-6"), (8, "7-8"), (10, "9-10"))
@@ -27,13 +32,9 @@ COMMON_WORDS = ("the", "and", "of", "en", "de", "der", "la", "que")
 
 def render_prompt(text: Column, topic: Column | str, template: str = BUNDLE_PROMPT) -> Column:
     """Fill ``{topic}`` and ``{message}``; the message is placed, never parsed."""
-    head, tail = template.split("{message}")
-    topic = F.lit(topic) if isinstance(topic, str) else topic
-    pieces = head.split("{topic}")
-    parts: list[Column] = [F.lit(pieces[0])]
-    for piece in pieces[1:]:
-        parts += [topic, F.lit(piece)]
-    return F.concat(*parts, text, F.lit(tail))
+    values = {"{topic}": F.lit(topic) if isinstance(topic, str) else topic, "{message}": text}
+    pieces = re.split(r"(\{topic\}|\{message\})", template)
+    return F.concat(*[values.get(piece, F.lit(piece)) for piece in pieces])
 
 
 def parse_score(answer: Column) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talkgauge.functions import textclean
-from talkgauge.functions.vectors import argmax
+from talkgauge.functions.vectors import argmax, softmax
 from talkgauge.operators import evaluate, prepare
 
 FEATURES = 1 << 14
@@ -45,8 +45,11 @@ def predictions(model: Model, df: DataFrame) -> DataFrame:
 
 
 def predict_with(df: DataFrame, make_model: Callable[[], Callable[[Sequence[str]], Sequence[Sequence[float]]]],
-                 text: str = "text") -> DataFrame:
-    """Batch inference with any model: ``make_model()`` runs once per task and maps texts to logits."""
+                 text: str = "text", return_probs: bool = False) -> DataFrame:
+    """Batch inference with any model: ``make_model()`` runs once per task and maps texts to logits.
+
+    Adds ``predicted``, or ``probabilities`` with ``return_probs``.
+    """
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def infer(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -54,7 +57,10 @@ def predict_with(df: DataFrame, make_model: Callable[[], Callable[[Sequence[str]
         for batch in batches:
             yield pd.Series([[float(x) for x in row] for row in model(batch.fillna("").tolist())], dtype=object)
 
-    return df.withColumn("logits", infer(F.col(text))).withColumn("predicted", argmax(F.col("logits")))
+    scored = df.withColumn("logits", infer(F.col(text)))
+    if return_probs:
+        return scored.withColumn("probabilities", softmax(F.col("logits"))).drop("logits")
+    return scored.withColumn("predicted", argmax(F.col("logits")))
 
 
 def macro_f1(scored: DataFrame) -> float:

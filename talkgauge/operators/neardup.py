@@ -1,9 +1,10 @@
 """Near-duplicate texts: MinHash bands find candidates, exact Jaccard decides.
 
-A text is flagged when more than 95 % of its word 3-shingles agree with the
-first text of a bucket it falls into.  Copies are folded before, and every
-text meets only the first of each bucket, so a bucket with a third of all
-texts costs as many comparisons as it has members, never their square.
+A text is flagged when its word 3-shingles agree by more than 95 % with those
+of an earlier text it shares a bucket with.  Copies are folded before.  In a
+small bucket all earlier texts are compared; in a large one only its first, so
+a bucket with a third of all texts costs as many comparisons as it has
+members, never their square.
 """
 
 from __future__ import annotations
@@ -21,8 +22,12 @@ from talkgauge.operators.scale import HOT_ROWS, split_join
 from talkgauge.session import materialize
 
 SHINGLE_WORDS = 3
-BANDS, ROWS = 16, 8
+# Bands as (count, rows each) over one signature.  Wide bands catch what is near; the narrow buckets of long
+# bands keep apart the many texts of one template, so that a text meets a first text that really resembles it.
+HASHES = 128
+LADDER = ((16, 8), (5, 24), (2, 64))
 LEAST_SIMILARITY = 0.95
+SMALL_BUCKET = 64
 _CHUNK = 4096
 
 
@@ -48,18 +53,21 @@ def with_shingles(df: DataFrame, key: str, text: str) -> DataFrame:
 def band_keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """MinHash of a shingle set, folded into one key per band."""
     rng = np.random.default_rng(20240101)
-    factor = rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    shift = rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
-    fold = rng.integers(1, 2**63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    factor = rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    shift = rng.integers(0, 2**63, HASHES, dtype=np.uint64)
+    fold = rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def one(shingles: np.ndarray) -> np.ndarray:
         hashes = np.asarray(shingles, dtype=np.int64).view(np.uint64)
-        best = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+        best = np.full(HASHES, np.iinfo(np.uint64).max, dtype=np.uint64)
         for start in range(0, len(hashes), _CHUNK):
             part = hashes[start : start + _CHUNK, None] * factor + shift
             # The high bits of a product are the mixed ones.
             np.minimum(best, (part ^ (part >> np.uint64(29))).min(axis=0), out=best)
-        return (best.reshape(BANDS, ROWS) * fold).sum(axis=1, dtype=np.uint64).view(np.int64)
+        keys = [
+            (best[: n * rows].reshape(n, rows) * fold[:rows]).sum(axis=1, dtype=np.uint64) for n, rows in LADDER
+        ]
+        return np.concatenate(keys).view(np.int64)
 
     for batch in batches:
         yield batch.map(one)
@@ -74,8 +82,10 @@ def first_texts(df: DataFrame, key: str, text: str, hot_rows: int = HOT_ROWS) ->
 
 
 def candidates(signed: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``(key, first)`` for every text that shares a band with an earlier one.
+    """``(key, first)`` pairs of texts that share a bucket, the second one earlier.
 
+    In a bucket of at most ``SMALL_BUCKET`` texts every text meets all earlier
+    ones, so work per text is bounded; in a larger one it meets the first.
     Sizes prune pairs that cannot reach the threshold before any set is read.
     """
     member = signed.select(key, "size", F.posexplode("bands").alias("band", "bucket"))
@@ -86,13 +96,21 @@ def candidates(signed: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFra
         "band", "bucket", F.col(f"_first.{key}").alias("first"), F.col("_first.size").alias("first_size"), "_n"
     )
     leader = materialize(leader, "leaders")
-    close = F.least("size", "first_size") > F.lit(LEAST_SIMILARITY) * F.greatest("size", "first_size")
-    return (
-        split_join(member, leader, ["band", "bucket"], hot_rows=hot_rows)
-        .filter((F.col(key) != F.col("first")) & close)
-        .select(key, "first")
-        .distinct()
+    members = materialize(split_join(member, leader, ["band", "bucket"], hot_rows=hot_rows), "members")
+
+    def close(one: Column, other: Column) -> Column:
+        return F.least(one, other) > F.lit(LEAST_SIMILARITY) * F.greatest(one, other)
+
+    crowded = members.filter((F.col("_n") > SMALL_BUCKET) & (F.col(key) != F.col("first")))
+    with_first = crowded.filter(close(F.col("size"), F.col("first_size"))).select(key, "first")
+
+    listed = members.filter(F.col("_n") <= SMALL_BUCKET).groupBy("band", "bucket").agg(
+        F.collect_list(F.struct(key, "size")).alias("all")
     )
+    each = listed.select(F.explode("all").alias("m"), "all")
+    earlier = F.filter("all", lambda o: (o[key] < F.col("m")[key]) & close(o["size"], F.col("m.size")))
+    with_each = each.select(F.col("m")[key].alias(key), F.explode(earlier).alias("o")).select(key, F.col("o")[key].alias("first"))
+    return with_first.unionByName(with_each).distinct()
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", hot_rows: int = HOT_ROWS) -> DataFrame:

@@ -80,18 +80,24 @@ def unseen_texts(bundled: DataFrame, cached: DataFrame, max_rows: int = BROADCAS
     return distinct_texts(bundled).join(cached.select("text_key"), "text_key", "left_anti")
 
 
-def score_missing(bundled: DataFrame, scorer, topic: str, cache_path: str) -> DataFrame:
-    """Score what the cache does not hold, store it, and return all scores.
+def score_missing(bundled: DataFrame, scorer, topic: str, cache_path: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Score what the cache does not hold, store it, and return the scores of ``bundled``.
 
     New scores are written before anything joins them: a retried task reads the
-    stored answer instead of asking again.
+    stored answer instead of asking again.  A daily batch needs few keys: they
+    pick their scores in the scan of the cache, which may be far larger.
     """
     spark = bundled.sparkSession
-    cached = load_scores(spark, cache_path, scorer.name, topic)
-    fresh = scorer.score(unseen_texts(bundled, cached), topic)
+    keys, is_small = bounded(bundled.select("text_key").distinct(), max_rows)
+
+    def stored() -> DataFrame:
+        scores = load_scores(spark, cache_path, scorer.name, topic).select("text_key", "score")
+        return scores.join(F.broadcast(keys), "text_key", "left_semi") if is_small else scores
+
+    fresh = scorer.score(unseen_texts(bundled, stored(), max_rows), topic)
     tagged = fresh.select("text_key", "score", F.lit(scorer.name).alias("scorer"), F.lit(topic).alias("topic"))
     append_scores(tagged, cache_path)
-    return load_scores(spark, cache_path, scorer.name, topic).select("text_key", "score")
+    return stored()
 
 
 def score_bundles(bundled: DataFrame, scorer, topic: str, cache_path: str, settle: bool = True) -> DataFrame:

@@ -14,7 +14,7 @@ from talkgauge.plans import relevance_jobs as jobs
 from talkgauge.plans.registry import register
 from talkgauge.plans.tables import AS_OF, EVENTS_AS_OF, HALF_LIFE, event_scores, messages, new_part, old_part, pairs, table
 from talkgauge.session import scratch_path
-from talkgauge.sources.messages import flatten_history, nest_history
+from talkgauge.sources.messages import contact_messages, flatten_history, nest_history
 from talkgauge.streaming import decayed_stream
 
 TOPIC = "Formula 1"
@@ -104,6 +104,25 @@ def nested_history(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@register(
+    f"""WITH s AS (SELECT CAST(conv_id AS VARCHAR) AS contact, {SCORE_SQL} AS score,
+      exp(-ln(2)/7*({AS_OF_SQL} - (epoch_us(TIMESTAMP '2024-01-01 00:00:00') + turn*300000000))/86400000000.0) AS w FROM conversations)
+    SELECT contact, count(*) AS n_messages, round(sum(CASE WHEN score>=3 THEN score*w ELSE 0 END),6) AS weighted_sum,
+      round(sum(CASE WHEN score>=3 THEN w ELSE 0 END),6) AS weight_sum FROM s GROUP BY contact"""
+)
+def contact_chat_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Nested histories of single contacts, scored without a second user."""
+    start = decay.to_micros("2024-01-01T00:00:00")
+    flat = table(spark, folder, "conversations").select(
+        F.col("conv_id").cast("string").alias("contact"), F.col("turn").alias("position"), "text",
+        F.timestamp_micros(F.lit(start) + F.col("turn") * 300_000_000).alias("ts"),
+    )
+    nested = nest_history(flat).select(F.create_map("contact", "messages").alias("history"))
+    chats = contact_messages(flatten_history(nested))
+    sums = relevance.chat_sums(relevance.weighted(relevance.additive_bundle_scores(chats, "message"), AS_OF, HALF_LIFE))
+    return sums.select(F.col("u1").alias("contact"), "n_messages", *r6("weighted_sum", "weight_sum"))
+
+
 SPLIT_SQL = """
 old AS (SELECT * FROM p WHERE us < epoch_us(TIMESTAMP '2024-01-25 00:00:00')),
 new AS (SELECT * FROM p WHERE us >= epoch_us(TIMESTAMP '2024-01-25 00:00:00'))"""

@@ -150,6 +150,8 @@ def test_predict_with_any_model(spark):
     rows = spark.createDataFrame([(1, "aa"), (2, ""), (3, None)], "id int, text string")
     got = classify.predict_with(rows, lambda: lambda texts: [[len(t), 1] for t in texts])
     assert {r.id: r.predicted for r in got.collect()} == {1: 0, 2: 1, 3: 1}
+    probs = classify.predict_with(rows, lambda: lambda texts: [[0.0, 0.0] for _ in texts], return_probs=True)
+    assert "logits" not in probs.columns and all(r.probabilities == [0.5, 0.5] for r in probs.collect())
 
 
 def test_robustness_reports_the_change(spark):

@@ -30,6 +30,12 @@ def test_prompt_places_message_untouched(spark):
     assert row.p == scoring.BUNDLE_PROMPT.replace("{topic}", "Formula 1").replace("{message}", "a {topic} $1 \\1")
 
 
+@pytest.mark.parametrize("template", [scoring.MESSAGE_PROMPT, scoring.SHORT_PROMPT, scoring.YES_NO_PROMPT])
+def test_other_prompts(spark, template):
+    got = spark.createDataFrame([("hi",)], "t string").select(scoring.render_prompt(F.col("t"), "F1", template)).first()[0]
+    assert got == template.format(topic="F1", message="hi")
+
+
 def test_content_key_is_sha256(spark):
     text = "é\n日本 🙂"
     got = spark.createDataFrame([(text,)], "t string").select(scoring.content_key(F.col("t"))).first()[0]
