@@ -515,6 +515,14 @@ def update_by_recompute(spark: SparkSession, folder: str) -> DataFrame:
     return state.select(*PAIR, "n_messages", *r6("weighted_sum", "weight_sum"))
 
 
+@register(UPDATED_SQL)
+def update_by_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Messages arriving as a stream, added to versioned state: must equal the full run."""
+    state = decayed_stream.run_chats(spark, folder, AS_OF, HALF_LIFE, scratch_path(spark, "stream"))
+    names = F.col("u1").cast("bigint"), F.col("u2").cast("bigint")
+    return state.select(F.least(*names).alias("u1"), F.greatest(*names).alias("u2"), "n_messages", *r6("weighted_sum", "weight_sum"))
+
+
 @register(f"WITH {MESSAGES_SQL}, {_bundle_chats_sql('us//86400000000', 'p')}")
 def update_by_recompute_daily(spark: SparkSession, folder: str) -> DataFrame:
     rows = pairs(spark, folder)

@@ -13,8 +13,12 @@ from pyspark.sql import types as T
 
 from talkgauge.functions.decay import day_number, forward_scale, forward_weight, micros, to_micros
 from talkgauge.functions.scoring import MIN_SCORE
-from talkgauge.plans.tables import event_scores, table
-from talkgauge.sources.store import save_version
+from talkgauge.operators.incremental import add_scored
+from talkgauge.operators.keys import with_pair
+from talkgauge.operators.relevance import additive_bundle_scores
+from talkgauge.plans.tables import table
+from talkgauge.sources.messages import conversation_messages
+from talkgauge.sources.store import STATE_SCHEMA, load_version
 
 LANDMARK = to_micros("2024-01-01T00:00:00")
 # exp() leaves the double range beyond about 1,000 half lives; re-base well before.
@@ -109,15 +113,44 @@ def run_days(spark: SparkSession, folder: str, root: str, late: str = "1 day") -
     return spark.read.schema(rows.schema).parquet(f"{root}/days")
 
 
-def update_state(batches: DataFrame, apply, root: str) -> None:
-    """Daily updates as micro-batches: ``apply(batch)`` returns the next state to store.
+def update_state(batches: DataFrame, apply, initial: DataFrame, root: str) -> DataFrame:
+    """Daily updates as micro-batches: ``apply(state, batch)`` returns the next state.
 
-    For bundle modes without an order-free form (count bundles).
+    For steps without an order-free form, such as count bundles.  Batch ``n``
+    reads version ``n`` and writes version ``n + 1``, so a batch that is run
+    again after a failure overwrites its own result and is never added twice.
     """
+    spark = batches.sparkSession
 
-    def step(batch: DataFrame, _number: int) -> None:
-        save_version(apply(batch), f"{root}/state")
+    def version(number: int) -> str:
+        return f"{root}/state/v={number:010d}"
 
-    batches.writeStream.foreachBatch(step).option("checkpointLocation", f"{root}/progress").trigger(
-        availableNow=True
-    ).start().awaitTermination()
+    def step(batch: DataFrame, number: int) -> None:
+        before = initial if number == 0 else spark.read.schema(initial.schema).parquet(version(number))
+        apply(before, batch).select(initial.columns).write.mode("overwrite").parquet(version(number + 1))
+
+    query = (
+        batches.writeStream.foreachBatch(step)
+        .option("checkpointLocation", f"{root}/progress")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return load_version(spark, f"{root}/state", initial.schema)
+
+
+def message_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The message view as a file stream."""
+    schema = table(spark, folder, "conversations").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(folder)
+    return conversation_messages(raw, as_names=True)
+
+
+def run_chats(spark: SparkSession, folder: str, as_of: int, half_life_days: float, root: str) -> DataFrame:
+    """Chat sums kept by a stream of messages: stored sums fade, each batch is added."""
+
+    def add(state: DataFrame, batch: DataFrame) -> DataFrame:
+        scored = additive_bundle_scores(with_pair(batch), "message")
+        return add_scored(state, scored, as_of, half_life_days)
+
+    return update_state(message_stream(spark, folder), add, spark.createDataFrame([], STATE_SCHEMA), root)

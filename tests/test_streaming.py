@@ -1,4 +1,5 @@
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -46,13 +47,25 @@ def test_arrival_order_does_not_matter_and_late_rows_count(spark):
     assert all(added[k] == pytest.approx(whole[k]) for k in whole)
 
 
-def test_state_batches_write_versions(spark, tmp_path):
-    folder = str(tmp_path / "in")
+def test_state_batches_build_on_each_other_and_replay_once(spark, tmp_path):
+    folder, root = str(tmp_path / "in"), scratch_path(spark, "state")
+    empty = spark.createDataFrame([], "user_id bigint, n bigint")
+
+    def add(state, batch):
+        return state.unionByName(batch.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))).groupBy("user_id").agg(F.sum("n").alias("n"))
+
+    def drain(progress=root):
+        stream = spark.readStream.schema(SCHEMA).parquet(folder)
+        return {r.user_id: r.n for r in ds.update_state(stream, add, empty, progress).collect()}
+
     spark.createDataFrame(rows(10), SCHEMA).coalesce(1).write.parquet(folder)
-    stream = spark.readStream.schema(SCHEMA).parquet(folder)
-    root = scratch_path(spark, "state")
-    ds.update_state(stream, lambda batch: batch.groupBy("user_id").count(), root)
-    assert spark.read.parquet(f"{root}/state/v=0000000001").count() == 3
+    assert drain() == {0: 4, 1: 3, 2: 3}
+    spark.createDataFrame(rows(16, 10), SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+    assert drain() == {0: 6, 1: 5, 2: 5}
+    # A lost commit marker makes the stream run its last batch again.
+    for name in (".1.crc", "1"):
+        (Path(root) / "progress" / "commits" / name).unlink()
+    assert drain() == {0: 6, 1: 5, 2: 5}
 
 
 def test_replays_are_dropped_within_the_watermark(spark, tmp_path):
