@@ -12,7 +12,19 @@ from talkgauge.operators.keys import PAIR
 from talkgauge.operators.scale import order_rank
 from talkgauge.plans import relevance_jobs as jobs
 from talkgauge.plans.registry import register
-from talkgauge.plans.tables import AS_OF, EVENTS_AS_OF, HALF_LIFE, event_scores, messages, new_part, old_part, pairs, table
+from talkgauge.plans.tables import (
+    AS_OF,
+    EVENTS_AS_OF,
+    HALF_LIFE,
+    event_scores,
+    event_stream,
+    message_stream,
+    messages,
+    new_part,
+    old_part,
+    pairs,
+    table,
+)
 from talkgauge.session import scratch_path
 from talkgauge.sources.messages import contact_messages, flatten_history, nest_history
 from talkgauge.streaming import decayed_stream
@@ -518,7 +530,7 @@ def update_by_recompute(spark: SparkSession, folder: str) -> DataFrame:
 @register(UPDATED_SQL)
 def update_by_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Messages arriving as a stream, added to versioned state: must equal the full run."""
-    state = decayed_stream.run_chats(spark, folder, AS_OF, HALF_LIFE, scratch_path(spark, "stream"))
+    state = decayed_stream.run_chats(message_stream(spark, folder), AS_OF, HALF_LIFE, scratch_path(spark, "stream"))
     names = F.col("u1").cast("bigint"), F.col("u2").cast("bigint")
     return state.select(F.least(*names).alias("u1"), F.greatest(*names).alias("u2"), "n_messages", *r6("weighted_sum", "weight_sum"))
 
@@ -620,7 +632,7 @@ def event_user_sums_forward(spark: SparkSession, folder: str) -> DataFrame:
 @register(EVENT_USERS_SQL)
 def event_user_sums_streamed(spark: SparkSession, folder: str) -> DataFrame:
     """The same sums kept by a stream over the events file."""
-    sums = decayed_stream.run_sums(spark, folder, HALF_LIFE, scratch_path(spark, "stream"))
+    sums = decayed_stream.run_sums(event_stream(spark, folder), "user_id", HALF_LIFE, scratch_path(spark, "stream"))
     return decayed_stream.read_at(sums, "user_id", EVENTS_AS_OF, HALF_LIFE).select("user_id", *r6("weighted_sum", "weight_sum"), "n")
 
 
@@ -630,4 +642,4 @@ def event_user_sums_streamed(spark: SparkSession, folder: str) -> DataFrame:
 )
 def event_days_streamed(spark: SparkSession, folder: str) -> DataFrame:
     """Day bundles of a stream: a day comes out once the watermark (one day late) has passed it."""
-    return decayed_stream.run_days(spark, folder, scratch_path(spark, "stream"))
+    return decayed_stream.run_days(event_stream(spark, folder), "user_id", scratch_path(spark, "stream"))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from talkgauge.functions import decay
 from talkgauge.operators import bundling, relevance, reports
-from talkgauge.operators.keys import PAIR
 from talkgauge.plans.chat_queries import CHATS_SQL, USERS_SQL, bundle_rows, chat_state, message_scores, r6
 from talkgauge.plans.registry import register
 from talkgauge.plans.tables import AS_OF, HALF_LIFE, pairs, table

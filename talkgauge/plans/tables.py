@@ -47,9 +47,26 @@ def new_part(rows: DataFrame) -> DataFrame:
     return rows.filter(F.unix_micros("ts") >= NEW_FROM)
 
 
+def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A given table as a file stream of the same schema."""
+    reader = spark.readStream.schema(table(spark, folder, name).schema)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+
+
+def message_stream(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_messages(stream(spark, folder, "conversations"), as_names=True)
+
+
+def event_stream(spark: SparkSession, folder: str) -> DataFrame:
+    return scored_events(stream(spark, folder, "events"))
+
+
 def event_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return scored_events(table(spark, folder, "events"))
+
+
+def scored_events(events: DataFrame) -> DataFrame:
     """Events as scored items: ``value`` clamped to a whole score of 1..10."""
-    events = table(spark, folder, "events")
     score = F.greatest(F.lit(1), F.least(F.lit(10), F.floor("value"))).cast("int")
     return events.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), score.alias("score"))
 

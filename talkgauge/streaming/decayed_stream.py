@@ -7,7 +7,7 @@ stream run the same aggregate.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,8 +16,6 @@ from talkgauge.functions.scoring import MIN_SCORE
 from talkgauge.operators.incremental import add_scored
 from talkgauge.operators.keys import with_pair
 from talkgauge.operators.relevance import additive_bundle_scores
-from talkgauge.plans.tables import table
-from talkgauge.sources.messages import conversation_messages
 from talkgauge.sources.store import STATE_SCHEMA, load_version
 
 LANDMARK = to_micros("2024-01-01T00:00:00")
@@ -57,26 +55,19 @@ def needs_rebase(landmark: int, now: int, half_life_days: float) -> bool:
     return (now - landmark) / 86_400_000_000 / half_life_days > SAFE_HALF_LIVES
 
 
-def event_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Events as a file stream with the schema of the stored table."""
-    schema = table(spark, folder, "events").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
-    score = F.greatest(F.lit(1), F.least(F.lit(10), F.floor("value"))).cast("int")
-    return raw.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), score.alias("score"))
-
-
 def once_per_id(stream: DataFrame, key: str = "event_id", late: str = "1 day") -> DataFrame:
     """Drop replays that arrive within the watermark."""
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def run_sums(spark: SparkSession, folder: str, half_life_days: float, root: str) -> DataFrame:
-    """Drain the event stream and return the newest sums of every user.
+def run_sums(scored: DataFrame, key: str, half_life_days: float, root: str) -> DataFrame:
+    """Drain a stream of scored rows and return the newest sums of every key.
 
-    Update mode emits only the users a batch touched.  A batch writes its own
+    Update mode emits only the keys a batch touched.  A batch writes its own
     folder, so a repeated batch overwrites itself and nothing else.
     """
-    sums = forward_sums(event_stream(spark, folder), "user_id", half_life_days)
+    spark = scored.sparkSession
+    sums = forward_sums(scored, key, half_life_days)
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/sums/batch={number}")
@@ -90,17 +81,17 @@ def run_sums(spark: SparkSession, folder: str, half_life_days: float, root: str)
     )
     query.awaitTermination()
     written = spark.read.schema(T.StructType(sums.schema.fields + [T.StructField("batch", T.LongType())])).parquet(f"{root}/sums")
-    newest = written.groupBy("user_id").agg(F.max_by(F.struct("forward_weighted", "forward_weight", "n"), "batch").alias("s"))
-    return newest.select("user_id", "s.*")
+    newest = written.groupBy(key).agg(F.max_by(F.struct("forward_weighted", "forward_weight", "n"), "batch").alias("s"))
+    return newest.select(key, "s.*")
 
 
-def run_days(spark: SparkSession, folder: str, root: str, late: str = "1 day") -> DataFrame:
-    """Closed day bundles per user: each day is written once, when the watermark has passed it."""
-    stream = event_stream(spark, folder).withWatermark("ts", late)
-    days = stream.groupBy("user_id", F.window("ts", "1 day")).agg(
+def run_days(scored: DataFrame, key: str, root: str, late: str = "1 day") -> DataFrame:
+    """Closed day bundles per key: each day is written once, when the watermark has passed it."""
+    spark = scored.sparkSession
+    days = scored.withWatermark("ts", late).groupBy(key, F.window("ts", "1 day")).agg(
         F.sum("score").alias("score_sum"), F.count(F.lit(1)).alias("n")
     )
-    rows = days.select("user_id", day_number(F.col("window.start")).alias("day"), "score_sum", "n")
+    rows = days.select(key, day_number(F.col("window.start")).alias("day"), "score_sum", "n")
     query = (
         rows.writeStream.outputMode("append")
         .format("parquet")
@@ -139,18 +130,12 @@ def update_state(batches: DataFrame, apply, initial: DataFrame, root: str) -> Da
     return load_version(spark, f"{root}/state", initial.schema)
 
 
-def message_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """The message view as a file stream."""
-    schema = table(spark, folder, "conversations").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(folder)
-    return conversation_messages(raw, as_names=True)
-
-
-def run_chats(spark: SparkSession, folder: str, as_of: int, half_life_days: float, root: str) -> DataFrame:
+def run_chats(messages: DataFrame, as_of: int, half_life_days: float, root: str) -> DataFrame:
     """Chat sums kept by a stream of messages: stored sums fade, each batch is added."""
+    empty = messages.sparkSession.createDataFrame([], STATE_SCHEMA)
 
     def add(state: DataFrame, batch: DataFrame) -> DataFrame:
         scored = additive_bundle_scores(with_pair(batch), "message")
         return add_scored(state, scored, as_of, half_life_days)
 
-    return update_state(message_stream(spark, folder), add, spark.createDataFrame([], STATE_SCHEMA), root)
+    return update_state(messages, add, empty, root)
