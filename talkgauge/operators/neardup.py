@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talkgauge.functions.textclean import collapse_blanks
-from talkgauge.operators.scale import HOT_ROWS, split_join
+from talkgauge.operators.scale import HOT_ROWS, attach, filter_after, split_join
 from talkgauge.session import materialize
 
 SHINGLE_WORDS = 3
@@ -45,8 +45,10 @@ def shingle_hashes(words: str) -> Column:
 
 
 def with_shingles(df: DataFrame, key: str, text: str) -> DataFrame:
-    worded = df.select(key, F.split(collapse_blanks(F.col(text)), " ").alias("_words"))
-    return worded.select(key, shingle_hashes("_words").alias("shingles"))
+    """Key, text digest and shingle set of every row."""
+    present = F.coalesce(F.col(text), F.lit(""))
+    worded = df.select(key, F.unhex(F.sha2(present, 256)).alias("digest"), F.split(collapse_blanks(present), " ").alias("_words"))
+    return worded.select(key, "digest", shingle_hashes("_words").alias("shingles"))
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -56,6 +58,7 @@ def band_keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     factor = rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     shift = rng.integers(0, 2**63, HASHES, dtype=np.uint64)
     fold = rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    place = rng.integers(0, 2**63, sum(n for n, _ in LADDER), dtype=np.uint64)
 
     def one(shingles: np.ndarray) -> np.ndarray:
         hashes = np.asarray(shingles, dtype=np.int64).view(np.uint64)
@@ -67,18 +70,31 @@ def band_keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         keys = [
             (best[: n * rows].reshape(n, rows) * fold[:rows]).sum(axis=1, dtype=np.uint64) for n, rows in LADDER
         ]
-        return np.concatenate(keys).view(np.int64)
+        # The place of a band is mixed in, so equal keys mean the same band.
+        return (np.concatenate(keys) + place).view(np.int64)
 
     for batch in batches:
         yield batch.map(one)
 
 
-def first_texts(df: DataFrame, key: str, text: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Each distinct text's lowest key beside every key that holds it."""
-    digests = df.select(key, F.unhex(F.sha2(text, 256)).alias("_d"))
-    firsts = digests.groupBy("_d").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("_n"))
+def signatures(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Digest, set size and band keys of every text, written in one scan.
+
+    Everything up to the final comparison works on these few numbers per text;
+    the texts themselves are never shuffled for it.
+    """
+    shingled = with_shingles(df, key, text)
+    return materialize(
+        shingled.select(key, "digest", F.size("shingles").alias("size"), band_keys("shingles").alias("bands")), "signatures"
+    )
+
+
+def copies_of(signed: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Every later copy of a text with the lowest key that holds it."""
+    digests = signed.select(key, "digest")
+    firsts = digests.groupBy("digest").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("_n"))
     firsts = materialize(firsts.filter(F.col("_n") > 1), "firsts")
-    return split_join(digests, firsts, ["_d"], hot_rows=hot_rows).filter(F.col(key) != F.col("first")).select(key, "first")
+    return split_join(digests, firsts, ["digest"], hot_rows=hot_rows).filter(F.col(key) != F.col("first")).select(key, "first")
 
 
 def candidates(signed: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -86,51 +102,41 @@ def candidates(signed: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFra
 
     In a bucket of at most ``SMALL_BUCKET`` texts every text meets all earlier
     ones, so work per text is bounded; in a larger one it meets the first.
-    Sizes prune pairs that cannot reach the threshold before any set is read.
+    There, sizes prune pairs that cannot reach the threshold before any set is read.
     """
-    member = signed.select(key, "size", F.posexplode("bands").alias("band", "bucket"))
-    leader = member.groupBy("band", "bucket").agg(
-        F.min(F.struct(key, "size")).alias("_first"), F.count(F.lit(1)).alias("_n")
-    )
-    leader = leader.filter(F.col("_n") > 1).select(
-        "band", "bucket", F.col(f"_first.{key}").alias("first"), F.col("_first.size").alias("first_size"), "_n"
-    )
-    leader = materialize(leader, "leaders")
-    members = materialize(split_join(member, leader, ["band", "bucket"], hot_rows=hot_rows), "members")
+    member = signed.select(key, "size", F.explode("bands").alias("bucket"))
+    leader = member.groupBy("bucket").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("_n"))
+    leader = materialize(leader.filter(F.col("_n") > 1), "leaders")
+    members = materialize(split_join(member, leader, ["bucket"], hot_rows=hot_rows), "members")
+    crowded = members.filter((F.col("_n") > SMALL_BUCKET) & (F.col(key) != F.col("first")))
 
     def close(one: Column, other: Column) -> Column:
         return F.least(one, other) > F.lit(LEAST_SIMILARITY) * F.greatest(one, other)
 
-    crowded = members.filter((F.col("_n") > SMALL_BUCKET) & (F.col(key) != F.col("first")))
-    with_first = crowded.filter(close(F.col("size"), F.col("first_size"))).select(key, "first")
-
-    listed = members.filter(F.col("_n") <= SMALL_BUCKET).groupBy("band", "bucket").agg(
+    listed = members.filter(F.col("_n") <= SMALL_BUCKET).groupBy("bucket").agg(
         F.collect_list(F.struct(key, "size")).alias("all")
     )
     each = listed.select(F.explode("all").alias("m"), "all")
     earlier = F.filter("all", lambda o: (o[key] < F.col("m")[key]) & close(o["size"], F.col("m.size")))
     with_each = each.select(F.col("m")[key].alias(key), F.explode(earlier).alias("o")).select(key, F.col("o")[key].alias("first"))
-    return with_first.unionByName(with_each).distinct()
+    return crowded.select(key, "first").unionByName(with_each).distinct()
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Flagged texts with the earlier text they repeat and their Jaccard similarity."""
-    copies = materialize(first_texts(df, key, text, hot_rows), "copies")
-    singles = df.select(key, text).join(copies.select(key), key, "left_anti")
-    shingled = with_shingles(singles, key, text)
-    signed = materialize(
-        shingled.select(key, F.size("shingles").alias("size"), band_keys("shingles").alias("bands")), "signatures"
-    )
-    pairs = materialize(candidates(signed, key, hot_rows), "candidates")
+    signed = signatures(df, key, text)
+    copies = materialize(copies_of(signed, key, hot_rows), "copies")
+    originals = attach(signed.drop("digest"), copies.select(key), key, "left_anti")
+    pairs = materialize(candidates(originals, key, hot_rows), "candidates")
     wanted = pairs.select(key).union(pairs.select("first")).distinct()
-    sets = materialize(with_shingles(df.join(wanted, key, "left_semi"), key, text), "shingles")
+    sets = materialize(with_shingles(attach(df, wanted, key, "left_semi"), key, text).drop("digest"), "shingles")
     both = pairs.join(sets, key).join(
         sets.select(F.col(key).alias("first"), F.col("shingles").alias("_other")), "first"
     )
     shared = F.size(F.array_intersect("shingles", "_other"))
     compared = both.select(key, "first", F.size("shingles").alias("_a"), F.size("_other").alias("_b"), shared.alias("_s"))
     similar = compared.withColumn("similarity", F.col("_s") / (F.col("_a") + F.col("_b") - F.col("_s")))
-    flagged = similar.filter(F.col("similarity") > LEAST_SIMILARITY).groupBy(key).agg(
+    flagged = filter_after(similar, F.col("similarity") > LEAST_SIMILARITY).groupBy(key).agg(
         F.min(F.struct("first", "similarity")).alias("_m")
     )
     return flagged.select(key, F.col("_m.first").alias("first"), F.col("_m.similarity").alias("similarity")).unionByName(
