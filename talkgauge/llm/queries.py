@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talkgauge.llm import exact_dedup, mixing, simhash
+from talkgauge.llm import exact_dedup, mixing, simhash, token_files
 from talkgauge.llm.common import table
+from talkgauge.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -71,3 +72,9 @@ def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_simhash")
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, folder, "documents"))
+
+
+@query("op6_token_files")
+def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    tokenizer = token_files.public_tokenizer("word_bpe_49k.json")
+    return token_files.encoded_documents(table(spark, folder, "documents"), scratch_path(spark, "token-files"), tokenizer)
