@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Bytes of text one vectorised step works on; a longer text is a step of its own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_KEPT_POWERS = [np.zeros(0, np.uint64)]
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
 
@@ -53,9 +54,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 
-def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every word, and for each row the number of words before it (``n + 1`` values)."""
-    inside = ~BLANK[raw]
+def word_spans(raw: np.ndarray, offsets: np.ndarray, letters: np.ndarray = ~BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every run of ``letters``, and for each row the number of runs before it (``n + 1`` values)."""
+    inside = letters[raw]
     first = inside.copy()
     last = inside.copy()
     if len(raw):
@@ -69,13 +70,23 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
+def _powers(n: int) -> np.ndarray:
+    """The first ``n`` powers of the hash base; those of the usual sizes are kept."""
+    if len(_KEPT_POWERS[0]) < n:
+        powers = np.full(max(n, STEP_BYTES + 1), _BASE, dtype=np.uint64)
+        powers[0] = 1
+        np.cumprod(powers, out=powers)
+        if n > STEP_BYTES + 1:
+            return powers
+        _KEPT_POWERS[0] = powers
+    return _KEPT_POWERS[0][:n]
+
+
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the bytes of each span, equal for equal bytes wherever they stand."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    powers = np.full(len(raw) + 1, _BASE, dtype=np.uint64)
-    powers[0] = 1
-    np.cumprod(powers, out=powers)
+    powers = _powers(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, dtype=np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers[:-1], out=sums[1:])
     # Multiplying by the power that is missing up to a common place makes spans comparable.
