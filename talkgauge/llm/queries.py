@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkgauge.llm import chat, decontaminate, exact_dedup, mixing, quality, simhash, token_counts, token_files
+from talkgauge.llm import chat, decontaminate, exact_dedup, mixing, pii, quality, simhash, token_counts, token_files
 from talkgauge.llm.common import table
 from talkgauge.session import scratch_path
 
@@ -128,3 +128,8 @@ def op9_chat_format(spark: SparkSession, folder: str) -> DataFrame:
                                   F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
     return chat.formatted_conversations(rows, token_files.public_tokenizer("byte_bpe_50k.json"))
+
+
+@query("op7_pii")
+def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.pseudonymised(table(spark, folder, "documents").select("doc_id", "text"))
