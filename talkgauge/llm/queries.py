@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkgauge.llm import chat, decontaminate, exact_dedup, mixing, pii, quality, simhash, token_counts, token_files
+from talkgauge.llm import chat, decontaminate, exact_dedup, licenses, mixing, pii, quality, simhash, token_counts, token_files
 from talkgauge.llm.common import table
 from talkgauge.session import scratch_path
 
@@ -26,6 +26,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+@query("op1_licenses")
+def op1_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.licences(table(spark, folder, "documents"))
+
+
 @query("op2_quality")
 def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
