@@ -70,7 +70,9 @@ def word_hits(text: Column, words: tuple[str, ...] = COMMON_WORDS) -> Column:
 
 
 def score_from_hits(hits: Column) -> Column:
-    return F.least(F.lit(HIGHEST).cast("bigint"), F.lit(LOWEST) + hits.cast("bigint")).cast("int")
+    """A missing text has no hits; ``least`` alone would skip the null and give the highest score."""
+    hits = F.coalesce(hits.cast("bigint"), F.lit(0))
+    return F.least(F.lit(HIGHEST).cast("bigint"), F.lit(LOWEST) + hits).cast("int")
 
 
 def word_score(text: Column, words: tuple[str, ...] = COMMON_WORDS) -> Column:

@@ -12,11 +12,12 @@ PAIR = ["u1", "u2"]
 
 
 def with_pair(messages: DataFrame) -> DataFrame:
-    """Undirected chat key: both directions of a chat share ``(u1, u2)``."""
+    """Undirected chat key: both directions of a chat share ``(u1, u2)``; without a sender or receiver ``u2`` is null."""
+    both = F.col("sender").isNotNull() & F.col("receiver").isNotNull()
     return messages.select(
         "msg_id",
         F.least("sender", "receiver").alias("u1"),
-        F.greatest("sender", "receiver").alias("u2"),
+        F.when(both, F.greatest("sender", "receiver")).alias("u2"),
         "text",
         "ts",
     )

@@ -140,7 +140,8 @@ def cosine(left: Column, right: Column) -> Column:
         products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
         return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
 
-    return dot(left, right) / F.sqrt(dot(left, left) * dot(right, right))
+    # A zero vector resembles nothing: its similarity is null.
+    return F.try_divide(dot(left, right), F.sqrt(dot(left, left) * dot(right, right)))
 
 
 def cosine_scores(vectors: DataFrame, topic_vector: DataFrame, column: str = "embedding") -> DataFrame:

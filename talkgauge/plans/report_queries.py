@@ -160,8 +160,8 @@ def decay_by_day(spark: SparkSession, folder: str) -> DataFrame:
     """The decay curve at the ages that occur among the event days."""
     days = table(spark, folder, "events").select(decay.day_number(F.col("ts").cast("timestamp")).alias("d")).distinct()
     ages = days.withColumn("_last", days.agg(F.max("d")).scalar()).select((F.col("_last") - F.col("d")).alias("day"))
-    curve = reports.decay_curve(spark, HALF_LIFE, 30)
-    return ages.join(curve, "day").select("day", *r6("weight"))
+    weight = F.exp(F.lit(-decay.rate(HALF_LIFE)) * F.col("day"))
+    return ages.select("day", weight.alias("weight")).select("day", *r6("weight"))
 
 
 @register(f"""{VIEW_SQL} SELECT round((SELECT sum(score) FROM us),6) AS sum_of_users, (SELECT count(*) FROM us) AS users, score AS overall_score FROM g""")

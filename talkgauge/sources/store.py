@@ -58,13 +58,17 @@ def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataF
 
 
 def load_scores(spark: SparkSession, path: str, scorer: str | None = None, topic: str | None = None) -> DataFrame:
-    """Cached scores; scorer and topic are partition folders, so others are not read."""
+    """One cached score per key; scorer and topic are partition folders, so others are not read.
+
+    Runs that overlap may append a key twice; a join with both rows would count a bundle double.
+    """
     scores = read_or_empty(spark, path, SCORES_SCHEMA)
     if scorer is not None:
         scores = scores.filter(F.col("scorer") == scorer)
     if topic is not None:
         scores = scores.filter(F.col("topic") == topic)
-    return scores
+    keys = [c for c in SCORES_SCHEMA.fieldNames() if c != "score"]
+    return scores.groupBy(*keys).agg(F.max("score").alias("score")).select(*SCORES_SCHEMA.fieldNames())
 
 
 def append_scores(scores: DataFrame, path: str) -> None:
