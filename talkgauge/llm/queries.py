@@ -104,9 +104,10 @@ def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     name, path = "word_bpe_49k", token_files.public_tokenizer("word_bpe_49k.json")
     ledger = token_counts.TokenLedger(spark, scratch_path(spark, "token-counts"))
     first = token_counts.change_rows(token_counts.counted(docs, path), "insert", name)
-    toxic = docs.join(labels.filter("toxic = 1").select("doc_id").distinct(), "doc_id", "left_semi")
-    low = docs.join(labels.filter("quality = 0").select("doc_id").distinct(), "doc_id", "left_semi")
-    revised = token_counts.counted(low.withColumn("text", F.translate("text", "#$%&*|!", "")), path)
+    # Only ids, groups and counts are joined with the labels, no texts.
+    toxic = docs.select("doc_id", "source", "lang").join(labels.filter("toxic = 1").select("doc_id").distinct(), "doc_id", "left_semi")
+    low = labels.filter("quality = 0").select("doc_id").distinct()
+    revised = token_counts.counted(docs.withColumn("text", F.translate("text", "#$%&*|!", "")), path).join(low, "doc_id", "left_semi")
     deleted = toxic.select("doc_id", "source", "lang", F.lit(0).alias("n_tokens"))
     second = token_counts.change_rows(revised, "revise", name).unionByName(token_counts.change_rows(deleted, "delete", name, 1))
     for number, changes in ((1, first), (1, first), (2, second), (2, second)):
