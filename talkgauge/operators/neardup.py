@@ -1,34 +1,23 @@
-"""Near-duplicate texts: MinHash bands find candidates, exact Jaccard decides.
+"""Near-duplicate texts: a prefix filter finds candidates, exact Jaccard decides.
 
 A text is flagged when its word 3-shingles agree by more than 95 % with those
-of an earlier text it shares a bucket with.  Copies are folded before.  In a
-small bucket all earlier texts are compared; in a large one only its first, so
-a bucket with a third of all texts costs as many comparisons as it has
-members, never their square.
+of an earlier text.  Copies are folded before.  Two such texts share a shingle
+among the rarest few of each, about 5 % of its shingles; texts meet on these
+only, so common passages bring nobody together.  The result equals comparing
+all pairs; work grows with the texts that share rare shingles.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from talkgauge.functions.textclean import collapse_blanks
 from talkgauge.operators.scale import HOT_ROWS, attach, filter_after, split_join
 from talkgauge.session import materialize
 
 SHINGLE_WORDS = 3
-# Bands as (count, rows each) over one signature.  Wide bands catch what is near; the narrow buckets of long
-# bands keep apart the many texts of one template, so that a text meets a first text that really resembles it.
-HASHES = 128
-LADDER = ((16, 8), (5, 24), (2, 64))
 LEAST_SIMILARITY = 0.95
-SMALL_BUCKET = 64
-_CHUNK = 4096
 
 
 def shingle_hashes(words: str) -> Column:
@@ -51,44 +40,6 @@ def with_shingles(df: DataFrame, key: str, text: str) -> DataFrame:
     return worded.select(key, "digest", shingle_hashes("_words").alias("shingles"))
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def band_keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """MinHash of a shingle set, folded into one key per band."""
-    rng = np.random.default_rng(20240101)
-    factor = rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    shift = rng.integers(0, 2**63, HASHES, dtype=np.uint64)
-    fold = rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    place = rng.integers(0, 2**63, sum(n for n, _ in LADDER), dtype=np.uint64)
-
-    def one(shingles: np.ndarray) -> np.ndarray:
-        hashes = np.asarray(shingles, dtype=np.int64).view(np.uint64)
-        best = np.full(HASHES, np.iinfo(np.uint64).max, dtype=np.uint64)
-        for start in range(0, len(hashes), _CHUNK):
-            part = hashes[start : start + _CHUNK, None] * factor + shift
-            # The high bits of a product are the mixed ones.
-            np.minimum(best, (part ^ (part >> np.uint64(29))).min(axis=0), out=best)
-        keys = [
-            (best[: n * rows].reshape(n, rows) * fold[:rows]).sum(axis=1, dtype=np.uint64) for n, rows in LADDER
-        ]
-        # The place of a band is mixed in, so equal keys mean the same band.
-        return (np.concatenate(keys) + place).view(np.int64)
-
-    for batch in batches:
-        yield batch.map(one)
-
-
-def signatures(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Digest, set size and band keys of every text, written in one scan.
-
-    Everything up to the final comparison works on these few numbers per text;
-    the texts themselves are never shuffled for it.
-    """
-    shingled = with_shingles(df, key, text)
-    return materialize(
-        shingled.select(key, "digest", F.size("shingles").alias("size"), band_keys("shingles").alias("bands")), "signatures"
-    )
-
-
 def copies_of(signed: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Every later copy of a text with the lowest key that holds it."""
     digests = signed.select(key, "digest")
@@ -97,48 +48,53 @@ def copies_of(signed: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFram
     return split_join(digests, firsts, ["digest"], hot_rows=hot_rows).filter(F.col(key) != F.col("first")).select(key, "first")
 
 
-def candidates(signed: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``(key, first)`` pairs of texts that share a bucket, the second one earlier.
+def prefixes(sets: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The rarest shingles of every text, as many as two similar texts cannot both lack.
 
-    In a bucket of at most ``SMALL_BUCKET`` texts every text meets all earlier
-    ones, so work per text is bounded; in a larger one it meets the first.
-    There, sizes prune pairs that cannot reach the threshold before any set is read.
+    Shingles held by one text come first in that order and can be left out.
     """
-    member = signed.select(key, "size", F.explode("bands").alias("bucket"))
-    leader = member.groupBy("bucket").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("_n"))
-    leader = materialize(leader.filter(F.col("_n") > 1), "leaders")
-    members = materialize(split_join(member, leader, ["bucket"], hot_rows=hot_rows), "members")
-    crowded = members.filter((F.col("_n") > SMALL_BUCKET) & (F.col(key) != F.col("first")))
+    each = sets.select(key, "size", F.explode("shingles").alias("shingle"))
+    counts = materialize(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1), "counts")
+    shared = split_join(each, counts, ["shingle"], hot_rows=hot_rows)
+    listed = shared.groupBy(key, "size").agg(F.array_sort(F.collect_list(F.struct("_n", "shingle"))).alias("_all"))
+    alone = F.col("size") - F.size("_all")
+    length = (F.col("size") - F.floor(F.lit(LEAST_SIMILARITY) * F.col("size")) - alone).cast("int")
+    rarest = listed.select(key, "size", F.explode(F.slice("_all", F.lit(1), F.greatest(length, F.lit(0)))).alias("_s"))
+    return rarest.select(key, "size", F.col("_s.shingle").alias("shingle"))
 
-    def close(one: Column, other: Column) -> Column:
-        return F.least(one, other) > F.lit(LEAST_SIMILARITY) * F.greatest(one, other)
 
-    listed = members.filter(F.col("_n") <= SMALL_BUCKET).groupBy("bucket").agg(
-        F.collect_list(F.struct(key, "size")).alias("all")
-    )
-    each = listed.select(F.explode("all").alias("m"), "all")
-    earlier = F.filter("all", lambda o: (o[key] < F.col("m")[key]) & close(o["size"], F.col("m.size")))
-    with_each = each.select(F.col("m")[key].alias(key), F.explode(earlier).alias("o")).select(key, F.col("o")[key].alias("first"))
-    return crowded.select(key, "first").unionByName(with_each).distinct()
+def candidates(sets: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``(key, first)`` pairs of texts that may be similar, the second one earlier."""
+    rare = materialize(prefixes(sets, key, hot_rows), "prefixes")
+    other = rare.select(F.col(key).alias("first"), F.col("size").alias("_size"), "shingle")
+    close = F.least("size", "_size") > F.lit(LEAST_SIMILARITY) * F.greatest("size", "_size")
+    return rare.join(other, "shingle").filter((F.col(key) > F.col("first")) & close).select(key, "first").distinct()
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Flagged texts with the earlier text they repeat and their Jaccard similarity."""
-    signed = signatures(df, key, text)
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", hot_rows: int = HOT_ROWS,
+                    earliest: bool = False) -> DataFrame:
+    """Flagged texts with the earlier text they repeat and their Jaccard similarity.
+
+    An exact copy names the first text it equals; with ``earliest`` it names what that text repeats, if anything.
+    """
+    signed = materialize(with_shingles(df, key, text).withColumn("size", F.size("shingles")), "shingles")
     copies = materialize(copies_of(signed, key, hot_rows), "copies")
-    originals = attach(signed.drop("digest"), copies.select(key), key, "left_anti")
-    pairs = materialize(candidates(originals, key, hot_rows), "candidates")
-    wanted = pairs.select(key).union(pairs.select("first")).distinct()
-    sets = materialize(with_shingles(attach(df, wanted, key, "left_semi"), key, text).drop("digest"), "shingles")
-    both = pairs.join(sets, key).join(
+    sets = materialize(attach(signed.drop("digest"), copies.select(key), key, "left_anti"), "originals")
+    pairs = candidates(sets, key, hot_rows)
+    both = pairs.join(sets.select(key, "shingles"), key).join(
         sets.select(F.col(key).alias("first"), F.col("shingles").alias("_other")), "first"
     )
     shared = F.size(F.array_intersect("shingles", "_other"))
     compared = both.select(key, "first", F.size("shingles").alias("_a"), F.size("_other").alias("_b"), shared.alias("_s"))
     similar = compared.withColumn("similarity", F.col("_s") / (F.col("_a") + F.col("_b") - F.col("_s")))
-    flagged = filter_after(similar, F.col("similarity") > LEAST_SIMILARITY).groupBy(key).agg(
+    best = filter_after(similar, F.col("similarity") > LEAST_SIMILARITY).groupBy(key).agg(
         F.min(F.struct("first", "similarity")).alias("_m")
     )
-    return flagged.select(key, F.col("_m.first").alias("first"), F.col("_m.similarity").alias("similarity")).unionByName(
-        copies.select(key, "first", F.lit(1.0).alias("similarity"))
+    flagged = materialize(best.select(key, F.col("_m.first").alias("first"), F.col("_m.similarity").alias("similarity")), "flagged")
+    if not earliest:
+        return flagged.unionByName(copies.select(key, "first", F.lit(1.0).alias("similarity")))
+    of_first = flagged.select(F.col(key).alias("first"), F.col("first").alias("_first"), "similarity")
+    copied = copies.join(of_first, "first", "left").select(
+        key, F.coalesce("_first", "first").alias("first"), F.coalesce("similarity", F.lit(1.0)).alias("similarity")
     )
+    return flagged.unionByName(copied)

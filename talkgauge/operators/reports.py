@@ -10,8 +10,6 @@ from talkgauge.functions.scoring import FLOW_MIN_SCORE, MIN_SCORE, histogram_bin
 from talkgauge.operators.keys import PAIR
 from talkgauge.operators.scale import attach, order_rank
 
-MATRIX_USERS = 500
-
 
 def top_chats(chats: DataFrame, n: int = 10) -> DataFrame:
     """Best chats with their label; ties go by name."""
@@ -48,11 +46,17 @@ def matrix_cells(chats: DataFrame) -> DataFrame:
     return pairs.unionByName(swapped).select(F.col("u1").alias("user"), F.col("u2").alias("other"), "score")
 
 
-def matrix_wide(chats: DataFrame, max_users: int = MATRIX_USERS) -> DataFrame:
-    """Matrix with one column per user and zeros filled; for a displayable number of users."""
+def matrix_wide(chats: DataFrame, max_users: int | None = None, names: list | None = None) -> DataFrame:
+    """Matrix with zeros filled and one column for each of ``names``, by default for every user in a chat.
+
+    A caller that can show only so many columns gives ``max_users`` and gets an error beyond it; ``matrix_cells`` has
+    all cells as rows.
+    """
     cells = matrix_cells(chats)
-    names = [r[0] for r in cells.select("other").distinct().orderBy("other").limit(max_users + 1).collect()]
-    if len(names) > max_users:
+    if names is None:
+        found = cells.select("other").distinct().orderBy("other")
+        names = [r[0] for r in (found if max_users is None else found.limit(max_users + 1)).collect()]
+    if max_users is not None and len(names) > max_users:
         raise ValueError(f"more than {max_users} users: use matrix_cells")
     return cells.groupBy("user").pivot("other", names).agg(F.max("score")).fillna(0.0)
 

@@ -243,7 +243,7 @@ def prepared_dataset(spark: SparkSession, folder: str) -> DataFrame:
 )
 def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Flagged near copies; the twin compares all pairs exactly."""
-    return neardup.near_duplicates(texts(spark, folder, "documents")).select("doc_id", "first")
+    return neardup.near_duplicates(texts(spark, folder, "documents"), earliest=True).select("doc_id", "first")
 
 
 # --- splits ------------------------------------------------------------------------------

@@ -48,9 +48,9 @@ def new_part(rows: DataFrame) -> DataFrame:
 
 
 def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A given table as a file stream of the same schema."""
+    """A given table, one file or a folder of them, as a file stream of the same schema."""
     reader = spark.readStream.schema(table(spark, folder, name).schema)
-    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    return reader.parquet(f"{folder}/{name}.parque[t]")
 
 
 def message_stream(spark: SparkSession, folder: str) -> DataFrame:

@@ -258,6 +258,25 @@ def test_near_duplicates_against_brute_force(spark):
         assert r.similarity == pytest.approx(jaccard(sets[i], sets[r.first])) and r.first == want[i]
 
 
+def test_near_duplicates_of_one_template(spark):
+    """Many texts about 95 % alike: every pair beyond the threshold is found, with the earliest text."""
+    rng = random.Random(5)
+    base = [f"t{i}" for i in range(400)]
+    texts = []
+    for i in range(300):
+        copy = list(base)
+        for place in rng.sample(range(400), rng.randrange(1, 7)):
+            copy[place] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    # A copy of a text that itself repeats an earlier one.
+    texts.append(texts[150])
+    sets = [shingles(t) for t in texts]
+    want = {i: next((j for j in range(i) if jaccard(sets[i], sets[j]) > 0.95), None) for i in range(len(texts))}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.first for r in neardup.near_duplicates(df, earliest=True).collect()}
+    assert got == {i: j for i, j in want.items() if j is not None}
+
+
 @pytest.mark.parametrize("hot_rows", [2_000_000, 20])
 def test_near_duplicates_with_a_third_of_all_rows_in_one_group(spark, hot_rows):
     """Slight variants of one text: every variant is compared once, not with every other."""
