@@ -4,22 +4,24 @@ from __future__ import annotations
 
 import math
 import random
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talkgauge.functions import textclean
 from talkgauge.functions.vectors import argmax, softmax
 from talkgauge.operators import evaluate, prepare
+from talkgauge.sources.store import load_version, save_version
 
 FEATURES = 1 << 14
 
@@ -98,6 +100,31 @@ def train(train_rows: DataFrame, val_rows: DataFrame, steps: Sequence[int] = (5,
     return Fitted(best.model, best.score, history)
 
 
+FITTED_SCHEMA = T.StructType([
+    T.StructField("model", T.StringType()), T.StructField("score", T.DoubleType()),
+    T.StructField("history", T.ArrayType(T.MapType(T.StringType(), T.DoubleType()))),
+])
+
+
+def save_fitted(spark: SparkSession, fitted: Fitted, root: str) -> int:
+    """Save a model as a new version.
+
+    The model is written first, then the record that names it: a failed run leaves the version before in place.
+    """
+    name = uuid.uuid4().hex
+    fitted.model.write().save(f"{root}/models/{name}")
+    history = [{k: float(v) for k, v in step.items()} for step in fitted.history]
+    return save_version(spark.createDataFrame([(name, fitted.score, history)], FITTED_SCHEMA), f"{root}/versions")
+
+
+def load_fitted(spark: SparkSession, root: str, version: int | None = None) -> Fitted:
+    """The newest saved model, or that of ``version``."""
+    row = load_version(spark, f"{root}/versions", FITTED_SCHEMA, version).first()
+    if row is None:
+        raise ValueError(f"no saved model under {root}")
+    return Fitted(LogisticRegressionModel.load(f"{root}/models/{row.model}"), row.score, row.history)
+
+
 def sample_params(estimator: LogisticRegression, trials: int = 20, seed: int = 42) -> list[dict[Param, object]]:
     """Reproducible trial settings: regularisation on a log scale, mixing, iterations."""
     rng = random.Random(seed)

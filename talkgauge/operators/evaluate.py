@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -145,29 +147,37 @@ def vote_tall(rows: DataFrame, key: str, probabilities: str = "probabilities", w
 # --- ranking quality ---------------------------------------------------------------------
 
 
-def roc_auc(scored: DataFrame, score: str = "score", positive: str = "positive") -> DataFrame:
-    """Area under the ROC curve, ties counted half.
+def roc_auc(scored: DataFrame, score: str = "score", positive: str = "positive", by: Sequence[str] = ()) -> DataFrame:
+    """Area under the ROC curve, ties counted half; one row per group of ``by``, such as a class.
 
     Scores are first counted, then summed up in two levels: over ranges of the
     score, and inside each range.  No task sees all scores.  The counts are
     written once, as three passes read them.
     """
     wins = F.col(positive).cast("boolean")
-    counted = scored.groupBy(F.col(score).alias("_s")).agg(F.count_if(wins).alias("pos"), F.count_if(~wins).alias("neg"))
+    counted = scored.groupBy(*by, F.col(score).alias("_s")).agg(F.count_if(wins).alias("pos"), F.count_if(~wins).alias("neg"))
     counted = materialize(counted, "scores")
     ranged = counted.withColumn("_r", split_number(F.col("_s"), range_splits(counted, "_s")))
-    totals = ranged.groupBy("_r").agg(F.sum("neg").alias("_n"))
-    offsets = totals.select("_r", F.coalesce(F.sum("_n").over(W.orderBy("_r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = W.partitionBy("_r").orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
+    totals = ranged.groupBy(*by, "_r").agg(F.sum("neg").alias("_n"))
+    earlier = W.partitionBy(*by).orderBy("_r").rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.select(*by, "_r", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = W.partitionBy(*by, "_r").orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
     below = F.coalesce(F.sum("neg").over(inside), F.lit(0)) + F.col("_before")
-    placed = attach(ranged, offsets, "_r").withColumn("below", below)
+    placed = attach(ranged, offsets, [*by, "_r"]).withColumn("below", below)
     won = F.sum(F.col("pos").cast("double") * (F.col("below") + F.col("neg") / 2))
-    return placed.agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"), won.alias("_won")).select(
-        "positives", "negatives",
+    return placed.groupBy(*by).agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"), won.alias("_won")).select(
+        *by, "positives", "negatives",
         F.when((F.col("positives") > 0) & (F.col("negatives") > 0), F.col("_won") / F.col("positives") / F.col("negatives")).alias("auc"),
     )
 
 
+def class_auc(predictions: DataFrame) -> DataFrame:
+    """AUC of every class against the rest by its probability, and their mean over the classes that have one."""
+    each = predictions.select("label", F.posexplode("probabilities").alias("class", "score"))
+    rows = roc_auc(each.select("class", "score", (F.col("label") == F.col("class")).alias("positive")), by=["class"])
+    return rows.withColumn("mean_auc", rows.agg(F.avg("auc")).scalar())
+
+
 def threshold_table(scored: DataFrame, score: str = "score", positive: str = "positive") -> DataFrame:
     """True and false positive rate of every score threshold 1..10, with Youden's J.
 
@@ -185,9 +195,8 @@ def threshold_table(scored: DataFrame, score: str = "score", positive: str = "po
     return sums.select("threshold", "tp", "fp", tpr.alias("tpr"), fpr.alias("fpr"), (tpr - fpr).alias("youden"))
 
 
-# Chance that a Poisson(1) draw is at most 0, 1, 2, ...
-POISSON_ONE = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
-               0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253)
+# Chance that a Poisson(1) draw is at most 0, 1, 2, ...: beyond these the steps are below double precision.
+POISSON_ONE = tuple(accumulate(math.exp(-1) / math.factorial(k) for k in range(18)))
 
 
 def bootstrap(predictions: DataFrame, key: str, replicates: int = 100, level: float = 0.95, seed: int = 42) -> DataFrame:
@@ -200,7 +209,9 @@ def bootstrap(predictions: DataFrame, key: str, replicates: int = 100, level: fl
     seeded = predictions.select(row_seed(key, seed).alias("_start"), hit.alias("_hit"))
     drawn = seeded.select("_start", "_hit", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
     drawn = drawn.withColumn("_u", unit(F.col("_start"), F.col("replicate")))
-    weight = sum([(F.col("_u") >= p).cast("int") for p in POISSON_ONE], F.lit(0))
+    weight = F.lit(len(POISSON_ONE))
+    for k, p in reversed(list(enumerate(POISSON_ONE))):
+        weight = F.when(F.col("_u") < p, k).otherwise(weight)
     sums = drawn.select("replicate", "_hit", weight.alias("_w")).groupBy("replicate").agg(
         (F.sum(F.col("_w") * F.col("_hit")) / F.sum("_w")).alias("accuracy")
     )

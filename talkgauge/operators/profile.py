@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talkgauge.config import IMBALANCE_WARNING
+from talkgauge.config import IMBALANCE_WARNING, TRUNCATION_WARNING_PERCENT
 from talkgauge.functions.scoring import content_key
 from talkgauge.functions.textclean import raw_word_count, special_share
 
@@ -43,13 +43,20 @@ def quantile(value: str, weight: str, at: float) -> Column:
 
 
 def length_stats(df: DataFrame, text: str = "text", max_length: int = 256) -> DataFrame:
-    """Mean, extremes, quantiles and the share above ``max_length``, from one pass over the texts."""
+    """Mean, extremes, quantiles and the share above ``max_length``, from one pass over the texts.
+
+    Where more texts would be cut than the profile's limit, ``cut_warning`` is set and ``suggested_length`` is the 95 %
+    quantile in whole words; else it is ``max_length``.
+    """
+    above = 100.0 * F.sum(F.when(F.col("words") > max_length, F.col("n")).otherwise(0)) / F.sum("n")
+    warned = above > TRUNCATION_WARNING_PERCENT
     return length_counts(df, text).agg(
         (F.sum(F.col("words") * F.col("n")) / F.sum("n")).alias("mean"),
         F.min("words").alias("shortest"),
         F.max("words").alias("longest"),
         *[quantile("words", "n", at).alias(name) for name, at in QUANTILES.items()],
-        (100.0 * F.sum(F.when(F.col("words") > max_length, F.col("n")).otherwise(0)) / F.sum("n")).alias("percent_above"),
+        above.alias("percent_above"), warned.alias("cut_warning"),
+        F.when(warned, F.floor(quantile("words", "n", QUANTILES["p95"]))).otherwise(max_length).cast("int").alias("suggested_length"),
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkgauge.functions.decay import rate, to_micros
-from talkgauge.functions.scoring import FLOW_MIN_SCORE, MIN_SCORE, histogram_bin, score_band
+from talkgauge.functions.scoring import FLOW_MIN_SCORE, HISTOGRAM_BINS, MIN_SCORE, histogram_bin, score_band
 from talkgauge.operators.keys import PAIR
 from talkgauge.operators.scale import attach, order_rank
 
@@ -148,7 +148,11 @@ def trend(log: DataFrame) -> DataFrame:
 
 
 def histogram(chats: DataFrame) -> DataFrame:
-    return chats.groupBy(histogram_bin(F.col("score")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    """Chats per bin, empty bins too."""
+    own = chats.select(histogram_bin(F.col("score")).alias("bin"))
+    counted = own.agg(*[F.count_if(F.col("bin") == name).alias(name) for _, name in HISTOGRAM_BINS])
+    bins = F.array(*[F.struct(F.lit(name).alias("bin"), F.col(name).alias("n")) for _, name in HISTOGRAM_BINS])
+    return counted.select(F.inline(bins))
 
 
 def with_band(chats: DataFrame) -> DataFrame:

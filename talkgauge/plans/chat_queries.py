@@ -40,7 +40,7 @@ m AS (SELECT conv_id*1000+turn AS msg_id,
         CASE WHEN role='user' THEN conv_id%23 ELSE (conv_id*5+1)%23 END AS sender,
         CASE WHEN role='user' THEN (conv_id*5+1)%23 ELSE conv_id%23 END AS receiver, text,
         epoch_us(TIMESTAMP '2024-01-01 00:00:00') + (conv_id%60)*43200000000 + turn*300000000 AS us
-      FROM conversations WHERE role<>'system'),
+      FROM conversations),
 p AS (SELECT msg_id, least(sender,receiver) AS u1, greatest(sender,receiver) AS u2, text, us FROM m)"""
 SCORED_SQL = f"""{MESSAGES_SQL},
 s AS (SELECT *, {SCORE_SQL} AS score, {WEIGHT_SQL} AS w FROM p)"""
@@ -604,6 +604,19 @@ def daily_run_job(spark: SparkSession, folder: str) -> DataFrame:
     return result.users.select(F.col("user").cast("bigint").alias("user"), *r6("raw_score"))
 
 
+@register(f"{CHATS_SQL} SELECT u1,u2,n_messages,round(weighted_sum,6) AS weighted_sum,round(weight_sum,6) AS weight_sum,{SCORE_OUT_SQL} AS raw_score FROM c")
+def daily_run_stored(spark: SparkSession, folder: str) -> DataFrame:
+    """The daily run over a message store, of which it reads the touched buckets; a day given twice changes nothing."""
+    root, store, settings = scratch_path(spark, "state"), scratch_path(spark, "messages"), jobs.ScoringSettings()
+    rows = messages(spark, folder, True)
+    jobs.stored_first_run(old_part(rows), settings, OLD_AS_OF, store, root)
+    jobs.stored_daily_run(new_part(rows), settings, AS_OF, store, root)
+    chats = jobs.stored_daily_run(new_part(rows), settings, AS_OF, store, root).chats
+    chats = chats.select(F.col("u1").cast("bigint"), F.col("u2").cast("bigint"), "n_messages", "weighted_sum", "weight_sum", "raw_score")
+    low, high = F.least("u1", "u2"), F.greatest("u1", "u2")
+    return chats.select(low.alias("u1"), high.alias("u2"), "n_messages", *r6("weighted_sum", "weight_sum", "raw_score"))
+
+
 # --- events: forward decay and streaming -------------------------------------------------
 
 EVENTS_SQL = """e AS (SELECT user_id, CAST(greatest(1, least(10, floor(value))) AS INTEGER) AS score, epoch_us(ts) AS us FROM events),
@@ -638,8 +651,8 @@ def event_user_sums_streamed(spark: SparkSession, folder: str) -> DataFrame:
 
 @register(
     f"""WITH {EVENTS_SQL}, d AS (SELECT user_id, us//86400000000 AS day, sum(score)::BIGINT AS score_sum, count(*) AS n FROM e GROUP BY 1,2)
-    SELECT * FROM d WHERE (day+2)*86400000000 <= (SELECT max(us) FROM e)"""
+    SELECT * FROM d"""
 )
 def event_days_streamed(spark: SparkSession, folder: str) -> DataFrame:
-    """Day bundles of a stream: a day comes out once the watermark (one day late) has passed it."""
+    """Day bundles of a stream, days that are still open too."""
     return decayed_stream.run_days(event_stream(spark, folder), "user_id", scratch_path(spark, "stream"))

@@ -50,11 +50,11 @@ SPLITS_SQL = f"{CLEAN_DOCS_SQL}, ds AS (SELECT doc_id AS id, t AS text, lang AS
 
 # --- files -------------------------------------------------------------------------------
 
-ROUND_TRIP_SQL = f"WITH {LABELLED_SQL} SELECT doc_id, sha256(text) AS digest, quality FROM l"
+ROUND_TRIP_SQL = "SELECT doc_id, sha256(text) AS digest, lang FROM documents"
 
 
 def _round_trip(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
-    rows = labelled(spark, folder).select("doc_id", "text", "quality")
+    rows = texts(spark, folder, "documents").select("doc_id", "text", "lang")
     path = scratch_path(spark, "labelled") + suffix
     if suffix == ".csv":
         rows.write.options(**datasets.CSV_OPTIONS).csv(path)
@@ -66,8 +66,8 @@ def _round_trip(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
         arrays = rows.groupBy(part).agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value"))
         arrays.write.partitionBy("part").text(path)
     again = datasets.read_dataset(spark, path, rows.schema)
-    datasets.require_columns(again, "text", "quality")
-    return again.select("doc_id", F.sha2("text", 256).alias("digest"), "quality")
+    datasets.require_columns(again, "text", "lang")
+    return again.select("doc_id", F.sha2("text", 256).alias("digest"), "lang")
 
 
 @register(ROUND_TRIP_SQL)
@@ -85,14 +85,15 @@ def json_array_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return _round_trip(spark, folder, ".json")
 
 
-@register(f"{'WITH ' + SPLITS_SQL} SELECT id, sha256(text) AS digest, label FROM sp WHERE split='val'")
+@register(f"{'WITH ' + SPLITS_SQL} SELECT id, sha256(text) AS digest, label, split FROM sp")
 def split_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Splits written one folder each; the validation folder read back."""
+    """Splits written one folder each; every folder read back on its own."""
     path = scratch_path(spark, "splits")
     splits = _splits(spark, folder)
     datasets.write_splits(splits, path)
-    val = datasets.read_split(spark, path, "val", splits.drop("split").schema)
-    return val.select("id", F.sha2("text", 256).alias("digest"), "label")
+    schema = splits.drop("split").schema
+    train, val, test = (datasets.read_split(spark, path, s, schema).withColumn("split", F.lit(s)) for s in ("train", "val", "test"))
+    return train.unionByName(val).unionByName(test).select("id", F.sha2("text", 256).alias("digest"), "label", "split")
 
 
 @register("SELECT lang AS label, CAST(row_number() OVER (ORDER BY lang)-1 AS INTEGER) AS label_id FROM (SELECT DISTINCT lang FROM documents)")
@@ -145,7 +146,9 @@ WORDS_SQL = f"b AS (SELECT doc_id, lang, text, {blanks_sql('text')} AS bt FROM d
 @register(
     f"""WITH {WORDS_SQL} SELECT round(avg(words),6) AS mean, min(words)::INTEGER AS shortest, max(words)::INTEGER AS longest,
       round(quantile_cont(words,0.5),6) AS median, round(quantile_cont(words,0.25),6) AS p25, round(quantile_cont(words,0.75),6) AS p75,
-      round(quantile_cont(words,0.95),6) AS p95, round(100.0*avg(CASE WHEN words>256 THEN 1.0 ELSE 0 END),6) AS percent_above FROM w"""
+      round(quantile_cont(words,0.95),6) AS p95, round(100.0*avg(CASE WHEN words>256 THEN 1.0 ELSE 0 END),6) AS percent_above,
+      10*count(*) FILTER (words>256) > count(*) AS cut_warning,
+      CASE WHEN 10*count(*) FILTER (words>256) > count(*) THEN floor(quantile_cont(words,0.95))::INTEGER ELSE 256 END AS suggested_length FROM w"""
 )
 def length_statistics(spark: SparkSession, folder: str) -> DataFrame:
     stats = profile.length_stats(texts(spark, folder, "documents"))

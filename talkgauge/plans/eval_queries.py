@@ -12,7 +12,7 @@ from talkgauge.functions.vectors import argmax, mean_logits, softmax
 from talkgauge.operators import classify, evaluate, prepare
 from talkgauge.plans import dataset_jobs
 from talkgauge.plans.chat_queries import CENTROID_SQL, SCORE_SQL, SCORED_SQL, bundle_rows
-from talkgauge.plans.data_queries import CHANCE_SQL, LABELLED_SQL, r6, seed_sql, unit_sql
+from talkgauge.plans.data_queries import CHANCE_SQL, LABELLED_SQL, r6, seed_sql, split_sql, unit_sql
 from talkgauge.plans.registry import register
 from talkgauge.plans.tables import labelled, table, texts
 from talkgauge.plans.text_queries import blanks_sql
@@ -190,6 +190,19 @@ def roc_auc(spark: SparkSession, folder: str) -> DataFrame:
     return r6(evaluate.roc_auc(rows), "auc")
 
 
+@register(
+    f"""WITH {LOGITS_SQL}, k AS (SELECT unnest(range(0, (SELECT max(len(p)) FROM pr)))::INTEGER AS class),
+    s AS (SELECT class, p[class+1] AS score, label=class AS y FROM pr, k),
+    r AS (SELECT class, y, rank() OVER (PARTITION BY class ORDER BY score) + (count(*) OVER (PARTITION BY class, score)-1)/2.0 AS rk FROM s),
+    a AS (SELECT class, count(*) FILTER (y) AS positives, count(*) FILTER (NOT y) AS negatives,
+      (sum(rk) FILTER (y) - count(*) FILTER (y)*(count(*) FILTER (y)+1)/2.0)/count(*) FILTER (y)/count(*) FILTER (NOT y) AS auc FROM r GROUP BY class)
+    SELECT class, positives, negatives, round(auc,6) AS auc, round((SELECT avg(auc) FROM a),6) AS mean_auc FROM a"""
+)
+def roc_auc_classes(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _predictions(spark, folder)
+    return r6(evaluate.class_auc(rows), "auc", "mean_auc")
+
+
 @register(
     f"""WITH {LABELLED_SQL}, s AS (SELECT {SCORE_SQL} AS score, quality=1 AS y FROM l),
     r AS (SELECT y, score, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score)-1)/2.0 AS rk FROM s)
@@ -321,6 +334,21 @@ def trained_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return evaluate.report(evaluate.confusion(classify.predictions(fitted.model, rows.filter("split = 'test'"))))
 
 
+@register(
+    f"""WITH ds AS (SELECT vec_id AS id, label FROM embeddings), {split_sql('ds', 'id')}
+    SELECT split, count(*) AS n, count(*) AS same FROM sp GROUP BY split"""
+)
+def saved_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """A fitted model saved and loaded: rows of each split for which both predict the same."""
+    rows, root = _vectors(spark, folder), scratch_path(spark, "models")
+    fitted = classify.train(rows.filter("split = 'train'"), rows.filter("split = 'val'"), steps=(5, 10), regParam=0.01)
+    classify.save_fitted(spark, fitted, root)
+    fresh = classify.predictions(fitted.model, rows).withColumnsRenamed({"predicted": "fresh", "probabilities": "fresh_probabilities"})
+    both = classify.predictions(classify.load_fitted(spark, root).model, fresh)
+    same = (F.col("fresh") == F.col("predicted")) & (F.col("fresh_probabilities") == F.col("probabilities"))
+    return both.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count_if(same).alias("same"))
+
+
 @register()
 def parameter_search(spark: SparkSession, folder: str) -> DataFrame:
     """Twenty trials ranked by validation macro F1."""

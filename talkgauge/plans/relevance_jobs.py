@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from talkgauge.functions.scoring import MIN_SCORE
 from talkgauge.operators.bundling import bundles, with_key
 from talkgauge.operators.incremental import recompute_affected
-from talkgauge.operators.keys import merge_messages, with_pair
+from talkgauge.operators.keys import affected_chats, merge_messages, messages_of, with_pair
 from talkgauge.operators.relevance import (
     additive_bundle_scores,
     as_state,
@@ -22,7 +22,7 @@ from talkgauge.operators.relevance import (
 )
 from talkgauge.operators.scorer import WordListScorer, score_bundles, score_missing
 from talkgauge.session import materialize
-from talkgauge.sources.store import load_state, save_state
+from talkgauge.sources.store import append_messages, load_state, save_state, stored_messages
 
 
 @dataclass(frozen=True)
@@ -109,3 +109,31 @@ def daily_run(history: DataFrame, new_messages: DataFrame, settings: ScoringSett
     )
     save_state(state, state_root)
     return roll_up(load_state(spark, state_root), settings)
+
+
+def stored_first_run(messages: DataFrame, settings: ScoringSettings, as_of, store: str, state_root: str,
+                     cache_path: str | None = None) -> Scores:
+    """A first run that also keeps the messages, by chat bucket, for ``stored_daily_run``."""
+    append_messages(with_pair(messages), store)
+    return first_run(messages, settings, as_of, state_root, cache_path)
+
+
+def stored_daily_run(new_messages: DataFrame, settings: ScoringSettings, as_of, store: str, state_root: str,
+                     cache_path: str | None = None) -> Scores:
+    """A daily run that reads only the buckets of the touched chats.
+
+    Touched chats are computed from all their messages, so a run repeated after a failure gives the same state;
+    messages that the store already holds are not added again.
+    """
+    spark: SparkSession = new_messages.sparkSession
+    new = materialize(with_pair(new_messages), "new-messages")
+    known = stored_messages(spark, store, new)
+    merged = materialize(merge_messages(messages_of(known, affected_chats(new)), new), "touched-messages")
+    state = recompute_affected(
+        merged, new, load_state(spark, state_root), lambda touched: scored_rows(touched, settings, cache_path),
+        as_of, settings.half_life_days, settings.min_score,
+    )
+    save_state(state, state_root)
+    fresh = new.dropDuplicates(["msg_id"]).join(known.select("msg_id"), "msg_id", "left_anti")
+    append_messages(materialize(fresh.select(new.columns), "fresh-messages"), store)
+    return roll_up(load_state(spark, state_root), settings)

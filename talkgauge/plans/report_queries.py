@@ -138,8 +138,9 @@ def trend_series(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @register(
-    f"""{VIEW_SQL} SELECT CASE WHEN floor(score+0.5)<=2 THEN '0-2' WHEN floor(score+0.5)<=4 THEN '3-4' WHEN floor(score+0.5)<=6 THEN '5-6'
-      WHEN floor(score+0.5)<=8 THEN '7-8' ELSE '9-10' END AS bin, count(*) AS n FROM cs GROUP BY 1"""
+    f"""{VIEW_SQL} , hb AS (SELECT CASE WHEN floor(score+0.5)<=2 THEN '0-2' WHEN floor(score+0.5)<=4 THEN '3-4' WHEN floor(score+0.5)<=6 THEN '5-6'
+      WHEN floor(score+0.5)<=8 THEN '7-8' ELSE '9-10' END AS bin FROM cs)
+    SELECT x.bin, count(hb.bin) AS n FROM (VALUES ('0-2'), ('3-4'), ('5-6'), ('7-8'), ('9-10')) x(bin) LEFT JOIN hb USING (bin) GROUP BY 1"""
 )
 def score_histogram(spark: SparkSession, folder: str) -> DataFrame:
     return reports.histogram(_chats(spark, folder))

@@ -91,8 +91,8 @@ def user_name(number: Column) -> Column:
 def conversation_messages(conversations: DataFrame, as_names: bool = False) -> DataFrame:
     """Message view over ``conversations``: turns become messages between two users.
 
-    System turns are no messages.  Users, direction and time follow from the
-    conversation number and the turn.
+    All turns but the first user's are spoken to that user, those of the system
+    too.  Users, direction and time follow from the conversation number and the turn.
     """
     first = F.col("conv_id") % VIEW_USERS
     second = (F.col("conv_id") * 5 + 1) % VIEW_USERS
@@ -101,7 +101,7 @@ def conversation_messages(conversations: DataFrame, as_names: bool = False) -> D
     sender, receiver = F.when(spoken, first).otherwise(second), F.when(spoken, second).otherwise(first)
     if as_names:
         sender, receiver = user_name(sender), user_name(receiver)
-    return conversations.filter(F.col("role") != "system").select(
+    return conversations.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("msg_id"),
         sender.alias("sender"),
         receiver.alias("receiver"),

@@ -40,6 +40,10 @@ LOG_SCHEMA = T.StructType(
 _VERSION = re.compile(r"v=(\d{10})$")
 
 
+# Folders of a message store; a daily run reads those its messages fall into.
+CHAT_BUCKETS = 512
+
+
 def _folder(spark: SparkSession, path: str):
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
@@ -57,6 +61,29 @@ def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataF
     return spark.read.schema(schema).parquet(path)
 
 
+def _chat_bucket() -> Column:
+    return F.pmod(F.xxhash64("u1", "u2"), F.lit(CHAT_BUCKETS)).cast("int")
+
+
+def append_messages(pairs: DataFrame, path: str) -> None:
+    """Add keyed messages to a store with one folder per chat bucket.
+
+    The rebalance hint gives a bucket one file unless it is large: a hot chat is spread over several tasks.
+    """
+    bucketed = pairs.withColumn("chat_bucket", _chat_bucket())
+    bucketed.hint("rebalance", "chat_bucket").write.mode("append").partitionBy("chat_bucket").parquet(path)
+
+
+def stored_messages(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """Stored messages in the buckets that the keyed messages ``like`` touch; no other folder is read.
+
+    At most ``CHAT_BUCKETS`` numbers come to the driver.
+    """
+    touched = [r[0] for r in like.select(_chat_bucket()).distinct().collect()]
+    schema = T.StructType([*like.schema.fields, T.StructField("chat_bucket", T.IntegerType())])
+    return read_or_empty(spark, path, schema).filter(F.col("chat_bucket").isin(touched)).drop("chat_bucket")
+
+
 def load_scores(spark: SparkSession, path: str, scorer: str | None = None, topic: str | None = None) -> DataFrame:
     """One cached score per key; scorer and topic are partition folders, so others are not read.
 

@@ -1,4 +1,4 @@
-"""Streaming forms: decayed sums per key, closed day bundles, replay-safe input.
+"""Streaming forms: decayed sums per key, day bundles, replay-safe input.
 
 Forward decay keeps ``sum(score * exp(rate * (ts - landmark)))``: a plain sum,
 independent of arrival order, so a late row needs no re-sort and batch and
@@ -86,22 +86,31 @@ def run_sums(scored: DataFrame, key: str, half_life_days: float, root: str) -> D
 
 
 def run_days(scored: DataFrame, key: str, root: str, late: str = "1 day") -> DataFrame:
-    """Closed day bundles per key: each day is written once, when the watermark has passed it."""
+    """Day bundles per key, the newest of each day.
+
+    Open days come out as they are so far; the watermark only frees the state of days it has passed, whose bundles
+    change no more.  A batch writes the days it touched to its own folder, so a repeated batch overwrites itself.
+    """
     spark = scored.sparkSession
     days = scored.withWatermark("ts", late).groupBy(key, F.window("ts", "1 day")).agg(
         F.sum("score").alias("score_sum"), F.count(F.lit(1)).alias("n")
     )
     rows = days.select(key, day_number(F.col("window.start")).alias("day"), "score_sum", "n")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/days/batch={number}")
+
     query = (
-        rows.writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", f"{root}/days")
+        rows.writeStream.outputMode("update")
+        .foreachBatch(keep)
         .option("checkpointLocation", f"{root}/progress")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(rows.schema).parquet(f"{root}/days")
+    written = spark.read.schema(T.StructType(rows.schema.fields + [T.StructField("batch", T.LongType())])).parquet(f"{root}/days")
+    newest = written.groupBy(key, "day").agg(F.max_by(F.struct("score_sum", "n"), "batch").alias("s"))
+    return newest.select(key, "day", "s.*")
 
 
 def update_state(batches: DataFrame, apply, initial: DataFrame, root: str) -> DataFrame:

@@ -311,3 +311,11 @@ def test_dataset_job_from_file(spark, tmp_path):
     _, history = dataset_jobs.train_and_judge(prepared, settings, "r1", regParam=0.01)
     phases = {r.phase for r in history.select("phase").distinct().collect()}
     assert phases == {"train", "val", "test"}
+
+
+def test_length_warning_suggests_the_upper_quantile(spark):
+    rows = spark.createDataFrame([("a b",)] * 8 + [("a b c d e f",)] * 2, "text string")
+    warned = profile.length_stats(rows, max_length=4).first()
+    assert warned.cut_warning and warned.suggested_length == 6
+    fine = profile.length_stats(rows, max_length=6).first()
+    assert not fine.cut_warning and fine.suggested_length == 6

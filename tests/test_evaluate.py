@@ -160,3 +160,29 @@ def test_robustness_reports_the_change(spark):
     model = classify.classifier(maxIter=20).fit(classify.text_features(rows))
     got = {r.typo_share: r for r in classify.robustness(model, rows, classify.text_features, (0.0, 1.1)).collect()}
     assert got[0.0].accuracy == 1.0 and got[0.0].change == 0.0 and got[1.1].change < 0
+
+
+def test_class_auc_has_a_row_per_class_and_their_mean(spark):
+    rows = spark.createDataFrame([(0, [0.9, 0.1, 0.0]), (1, [0.4, 0.6, 0.0]), (0, [0.3, 0.7, 0.0]), (1, [0.2, 0.8, 0.0])], "label int, probabilities array<double>")
+    got = {r["class"]: r for r in evaluate.class_auc(rows).collect()}
+    assert got[0].auc == got[1].auc == 0.75 and got[2].auc is None and got[2].mean_auc == 0.75
+    assert got[2].positives == 0 and got[2].negatives == 4
+
+
+def test_poisson_steps_reach_double_precision():
+    steps = evaluate.POISSON_ONE
+    assert all(a < b for a, b in zip(steps, steps[1:])) and 1 - steps[-1] < 2**-50
+
+
+def test_fitted_models_are_versions(spark, tmp_path):
+    from talkgauge.operators import classify
+
+    rows = classify.vector_features(spark.createDataFrame([(i % 2, [float(i % 2), 1.0]) for i in range(20)], "label int, embedding array<double>"))
+    root = f"file://{tmp_path}/models"
+    with pytest.raises(ValueError):
+        classify.load_fitted(spark, root)
+    first, second = (classify.train(rows, rows, steps=(n,), regParam=0.01) for n in (1, 5))
+    assert [classify.save_fitted(spark, f, root) for f in (first, second)] == [1, 2]
+    newest, oldest = classify.load_fitted(spark, root), classify.load_fitted(spark, root, 1)
+    assert newest.model.coefficientMatrix == second.model.coefficientMatrix and newest.history == [{"iterations": 5.0, "val_macro_f1": second.score}]
+    assert oldest.model.coefficientMatrix == first.model.coefficientMatrix and oldest.score == first.score

@@ -318,3 +318,20 @@ def test_cosine_scores(spark):
     topic = spark.createDataFrame([([3.0, 0.0],)], "t array<double>")
     got = {r.id: r.score for r in scorer.cosine_scores(rows, topic).collect()}
     assert got[1] == pytest.approx(10.0) and got[2] == got[3] == 1.0 and got[4] == pytest.approx(1 + 9 / math.sqrt(2))
+
+
+def test_stored_daily_run_reads_touched_buckets_and_can_be_repeated(spark, trio):
+    settings, root, messages = jobs.ScoringSettings(), scratch_path(spark, "state"), scratch_path(spark, "messages")
+    old, new = trio.filter("msg_id < 6"), trio.filter("msg_id >= 5")
+    jobs.stored_first_run(old, settings, datetime(2025, 12, 3), messages, root)
+    pairs = keys.with_pair(new)
+    known = store.stored_messages(spark, messages, pairs)
+    assert "PartitionFilters: [isnotnull(chat_bucket" in known._jdf.queryExecution().toString()
+    assert {r.msg_id for r in known.collect()} == {5}
+    want = {(r.u1, r.u2): (r.n_messages, round(r.raw_score, 9)) for r in jobs.first_run(trio, settings, AS_OF, scratch_path(spark, "state")).chats.collect()}
+    for _ in range(2):
+        got = jobs.stored_daily_run(new, settings, AS_OF, messages, root).chats
+        assert {(r.u1, r.u2): (r.n_messages, round(r.raw_score, 9)) for r in got.collect()} == want
+    assert spark.read.parquet(messages).count() == 6
+    # A day without messages changes no chat.
+    assert jobs.stored_daily_run(new.limit(0), settings, AS_OF, messages, root).chats.count() == len(want)
