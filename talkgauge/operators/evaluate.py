@@ -199,26 +199,43 @@ def threshold_table(scored: DataFrame, score: str = "score", positive: str = "po
 POISSON_ONE = tuple(accumulate(math.exp(-1) / math.factorial(k) for k in range(18)))
 
 
-def bootstrap(predictions: DataFrame, key: str, replicates: int = 100, level: float = 0.95, seed: int = 42) -> DataFrame:
-    """Confidence interval of accuracy by Poisson bootstrap.
+def replicate_cells(predictions: DataFrame, key: str, replicates: int = 100, seed: int = 42) -> DataFrame:
+    """Confusion cells of every Poisson bootstrap replicate.
 
     Each row draws its weight per replicate from a hash of its key, so replicates
-    need no shuffle of rows: partial sums per replicate are all that moves.
+    need no shuffle of rows: partial sums per replicate and cell are all that moves.
     """
-    hit = (F.col("label") == F.col("predicted")).cast("int")
-    seeded = predictions.select(row_seed(key, seed).alias("_start"), hit.alias("_hit"))
-    drawn = seeded.select("_start", "_hit", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    seeded = predictions.select(row_seed(key, seed).alias("_start"), "label", "predicted")
+    drawn = seeded.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
     drawn = drawn.withColumn("_u", unit(F.col("_start"), F.col("replicate")))
     weight = F.lit(len(POISSON_ONE))
     for k, p in reversed(list(enumerate(POISSON_ONE))):
         weight = F.when(F.col("_u") < p, k).otherwise(weight)
-    sums = drawn.select("replicate", "_hit", weight.alias("_w")).groupBy("replicate").agg(
-        (F.sum(F.col("_w") * F.col("_hit")) / F.sum("_w")).alias("accuracy")
-    )
+    cells = drawn.groupBy("replicate", "label", "predicted").agg(F.sum(weight).alias("n"))
+    return cells.filter("n > 0")
+
+
+def _interval(value: str, level: float) -> list[Column]:
     tail = (1 - level) / 2
-    return sums.agg(
-        F.avg("accuracy").alias("mean"), F.percentile("accuracy", F.lit(tail)).alias("low"), F.percentile("accuracy", F.lit(1 - tail)).alias("high")
-    )
+    return [F.avg(value).alias("mean"), F.percentile(value, F.lit(tail)).alias("low"), F.percentile(value, F.lit(1 - tail)).alias("high")]
+
+
+def bootstrap(predictions: DataFrame, key: str, replicates: int = 100, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """Confidence interval of accuracy by Poisson bootstrap."""
+    cells = replicate_cells(predictions, key, replicates, seed)
+    return accuracy(cells, ["replicate"]).agg(*_interval("accuracy", level))
+
+
+def metric_intervals(predictions: DataFrame, key: str, replicates: int = 100, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """Confidence intervals of accuracy and of the averaged metrics, one row per metric.
+
+    The cells, at most classes squared per replicate, are written once.
+    """
+    cells = materialize(replicate_cells(predictions, key, replicates, seed), "replicates")
+    both = accuracy(cells, ["replicate"]).join(averages(cells, ["replicate"]), "replicate")
+    names = [c for c in both.columns if c not in ("replicate", "support")]
+    tall = both.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in names])))
+    return tall.groupBy("metric").agg(*_interval("value", level))
 
 
 # --- looking at errors -------------------------------------------------------------------

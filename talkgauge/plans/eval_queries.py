@@ -240,6 +240,30 @@ def accuracy_interval(spark: SparkSession, folder: str) -> DataFrame:
     return r6(evaluate.bootstrap(rows, "vec_id"), "mean", "low", "high")
 
 
+METRICS_SQL = {
+    "accuracy": "sum(tp)/sum(support)", "macro_precision": "avg(precision)", "macro_recall": "avg(recall)", "macro_f1": "avg(f1)",
+    "weighted_precision": "sum(precision*support)/sum(support)", "weighted_recall": "sum(recall*support)/sum(support)",
+    "weighted_f1": "sum(f1*support)/sum(support)",
+}
+
+
+@register(
+    f"""WITH {LOGITS_SQL}, sd AS (SELECT label, predicted, {seed_sql('42', 'vec_id')} AS s0 FROM pr),
+    d AS (SELECT label, predicted, r, {unit_sql('s0', 'r')} AS u FROM sd, (SELECT unnest(range(0,100)) AS r)),
+    bm AS (SELECT r, label, predicted, sum({_POISSON_SQL}) AS n FROM d GROUP BY ALL HAVING n > 0),
+    v AS (SELECT r, label AS c, CASE WHEN label=predicted THEN n ELSE 0 END AS tp, n AS support, 0 AS called FROM bm
+      UNION ALL SELECT r, predicted, 0, 0, n FROM bm),
+    g AS (SELECT r, c, sum(tp) AS tp, sum(support) AS support, sum(called) AS called FROM v GROUP BY ALL),
+    rt AS (SELECT r, tp, support, CASE WHEN called>0 THEN tp/called ELSE 0 END AS precision, CASE WHEN support>0 THEN tp/support ELSE 0 END AS recall,
+      2.0*tp/(called+support) AS f1 FROM g),
+    m AS ({" UNION ALL ".join(f"SELECT r, '{name}' AS metric, {sql} AS x FROM rt GROUP BY r" for name, sql in METRICS_SQL.items())})
+    SELECT metric, round(avg(x),6) AS mean, round(quantile_cont(x,0.025),6) AS low, round(quantile_cont(x,0.975),6) AS high FROM m GROUP BY metric"""
+)
+def metric_intervals(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _logits(spark, folder).select("vec_id", "label", argmax(F.col("logits")).alias("predicted"))
+    return r6(evaluate.metric_intervals(rows, "vec_id"), "mean", "low", "high")
+
+
 @register(f"WITH {LOGITS_SQL} SELECT vec_id, predicted, round(list_max(p),6) AS confidence FROM pr ORDER BY list_max(p), vec_id LIMIT 20")
 def least_certain(spark: SparkSession, folder: str) -> DataFrame:
     rows = evaluate.low_confidence(_predictions(spark, folder), "vec_id", 20)

@@ -186,3 +186,12 @@ def test_fitted_models_are_versions(spark, tmp_path):
     newest, oldest = classify.load_fitted(spark, root), classify.load_fitted(spark, root, 1)
     assert newest.model.coefficientMatrix == second.model.coefficientMatrix and newest.history == [{"iterations": 5.0, "val_macro_f1": second.score}]
     assert oldest.model.coefficientMatrix == first.model.coefficientMatrix and oldest.score == first.score
+
+
+def test_metric_intervals_hold_the_metrics(spark):
+    rows = spark.createDataFrame([(i, i % 3, i % 3 if i % 5 else (i + 1) % 3) for i in range(300)], "id bigint, label int, predicted int")
+    cells = evaluate.confusion(rows)
+    want = {"accuracy": evaluate.accuracy(cells).first().accuracy, **evaluate.averages(cells).drop("support").first().asDict()}
+    got = {r.metric: r for r in evaluate.metric_intervals(rows, "id", 50).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[m].low <= want[m] <= got[m].high and abs(got[m].mean - want[m]) < 0.02 for m in want)
