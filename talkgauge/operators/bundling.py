@@ -76,7 +76,9 @@ def bundles(messages: DataFrame, mode: str = "count", size: int = 1, hot_rows: i
 
 
 def with_key(bundled: DataFrame) -> DataFrame:
-    return bundled.withColumn("text_key", content_key(F.col("text")))
+    """Bundles with the key of their text; a missing text counts as an empty one, since a null key would never join."""
+    filled = bundled.withColumn("text", F.coalesce("text", F.lit("")))
+    return filled.withColumn("text_key", content_key(F.col("text")))
 
 
 def trailing_messages(messages: DataFrame, n: int) -> DataFrame:

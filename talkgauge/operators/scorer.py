@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -40,11 +41,13 @@ class PromptScorer:
     """Scorer behind a prompt: ``make_answerer()`` is called once per task.
 
     The answerer maps a batch of prompts to raw answers, so it can batch or pool
-    its calls; only keys that were never scored reach it.
+    its calls; only keys that were never scored reach it.  A template of one's own
+    is part of the name, so that scores of two templates are kept apart.
     """
 
     def __init__(self, make_answerer: Callable[[], Answerer], name: str, template: str = BUNDLE_PROMPT):
-        self.make_answerer, self.name, self.template = make_answerer, name, template
+        self.make_answerer, self.template = make_answerer, template
+        self.name = name if template == BUNDLE_PROMPT else f"{name}-{hashlib.sha256(template.encode()).hexdigest()[:12]}"
 
     def answers(self, keyed: DataFrame, topic: str) -> DataFrame:
         make_answerer = self.make_answerer
@@ -87,6 +90,8 @@ def score_missing(bundled: DataFrame, scorer, topic: str, cache_path: str, max_r
     stored answer instead of asking again.  A daily batch needs few keys: they
     pick their scores in the scan of the cache, which may be far larger.
     """
+    if cache_path is None:
+        raise ValueError("a scorer that is asked once per text needs a cache_path")
     spark = bundled.sparkSession
     keys, is_small = bounded(bundled.select("text_key").distinct(), max_rows)
 

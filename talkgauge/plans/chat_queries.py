@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from talkgauge.functions import decay, scoring
 from talkgauge.operators import bundling, incremental, keys, relevance, scorer
 from talkgauge.functions.vectors import class_means
-from talkgauge.operators.keys import PAIR
+from talkgauge.operators.keys import PAIR, with_pair
 from talkgauge.operators.scale import order_rank
 from talkgauge.plans import relevance_jobs as jobs
 from talkgauge.plans.registry import register
@@ -23,6 +23,7 @@ from talkgauge.plans.tables import (
     new_part,
     old_part,
     pairs,
+    scored_events,
     table,
 )
 from talkgauge.session import scratch_path
@@ -32,7 +33,7 @@ from talkgauge.streaming import decayed_stream
 TOPIC = "Formula 1"
 WORDS_SQL = "('the','and','of','en','de','der','la','que')"
 HITS_SQL = f"len(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x IN {WORDS_SQL}))"
-SCORE_SQL = f"CAST(least(10, 1 + {HITS_SQL}) AS INTEGER)"
+SCORE_SQL = f"CAST(least(10, 1 + coalesce({HITS_SQL}, 0)) AS INTEGER)"
 AS_OF_SQL = "epoch_us(TIMESTAMP '2024-03-01 00:00:00')"
 WEIGHT_SQL = f"exp(-ln(2) / 7 * ({AS_OF_SQL} - us) / 86400000000.0)"
 MESSAGES_SQL = """
@@ -617,9 +618,43 @@ def daily_run_stored(spark: SparkSession, folder: str) -> DataFrame:
     return chats.select(low.alias("u1"), high.alias("u2"), "n_messages", *r6("weighted_sum", "weight_sum", "raw_score"))
 
 
+# --- missing values ----------------------------------------------------------------------
+
+GAPS_SQL = f"""{MESSAGES_SQL},
+g AS (SELECT msg_id, sender, CASE WHEN msg_id%11<>0 THEN receiver END AS receiver, CASE WHEN msg_id%7<>0 THEN text END AS text, us FROM m),
+gp AS (SELECT least(sender,receiver) AS u1, CASE WHEN receiver IS NOT NULL THEN greatest(sender,receiver) END AS u2, coalesce(text,'') AS text, us FROM g)"""
+
+
+def _gaps(spark: SparkSession, folder: str) -> DataFrame:
+    """Keyed messages, some without a text or a receiver."""
+    rows = messages(spark, folder).withColumns({
+        "receiver": F.when(F.col("msg_id") % 11 != 0, F.col("receiver")), "text": F.when(F.col("msg_id") % 7 != 0, F.col("text")),
+    })
+    return with_pair(rows)
+
+
+@register(
+    f"""WITH {GAPS_SQL}, s AS (SELECT *, {SCORE_SQL} AS score, {WEIGHT_SQL} AS w FROM gp), {chats_sql()}
+    SELECT u1,coalesce(u2,-1) AS u2,n_messages,round(weighted_sum,6) AS weighted_sum,round(weight_sum,6) AS weight_sum FROM c"""
+)
+def chat_scores_with_gaps(spark: SparkSession, folder: str) -> DataFrame:
+    rows = relevance.weighted(relevance.additive_bundle_scores(_gaps(spark, folder), "message"), AS_OF, HALF_LIFE)
+    return relevance.chat_sums(rows).select("u1", F.coalesce("u2", F.lit(-1)).alias("u2"), "n_messages", *r6("weighted_sum", "weight_sum"))
+
+
+@register(
+    f"""WITH {GAPS_SQL}, s AS (SELECT u1, u2, {RATED_SQL.format(t="rtrim(text, chr(10))")} AS score, {WEIGHT_SQL} AS w FROM gp), {chats_sql()}
+    SELECT u1,coalesce(u2,-1) AS u2,n_messages,round(weighted_sum,6) AS weighted_sum,round(weight_sum,6) AS weight_sum FROM c"""
+)
+def prompted_scores_with_gaps(spark: SparkSession, folder: str) -> DataFrame:
+    settings = jobs.ScoringSettings(topic=TOPIC, scorer=scorer.PromptScorer(_rating_answerer, "stand-in"))
+    sums = jobs.process_history(_gaps(spark, folder), settings, AS_OF, scratch_path(spark, "cache"))
+    return sums.select("u1", F.coalesce("u2", F.lit(-1)).alias("u2"), "n_messages", *r6("weighted_sum", "weight_sum"))
+
+
 # --- events: forward decay and streaming -------------------------------------------------
 
-EVENTS_SQL = """e AS (SELECT user_id, CAST(greatest(1, least(10, floor(value))) AS INTEGER) AS score, epoch_us(ts) AS us FROM events),
+EVENTS_SQL = """e AS (SELECT user_id, CAST(greatest(1, least(10, coalesce(floor(value), 0))) AS INTEGER) AS score, epoch_us(ts) AS us FROM events),
 w AS (SELECT *, exp(-ln(2)/7*(epoch_us(TIMESTAMP '2024-02-01 00:00:00')-us)/86400000000.0) AS w FROM e)"""
 EVENT_USERS_SQL = f"""WITH {EVENTS_SQL} SELECT user_id, round(sum(CASE WHEN score>=3 THEN score*w ELSE 0 END),6) AS weighted_sum,
   round(sum(CASE WHEN score>=3 THEN w ELSE 0 END),6) AS weight_sum, count(*) AS n FROM w GROUP BY user_id"""
@@ -635,6 +670,16 @@ def event_user_sums(spark: SparkSession, folder: str) -> DataFrame:
     ).select("user_id", *r6("weighted_sum", "weight_sum"), "n")
 
 
+@register(EVENT_USERS_SQL.replace("FROM events)", "FROM (SELECT user_id, ts, CASE WHEN event_id%7<>0 THEN value END AS value FROM events))"))
+def event_user_sums_with_gaps(spark: SparkSession, folder: str) -> DataFrame:
+    """Events, some without a value."""
+    rows = scored_events(table(spark, folder, "events").withColumn("value", F.when(F.col("event_id") % 7 != 0, F.col("value"))))
+    wt = decay.weight(decay.micros("ts"), EVENTS_AS_OF, HALF_LIFE)
+    return rows.groupBy("user_id").agg(
+        *relevance.qualifying_sums(F.col("score"), wt, scoring.MIN_SCORE), F.count(F.lit(1)).alias("n")
+    ).select("user_id", *r6("weighted_sum", "weight_sum"), "n")
+
+
 @register(EVENT_USERS_SQL)
 def event_user_sums_forward(spark: SparkSession, folder: str) -> DataFrame:
     """The same sums by forward decay, scaled back once per user."""

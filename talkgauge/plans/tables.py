@@ -66,8 +66,8 @@ def event_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scored_events(events: DataFrame) -> DataFrame:
-    """Events as scored items: ``value`` clamped to a whole score of 1..10."""
-    score = F.greatest(F.lit(1), F.least(F.lit(10), F.floor("value"))).cast("int")
+    """Events as scored items: ``value`` clamped to a whole score of 1..10; a missing one scores lowest."""
+    score = F.greatest(F.lit(1), F.least(F.lit(10), F.coalesce(F.floor("value"), F.lit(0)))).cast("int")
     return events.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), score.alias("score"))
 
 
