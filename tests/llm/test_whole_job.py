@@ -23,3 +23,38 @@ def test_item_that_many_documents_hold(spark):
     want = plain_leaks([{"doc_id": n, "text": t} for n, t in rows], [item])
     assert len(want) >= len(rows) / 3 and got <= want
     assert decontaminate.CANDIDATE == 0.45 and len(got) >= 0.9 * len(want)
+
+
+def noisy(rng, item, keep, insert):
+    out = []
+    for w in item:
+        out += [w] * (rng.random() < keep) + [int(rng.integers(1000, 9000))] * (rng.random() < insert)
+    return out
+
+
+def passes_somewhere(item, words):
+    length, answer = int(np.ceil(len(item) * decontaminate.STRETCH)), item[-min(decontaminate.ANSWER_WORDS, len(item)) :]
+    stretches = [words[s : s + length] for s in range(max(1, len(words) - length + 1))]
+    return any(decontaminate.lcs(item, x) >= decontaminate.MATCH * len(item) and
+               decontaminate.lcs(answer, x) >= decontaminate.ANSWER_MATCH * len(answer) for x in stretches)
+
+
+def test_paraphrases_begun_at_any_word():
+    rng = np.random.default_rng(4)
+    found = wanted = 0
+    for _ in range(600):
+        item = rng.integers(0, 500, int(rng.integers(24, 56)))
+        around = rng.integers(1000, 9000, 90)
+        words = np.array([*around[:45], *noisy(rng, item.tolist(), 0.9, 0.4), *around[45:]])
+        want, got = passes_somewhere(item, words), decontaminate._check(item, words, [1, 2])
+        assert bool(got) == want
+        wanted, found = wanted + want, found + bool(got)
+    assert wanted == found >= 200
+
+
+def test_item_without_its_answer_before_a_whole_paraphrase():
+    item, gap = np.arange(40), np.arange(1000, 1030)
+    words = np.concatenate([item[:35], gap, item[:5], item[11:], gap])
+    assert passes_somewhere(item, words)
+    share, said, first = decontaminate._check(item, words, [0, 1, 2, 3])
+    assert share >= decontaminate.MATCH and said >= decontaminate.ANSWER_MATCH and first >= 35
