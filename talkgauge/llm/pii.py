@@ -28,6 +28,10 @@ DATE = r"(?<![\d\-])\d{4}-\d{2}-\d{2}(?![\d\-])"
 SECRET = r'(?i:password|passwd|token|secret|api_?key) ?[=:] ?"?[A-Za-z0-9_\-]{12,120}|(?<![A-Z0-9])AKIA[A-Z0-9]{16}(?![A-Z0-9])'
 KINDS = (("mail", MAIL), ("secret", SECRET), ("phone", PHONE), ("date", DATE), ("social", SOCIAL), ("address", ADDRESS), ("card", CARD))
 ANY = "|".join(p for _, p in KINDS)
+OTHERS = "|".join(p for name, p in KINDS if name != "card")
+# Groups of digits one blank or hyphen apart, 13 digits at least; a card begins and ends at borders of groups.
+RUN = r"(?<!\d)(?=\d(?:[ \-]?\d){12})\d++(?:[ \-]\d++)*+"
+CARD_DIGITS = (13, 19)
 
 
 def _round(key: str, tweak: str, i: Column, other: Column) -> Column:
@@ -88,13 +92,49 @@ def _digits(text: Column) -> Column:
     return F.regexp_replace(text, r"\D", "")
 
 
-def card(found: Column, key: str = KEY) -> Column:
-    def renewed(d: Column) -> Column:
-        head = permute_digits(F.substr(d, F.lit(1), F.length(d) - 1), "card", key)
-        whole = _let(head, lambda h: F.concat(h, ((10 - luhn_sum(F.concat(h, F.lit("0"))) % 10) % 10).cast("string")))
-        return F.when(luhn_sum(d) % 10 == 0, fill(found, whole)).otherwise(found)
+def card(digits: Column, key: str = KEY) -> Column:
+    """Digits of a card, permuted but for the last one, which is the check digit of the others."""
+    head = permute_digits(F.substr(digits, F.lit(1), F.length(digits) - 1), "card", key)
+    return _let(head, lambda h: F.concat(h, ((10 - luhn_sum(F.concat(h, F.lit("0"))) % 10) % 10).cast("string")))
 
-    return _let(_digits(found), renewed)
+
+def cards(run: Column, key: str = KEY) -> Column:
+    """A run of digit groups with its cards replaced, and their number, as a struct of ``out`` and ``n``.
+
+    Every span of groups with a valid check digit counts, from left to right and the longest one of each start.  A span
+    inside those before it is part of them; one that reaches beyond them is replaced too, so no valid span stays.
+    """
+    least, most = CARD_DIGITS
+
+    def renewed(digits: Column, ends: Column) -> Column:
+        def step(s: Column, i: Column) -> Column:
+            start = F.when(i == 0, 0).otherwise(F.get(ends, i - 1))
+            valid = F.filter(F.slice(ends, i + 1, most), lambda e: F.when((e - start).between(least, most), luhn_sum(F.substr(digits, start + 1, e - start)) % 10 == 0).otherwise(False))
+
+            def replaced(e: Column) -> Column:
+                new = F.concat(F.substr(s["digits"], F.lit(1), start), card(F.substr(s["digits"], start + 1, e - start), key), F.substr(s["digits"], e + 1, F.length(digits)))
+                return F.when(e > s["end"], F.struct(new.alias("digits"), e.alias("end"), (s["n"] + 1).alias("n"))).otherwise(s)
+
+            return _let(F.array_max(valid), replaced)
+
+        first = F.struct(digits.alias("digits"), F.lit(0).alias("end"), F.lit(0).alias("n"))
+        places = F.sequence(F.lit(0), F.size(ends) - 1)
+        return F.aggregate(places, first, step, lambda s: F.struct(F.when(s["n"] > 0, fill(run, s["digits"])).otherwise(run).alias("out"), s["n"].alias("n")))
+
+    lengths = F.transform(F.split(run, r"\D"), lambda g: F.length(g))
+    borders = F.aggregate(lengths, F.array().cast("array<int>"), lambda out, n: F.concat(out, F.array(F.coalesce(F.get(out, F.size(out) - 1), F.lit(0)) + n)))
+    return _let(borders, lambda ends: _let(_digits(run), lambda digits: renewed(digits, ends)))
+
+
+def without_cards(text: Column, key: str = KEY) -> Column:
+    """Text with its cards replaced, and their number, as a struct of ``out`` and ``n``."""
+    runs = F.transform(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)), lambda r: cards(r, key))
+
+    def joined(found: Column) -> Column:
+        pieces = F.zip_with(F.split(text, RUN, -1), found, lambda p, f: F.concat(p, F.coalesce(f["out"], F.lit(""))))
+        return F.struct(F.array_join(pieces, "").alias("out"), F.aggregate(found, F.lit(0), lambda n, f: n + f["n"]).alias("n"))
+
+    return F.when(text.rlike(CARD), _let(runs, joined)).otherwise(F.struct(text.alias("out"), F.lit(0).alias("n")))
 
 
 def phone(found: Column, key: str = KEY) -> Column:
@@ -175,7 +215,7 @@ def secret(found: Column, key: str = KEY) -> Column:
     return F.concat(name, letters(F.substr(found, F.length(name) + 1, F.length(found)), "secret", key))
 
 
-PSEUDONYMS = {"mail": mail, "secret": secret, "phone": phone, "date": date, "social": social, "address": address, "card": card}
+PSEUDONYMS = {"mail": mail, "secret": secret, "phone": phone, "date": date, "social": social, "address": address}
 
 
 def kind_of(found: Column) -> Column:
@@ -192,17 +232,19 @@ def pseudonymised(docs: DataFrame, text: str = "text", key: str = KEY, found: st
     def renewed(m: Column) -> Column:
         kind = kind_of(m)
         out = m
-        for name, _ in reversed(KINDS):
+        for name in reversed(PSEUDONYMS):
             out = F.when(kind == name, PSEUDONYMS[name](m, key)).otherwise(out)
         return out
 
-    values = F.regexp_extract_all(body, F.lit(ANY), F.lit(0))
+    # Cards are looked for between the other values, so that a number that is none hides nothing.
+    values = F.regexp_extract_all(body, F.lit(OTHERS), F.lit(0))
     marked = docs.withColumn("_found", F.when(body.rlike(ANY), values))
     marked = marked.withColumn("_new", F.transform("_found", renewed))
-    pieces = F.split(body, ANY, -1)
-    joined = F.array_join(F.flatten(F.zip_with(pieces, F.col("_new"), lambda p, n: F.array(p, F.coalesce(n, F.lit(""))))), "")
+    marked = marked.withColumn("_pieces", F.when(F.col("_found").isNotNull(), F.transform(F.split(body, OTHERS, -1), lambda p: without_cards(p, key))))
+    joined = F.array_join(F.flatten(F.zip_with("_pieces", "_new", lambda p, n: F.array(p["out"], F.coalesce(n, F.lit(""))))), "")
     changed = F.size(F.filter(F.zip_with("_found", "_new", lambda a, b: a != b), lambda x: x))
+    changed = changed + F.aggregate("_pieces", F.lit(0), lambda n, p: n + p["n"])
     return marked.withColumns({
         text: F.when(F.col("_found").isNull(), body).otherwise(joined),
         found: F.when(F.col("_found").isNull(), 0).otherwise(changed).cast("bigint"),
-    }).drop("_found", "_new")
+    }).drop("_found", "_new", "_pieces")

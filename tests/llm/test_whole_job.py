@@ -1,9 +1,12 @@
 """Operators on inputs where a shortcut would lose results."""
 
+import itertools
+import re
+
 import numpy as np
-from test_brute_force import MORE, plain_leaks, rows_of
+from test_brute_force import MORE, feistel_digits, luhn, plain_leaks, put, rows_of
 
-from talkgauge.llm import decontaminate
+from talkgauge.llm import decontaminate, pii
 
 
 def test_item_that_many_documents_hold(spark):
@@ -58,3 +61,42 @@ def test_item_without_its_answer_before_a_whole_paraphrase():
     assert passes_somewhere(item, words)
     share, said, first = decontaminate._check(item, words, [0, 1, 2, 3])
     assert share >= decontaminate.MATCH and said >= decontaminate.ANSWER_MATCH and first >= 35
+
+
+def plain_cards(run):
+    """Spans of digit groups, the longest valid one of each start unless it lies in those before."""
+    groups = [(m.start(), m.end()) for m in re.finditer(r"\d+", run)]
+    digits, end, n = "".join(c for c in run if c.isdigit()), 0, 0
+    ends = list(itertools.accumulate(b - a for a, b in groups))
+    new = digits
+    for a in [0, *ends[:-1]]:
+        valid = [b for b in ends if 13 <= b - a <= 19 and luhn(digits[a:b]) == 0]
+        if valid and valid[-1] > end:
+            end, n = valid[-1], n + 1
+            head = feistel_digits(new[a : end - 1], "card")
+            new = new[:a] + head + str(-luhn(head + "0") % 10) + new[end:]
+    return put(run, new), n
+
+
+def test_cards_beside_other_numbers(spark):
+    runs = ["4111111111111111 123", "2 4111111111111111", "4111 1111 1111 1111 12", "5 4111-1111-1111-1111 12 27", "4111111111111112 123",
+            "378282246310005 4111111111111111 5500005555555559 7", " ".join("1234567890" * 40), "4" * 20]
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        sizes = rng.integers(1, 17, int(rng.integers(1, 7)))
+        runs.append("".join("".join(map(str, rng.integers(0, 10, n))) + str(rng.choice([" ", "-"])) for n in sizes)[:-1])
+    docs = spark.createDataFrame([(i, f"a {r}/x") for i, r in enumerate(runs)], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in pii.pseudonymised(docs).collect()}
+    for i, run in enumerate(runs):
+        if re.search(pii.OTHERS, run):
+            continue
+        want, n = plain_cards(run)
+        assert (got[i].text, got[i].n_replaced) == (f"a {want}/x", n)
+    assert all("4111111111111111" not in re.sub(r"\D", "", got[i].text) for i in (0, 1, 2, 3, 5))
+
+
+def test_number_before_a_date_hides_nothing(spark):
+    docs = spark.createDataFrame([(1, "id 4711 2021-03-04 10:22"), (2, "2021-03-04 4111111111111111 123-45-6789")], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in pii.pseudonymised(docs).collect()}
+    assert "2021-03-04" not in got[1].text and got[1].text.startswith("id 4711 ") and got[1].n_replaced == 1
+    assert got[2].n_replaced == 3 and not any(v in got[2].text for v in ("2021-03-04", "4111111111111111", "123-45-6789"))
