@@ -25,7 +25,7 @@ CARD = r"(?<!\d)\d(?:[ \-]?\d){12,18}(?!\d)"
 PHONE = r"\+\d{1,3}[ .\-]?\(?\d{2,4}\)?(?:[ .\-]?\d{2,4}){2,4}(?!\d)"
 SOCIAL = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
 DATE = r"(?<![\d\-])\d{4}-\d{2}-\d{2}(?![\d\-])"
-SECRET = r'(?i:password|passwd|token|secret|api_?key) ?[=:] ?"?[A-Za-z0-9_\-]{12,120}|(?<![A-Z0-9])AKIA[A-Z0-9]{16}(?![A-Z0-9])'
+SECRET = r'(?i:password|passwd|token|secret|api_?key) ?[=:] ?"?[A-Za-z0-9_\-]{12,}|(?<![A-Z0-9])AKIA[A-Z0-9]{16}(?![A-Z0-9])'
 KINDS = (("mail", MAIL), ("secret", SECRET), ("phone", PHONE), ("date", DATE), ("social", SOCIAL), ("address", ADDRESS), ("card", CARD))
 ANY = "|".join(p for _, p in KINDS)
 OTHERS = "|".join(p for name, p in KINDS if name != "card")
@@ -186,15 +186,23 @@ def letters(text: Column, tweak: str, key: str = KEY) -> Column:
     start = F.struct(F.substr(text, F.lit(1), half).alias("l"), F.substr(text, half + 1, F.length(text)).alias("r"))
 
     def moved(part: Column, i: Column, other: Column) -> Column:
-        digest = lambda n: F.sha2(F.concat_ws("|", F.lit(key), F.lit(tweak), i.cast("string"), F.lit(str(n)), other), 256)
-        stream = F.concat(*[digest(n) for n in range(4)])
-
-        def one(c: Column, n: Column) -> Column:
-            by = F.conv(F.substr(stream, (n * 2 % 254) + 1, F.lit(2)), 16, 10).cast("int")
+        def shifted(chars: Column, beyond: Column) -> Column:
+            # A digest of 64 hexadecimal digits moves 32 letters; those beyond the fourth are made from a digest of the
+            # other half, so that the time of a long value grows with its length.
+            def block(n: Column) -> Column:
+                source = F.when(n < 4, other).otherwise(beyond)
+                digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(tweak), i.cast("string"), n.cast("string"), source), 256)
+                return _let(digest, lambda d: F.array_join(F.transform(F.slice(chars, n * 32 + 1, 32), lambda c, at: one(c, at, d)), ""))
+
+            return F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.size(chars) - 1) / 32).cast("int")), block), "")
+
+        def one(c: Column, at: Column, digest: Column) -> Column:
+            by = F.conv(F.substr(digest, at * 2 + 1, F.lit(2)), 16, 10).cast("int")
             shift = lambda a, size: F.char(F.pmod(F.ascii(c) - a + by, F.lit(size)) + a)
             return F.when(c.between("a", "z"), shift(97, 26)).when(c.between("A", "Z"), shift(65, 26)).when(c.between("0", "9"), shift(48, 10)).otherwise(c)
 
-        return F.array_join(F.transform(F.split(part, ""), one), "")
+        long = F.length(part) > 128
+        return _let(F.when(long, F.sha2(other, 256)), lambda beyond: _let(F.split(part, ""), lambda chars: shifted(chars, beyond)))
 
     def step(s: Column, i: Column) -> Column:
         even = i % 2 == 0

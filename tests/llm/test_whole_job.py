@@ -4,7 +4,7 @@ import itertools
 import re
 
 import numpy as np
-from test_brute_force import MORE, feistel_digits, luhn, plain_leaks, put, rows_of
+from test_brute_force import MORE, feistel_digits, feistel_letters, luhn, plain_leaks, put, rows_of
 
 from talkgauge.llm import decontaminate, pii
 
@@ -100,3 +100,18 @@ def test_number_before_a_date_hides_nothing(spark):
     got = {r.doc_id: r for r in pii.pseudonymised(docs).collect()}
     assert "2021-03-04" not in got[1].text and got[1].text.startswith("id 4711 ") and got[1].n_replaced == 1
     assert got[2].n_replaced == 3 and not any(v in got[2].text for v in ("2021-03-04", "4111111111111111", "123-45-6789"))
+
+
+def test_secrets_of_any_length(spark):
+    rng = np.random.default_rng(8)
+    drawn = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_-"), n)) for n in (12, 120, 121, 254, 300, 5000)]
+    values = [v for n in (300, 5000) for v in ("a" * n, "a" * (n - 1) + "b", "b" + "a" * (n - 1))] + drawn
+    docs = spark.createDataFrame([(i, f"token: {v}. end") for i, v in enumerate(values)], "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in pii.pseudonymised(docs).collect()}
+    assert len(set(got.values())) == len(set(values))
+    for i, v in enumerate(values):
+        new = got[i].removeprefix("token: ").removesuffix(". end")
+        assert len(new) == len(v) and re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "0", new))) == re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "0", v)))
+        assert max((sum(1 for _ in g) for same, g in itertools.groupby(a == b and a not in "_-" for a, b in zip(new, v, strict=True)) if same), default=0) < 8
+        if len(v) <= 254:
+            assert new == feistel_letters(v, "secret")
