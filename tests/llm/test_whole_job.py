@@ -6,7 +6,8 @@ import re
 import numpy as np
 from test_brute_force import MORE, feistel_digits, feistel_letters, luhn, plain_leaks, put, rows_of
 
-from talkgauge.llm import decontaminate, pii
+from talkgauge.llm import decontaminate, licenses, pii
+from talkgauge.llm.common import table
 
 
 def test_item_that_many_documents_hold(spark):
@@ -115,3 +116,23 @@ def test_secrets_of_any_length(spark):
         assert max((sum(1 for _ in g) for same, g in itertools.groupby(a == b and a not in "_-" for a, b in zip(new, v, strict=True)) if same), default=0) < 8
         if len(v) <= 254:
             assert new == feistel_letters(v, "secret")
+
+
+def test_notices_inside_long_lines(spark):
+    words = sorted({w for d in rows_of(spark, MORE) for w in (d["text"] or "").lower().split() if w.isalpha()})
+    rng = np.random.default_rng(2)
+    kinds = [(f, t) for f, t in ((f, ts[0]) for f, ts in licenses.TEMPLATES.items())]
+    made = []
+    for n in (30, 300, 5000):
+        for family, notice in kinds:
+            around = list(rng.choice(words, n))
+            at = int(rng.integers(0, n + 1))
+            made.append((len(made) - 1000, " ".join([*around[:at], notice, *around[at:]]), family))
+    docs = table(spark, MORE, "documents").select("doc_id", "text")
+    fitted = licenses.train(docs)
+    rows = spark.createDataFrame([m[:2] for m in made], "doc_id bigint, text string")
+    got = {(r.doc_id, r.family) for r in licenses.scan(rows, *fitted).collect()}
+    found = [(i, f) in got for i, _, f in made]
+    assert sum(found) >= 0.95 * len(found), [sum(found[k : k + len(kinds)]) for k in range(0, len(found), len(kinds))]
+    both = spark.createDataFrame([(None, made[-1][1] + " " + made[-len(kinds)][1])], "doc_id bigint, text string")
+    assert {r.family for r in licenses.scan(both, *fitted).collect()} == {kinds[0][0], kinds[-1][0]}
