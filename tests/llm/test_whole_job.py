@@ -6,7 +6,7 @@ import re
 import numpy as np
 from test_brute_force import MORE, feistel_digits, feistel_letters, luhn, plain_leaks, put, rows_of
 
-from talkgauge.llm import decontaminate, licenses, pii
+from talkgauge.llm import decontaminate, licenses, pii, token_counts, token_files
 from talkgauge.llm.common import table
 
 
@@ -136,3 +136,21 @@ def test_notices_inside_long_lines(spark):
     assert sum(found) >= 0.95 * len(found), [sum(found[k : k + len(kinds)]) for k in range(0, len(found), len(kinds))]
     both = spark.createDataFrame([(None, made[-1][1] + " " + made[-len(kinds)][1])], "doc_id bigint, text string")
     assert {r.family for r in licenses.scan(both, *fitted).collect()} == {kinds[0][0], kinds[-1][0]}
+
+
+def test_leaks_and_tokens_of_documents_without_an_id(spark, tmp_path):
+    item = "what is the colour of the quiet river under the old stone bridge near zurvath the answer is deep green"
+    rows = [(None, f"well {item} then", "en", "a"), (None, "clean text without id", "en", "a"), (None, "clean text without id", "en", "a"),
+            (7, f"so {item} and more", "en", "a"), (7, "a clean text of the same id", "en", None), (8, "one two", "en", "b")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    items = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    kept = decontaminate.keep_clean(docs, items)
+    assert kept.columns == docs.columns and sorted(r.text for r in kept.collect()) == sorted(t for _, t, _, _ in rows if item not in t)
+    tokenizer = token_files.public_tokenizer("word_bpe_49k.json")
+    ledger = token_counts.TokenLedger(spark, f"file://{tmp_path}/ledger")
+    counted = token_counts.counted(docs.filter("doc_id is null or doc_id = 8"), tokenizer)
+    ledger.commit(1, token_counts.change_rows(counted, "insert", "t"))
+    want = {s: (sum(r.source == s for r in counted.collect()), sum(r.n_tokens for r in counted.collect() if r.source == s)) for s in ("a", "b")}
+    assert {r.source: (r.documents, r.tokens) for r in ledger.totals().collect()} == want and want["a"][0] == 3
+    ledger.commit(2, token_counts.change_rows(counted.filter("n_tokens < 10 and doc_id is null"), "delete", "t"))
+    assert {r.source: r.documents for r in ledger.totals().collect()} == {"a": 1, "b": 1}
