@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkgauge.llm import chat, decontaminate, exact_dedup, licenses, mixing, pii, quality, simhash, token_counts, token_files
+from talkgauge.llm import chat, decontaminate, exact_dedup, licenses, manifest, mixing, pii, quality, simhash, token_counts, token_files
 from talkgauge.llm.common import table
 from talkgauge.session import scratch_path
 
@@ -139,3 +139,69 @@ def op9_chat_format(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_pii")
 def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.pseudonymised(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+# The tree is built level by level in recursive parts; the CRC-32 table follows from its polynomial.
+@query("op13_manifest", r"""
+WITH RECURSIVE bits(b, k, v) AS (
+  SELECT range::BIGINT, 0, range::BIGINT FROM range(256)
+  UNION ALL SELECT b, k + 1, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE k < 8
+), crc AS (SELECT list(v ORDER BY b) AS t FROM bits WHERE k = 8),
+docs AS (
+  SELECT documents.*, row_number() OVER () AS rid,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+      lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) AS sum32
+  FROM documents, crc
+), head AS (
+  SELECT *, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+    || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS front,
+    replace(text, chr(10), '') AS other
+  FROM docs
+), hashed AS (
+  SELECT rid, doc_id, source, sha256(front || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN sum32 % 2 = 0 THEN sha256(front || coalesce(strlen(other) || ':' || other, '-')) END AS altered
+  FROM head
+), base AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, rid) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM hashed
+), tree(source, lvl, i, n, h) AS (
+  SELECT source, 0, i, n, leaf FROM base
+  UNION ALL
+  SELECT source, lvl + 1, i // 3, (any_value(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM tree WHERE n > 1 GROUP BY source, lvl, i // 3
+), tops AS (
+  SELECT source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM tree WHERE n = 1
+), crown(lvl, i, n, h) AS (
+  SELECT 0, i, n, h FROM tops
+  UNION ALL
+  SELECT lvl + 1, i // 3, (any_value(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM crown WHERE n > 1 GROUP BY lvl, i // 3
+), runs AS (
+  SELECT a.source, a.lvl, a.i, a.n, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+  FROM tree a JOIN tree b ON a.source IS NOT DISTINCT FROM b.source AND a.lvl = b.lvl AND a.i // 3 = b.i // 3 WHERE a.n > 1 GROUP BY ALL
+), steps AS (
+  SELECT a.lvl, a.i, a.n, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+  FROM crown a JOIN crown b ON a.lvl = b.lvl AND a.i // 3 = b.i // 3 WHERE a.n > 1 GROUP BY ALL
+), walk(rid, source, lvl, i, h, proof) AS (
+  SELECT rid, source, 0, i, coalesce(altered, leaf), '' FROM base
+  UNION ALL
+  SELECT w.rid, w.source, w.lvl + 1, w.i // 3, sha256(r.l || w.h || r.r), w.proof || r.l || r.r
+  FROM walk w JOIN runs r ON w.source IS NOT DISTINCT FROM r.source AND w.lvl = r.lvl AND w.i = r.i
+), arrived AS (
+  SELECT w.rid, t.i, t.h AS subroot, w.h, w.proof FROM (SELECT * FROM walk QUALIFY lvl = max(lvl) OVER (PARTITION BY rid)) w
+  JOIN tops t ON w.source IS NOT DISTINCT FROM t.source
+), climb(rid, lvl, i, h, proof) AS (
+  SELECT rid, 0, i, h, proof FROM arrived
+  UNION ALL
+  SELECT c.rid, c.lvl + 1, c.i // 3, sha256(s.l || c.h || s.r), c.proof || s.l || s.r FROM climb c JOIN steps s ON c.lvl = s.lvl AND c.i = s.i
+), final AS (SELECT * FROM climb QUALIFY lvl = max(lvl) OVER (PARTITION BY rid)),
+root AS (SELECT h FROM crown WHERE n = 1)
+SELECT b.doc_id, b.leaf, a.subroot, root.h AS root, sha256(f.proof) AS proof_sha256, f.h AS folded_root, f.h = root.h AS verified
+FROM base b JOIN arrived a ON a.rid = b.rid JOIN final f ON f.rid = b.rid CROSS JOIN root
+""")
+def op13_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Every second document, by the checksum of its id, is verified without its line breaks."""
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    proofs = manifest.manifest(table(spark, folder, "documents"), altered=F.when(even, F.replace("text", F.lit("\n"), F.lit(""))))
+    checked = manifest.folded(proofs.withColumn("shown", F.coalesce("altered", "leaf")), "shown")
+    return checked.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(F.translate("proof", "/.", ""), 256).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
