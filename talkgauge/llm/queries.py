@@ -4,10 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkgauge.llm import chat, decontaminate, exact_dedup, licenses, manifest, mixing, pii, quality, simhash, token_counts, token_files
+from talkgauge.llm import (
+    chat,
+    credentials,
+    decontaminate,
+    exact_dedup,
+    licenses,
+    manifest,
+    mixing,
+    pii,
+    quality,
+    repair,
+    simhash,
+    token_counts,
+    token_files,
+)
 from talkgauge.llm.common import table
 from talkgauge.session import scratch_path
 
@@ -141,6 +155,35 @@ def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.pseudonymised(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+@query("op11_repair")
+def op11_repair(spark: SparkSession, folder: str) -> DataFrame:
+    whole = table(spark, folder, "conversations")
+    rows = repair.damaged(whole)
+    planned = repair.plans(rows)
+    digests = repair.digests(repair.repaired_turns(rows, planned))
+    # Every original conversation comes out, also one without rows after the damage or after the repair.
+    found = whole.select("conv_id").distinct()
+    for right in (planned, digests):
+        right = right.withColumnRenamed("conv_id", "same_conv")
+        found = found.join(right, F.col("conv_id").eqNullSafe(F.col("same_conv")), "left").drop("same_conv")
+    counts = [F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return found.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+                        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+@query("op12_secrets")
+def op12_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = credentials.findings(table(spark, folder, "documents"))
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    base = F.filter("spans", lambda s: s["kind"].isin(*credentials.BASE))
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("bigint").alias(f"n_{k}") for k in credentials.BASE]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 # The tree is built level by level in recursive parts; the CRC-32 table follows from its polynomial.
 @query("op13_manifest", r"""
 WITH RECURSIVE bits(b, k, v) AS (
