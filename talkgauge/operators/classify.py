@@ -7,6 +7,7 @@ import random
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 import pandas as pd
 from pyspark.ml import Estimator, Model
@@ -17,6 +18,7 @@ from pyspark.ml.param import Param
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.util import inheritable_thread_target
 
 from talkgauge.functions import textclean
 from talkgauge.functions.vectors import argmax, softmax
@@ -83,7 +85,7 @@ def train(train_rows: DataFrame, val_rows: DataFrame, steps: Sequence[int] = (5,
           **params) -> Fitted:
     """Train in growing numbers of iterations, keep the model with the best validation macro F1.
 
-    Stops after ``patience`` checks without improvement.
+    Stops after ``patience`` checks without improvement, or once a fit has converged: more steps would give it again.
     """
     best: Fitted | None = None
     history, waited = [], 0
@@ -97,6 +99,8 @@ def train(train_rows: DataFrame, val_rows: DataFrame, steps: Sequence[int] = (5,
             waited += 1
             if waited >= patience:
                 break
+        if model.hasSummary and model.summary.totalIterations < step:
+            break
     return Fitted(best.model, best.score, history)
 
 
@@ -139,14 +143,24 @@ def sample_params(estimator: LogisticRegression, trials: int = 20, seed: int = 4
     ]
 
 
-def search(estimator: Estimator, trials: list[dict[Param, object]], train_rows: DataFrame, val_rows: DataFrame) -> tuple[Fitted, DataFrame]:
-    """Fit every trial and rank by validation macro F1.  Returns the best and one row per trial."""
+def search(estimator: Estimator, trials: list[dict[Param, object]], train_rows: DataFrame, val_rows: DataFrame,
+           parallelism: int = 4) -> tuple[Fitted, DataFrame]:
+    """Fit every trial, ``parallelism`` at a time, and rank by validation macro F1.
+
+    Returns the best (the first one on ties) and one row per trial.
+    """
+    fits = estimator.fitMultiple(train_rows, trials)
+
+    def judged(_: int) -> tuple[int, Model, float]:
+        number, model = next(fits)
+        return number, model, macro_f1(predictions(model, val_rows))
+
+    with ThreadPool(parallelism) as pool:
+        done = sorted(pool.map(inheritable_thread_target(train_rows.sparkSession)(judged), range(len(trials)), chunksize=1), key=lambda d: d[0])
     best: Fitted | None = None
     rows = []
-    for number, model in estimator.fitMultiple(train_rows, trials):
-        score = macro_f1(predictions(model, val_rows))
-        settings = {p.name: float(v) for p, v in trials[number].items()}
-        rows.append((number, score, settings))
+    for number, model, score in done:
+        rows.append((number, score, {p.name: float(v) for p, v in trials[number].items()}))
         if best is None or score > best.score:
             best = Fitted(model, score, [])
     table = train_rows.sparkSession.createDataFrame(sorted(rows), "trial int, macro_f1 double, settings map<string,double>")

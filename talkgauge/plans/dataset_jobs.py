@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkgauge.config import DatasetSettings
-from talkgauge.operators import classify, evaluate, prepare, profile
+from talkgauge.operators import classify, countmodel, evaluate, prepare, profile
 from talkgauge.session import materialize
 from talkgauge.sources import datasets
 
@@ -88,3 +88,21 @@ def train_and_judge(prepared: Prepared, settings: DatasetSettings, run: str = "r
         metrics = evaluate.metric_rows(cells, run, name)
         history = metrics if history is None else history.unionByName(metrics)
     return fitted, history
+
+
+# Smoothing values tried by the count model.
+ALPHAS = tuple(round(10 ** (-3 + i / 4), 6) for i in range(20))
+
+
+def count_and_judge(prepared: Prepared, run: str = "run", alphas: tuple[float, ...] = ALPHAS) -> tuple[DataFrame, float, DataFrame]:
+    """The same with the count model: smoothing chosen on val, metrics of all splits from one pass over the rows."""
+    parts = {s: prepared.splits.filter(F.col("split") == s) for s in prepare.SPLITS}
+    trials, fitted = countmodel.search(parts["train"], parts["val"], alphas)
+    alpha = countmodel.best_alpha(trials)
+    judged = countmodel.predict(prepared.splits, fitted, alpha=alpha)
+    cells = materialize(evaluate.confusion(judged, by=["split"]), "cells")
+    history = None
+    for name in parts:
+        metrics = evaluate.metric_rows(cells.filter(F.col("split") == name).drop("split"), run, name)
+        history = metrics if history is None else history.unionByName(metrics)
+    return fitted, alpha, history

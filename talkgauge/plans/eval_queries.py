@@ -9,10 +9,10 @@ from talkgauge.config import DatasetSettings
 from talkgauge.functions import scoring
 from talkgauge.functions.textclean import collapse_blanks
 from talkgauge.functions.vectors import argmax, mean_logits, softmax
-from talkgauge.operators import classify, evaluate, prepare
+from talkgauge.operators import classify, countmodel, evaluate, prepare
 from talkgauge.plans import dataset_jobs
 from talkgauge.plans.chat_queries import CENTROID_SQL, SCORE_SQL, SCORED_SQL, bundle_rows
-from talkgauge.plans.data_queries import CHANCE_SQL, LABELLED_SQL, r6, seed_sql, split_sql, unit_sql
+from talkgauge.plans.data_queries import CHANCE_SQL, CLEAN_SQL, KEPT_SQL, LABELLED_SQL, r6, seed_sql, split_sql, unit_sql
 from talkgauge.plans.registry import register
 from talkgauge.plans.tables import labelled, table, texts
 from talkgauge.plans.text_queries import blanks_sql
@@ -342,7 +342,7 @@ def batch_inference(spark: SparkSession, folder: str) -> DataFrame:
     return classify.predict_with(rows, _word_count_model).select("conv_id", "turn", "predicted")
 
 
-# --- models: rows only, no SQL twin ------------------------------------------------------
+# --- models ------------------------------------------------------------------------------
 
 
 def _vectors(spark: SparkSession, folder: str) -> DataFrame:
@@ -350,12 +350,29 @@ def _vectors(spark: SparkSession, folder: str) -> DataFrame:
     return materialize(prepare.split(classify.vector_features(rows).drop("embedding")), "vectors")
 
 
-@register()
+def _languages(spark: SparkSession, folder: str) -> DataFrame:
+    """Hashed words of all documents, their language as label, in splits."""
+    rows = texts(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("label"))
+    numbered = prepare.encode_labels(rows, prepare.label_map(rows)).drop("label").withColumnRenamed("label_id", "label")
+    return prepare.split(materialize(classify.text_features(numbered, size=1 << 10).drop("text"), "features"))
+
+
+LANGUAGES_SQL = f"""ds AS (SELECT doc_id AS id, dense_rank() OVER (ORDER BY lang)-1 AS label FROM documents WHERE lang IS NOT NULL), {split_sql('ds', 'id')}"""
+
+
+@register(
+    f"""WITH {LANGUAGES_SQL}, te AS (SELECT label, count(*) AS n FROM sp WHERE split='test' GROUP BY label)
+    SELECT 'class ' || label AS entry, n::BIGINT AS support, true AS learnt FROM te
+    UNION ALL SELECT unnest(['macro avg','weighted avg','accuracy']), sum(n)::BIGINT, true FROM te"""
+)
 def trained_classifier(spark: SparkSession, folder: str) -> DataFrame:
-    """Best model by validation macro F1; its metrics on the test split."""
-    rows = _vectors(spark, folder)
-    fitted = classify.train(rows.filter("split = 'train'"), rows.filter("split = 'val'"), steps=(5, 10, 20), regParam=0.01)
-    return evaluate.report(evaluate.confusion(classify.predictions(fitted.model, rows.filter("split = 'test'"))))
+    """Best regression by validation macro F1: its report on the test split, and whether each figure beats a guess."""
+    rows = _languages(spark, folder)
+    fitted = classify.train(rows.filter("split = 'train'"), rows.filter("split = 'val'"), steps=(5, 10), regParam=0.01)
+    test = rows.filter("split = 'test'")
+    guess = test.agg(1.0 / F.count_distinct("label")).scalar()
+    told = evaluate.report(evaluate.confusion(classify.predictions(fitted.model, test)))
+    return told.select("entry", "support", (F.col("f1") > guess).alias("learnt"))
 
 
 @register(
@@ -373,39 +390,122 @@ def saved_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return both.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count_if(same).alias("same"))
 
 
-@register()
+def _told_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Cleaned labelled texts with their quality."""
+    rows = prepare.cleaned(labelled(spark, folder), keep_empty=False)
+    return materialize(prepare.as_dataset(rows, label="quality", key="doc_id"), "labelled")
+
+
+TOLD_SQL = f"{CLEAN_SQL}, ds AS (SELECT doc_id AS id, t AS text, quality AS label FROM k WHERE t<>'')"
+
+
+def buckets_sql(source: str, text: str = "text") -> str:
+    return f"""(SELECT * REPLACE (CAST('0x' || substr(md5(w),1,4) AS INTEGER) AS w) FROM
+      (SELECT *, unnest(list_filter(string_split({blanks_sql(f'lower({text})')},' '), lambda x: x<>'')) AS w FROM {source}))"""
+
+
+def millionths_sql(x: str) -> str:
+    return f"CAST(floor(({x})*1000000.0+0.5) AS BIGINT)"
+
+
+def share_sql(alpha: str) -> str:
+    return millionths_sql(f"ln(coalesce(n,0)+{alpha}) - ln(words+{alpha}*65536)")
+
+
+# Counts of a training relation tr(id, label, text, ..), per model g; the rows to judge are te(id, label, text, g, ..).
+COUNT_MODEL_SQL = f"""tc AS MATERIALIZED (SELECT g, label AS c, w, count(*) AS n FROM {buckets_sql('tr')} GROUP BY ALL),
+cls AS (SELECT g, label AS c, {millionths_sql('ln(count(*)+1.0) - ln((sum(count(*)) OVER (PARTITION BY g) + count(*) OVER (PARTITION BY g))::DOUBLE)')} AS prior FROM tr GROUP BY g, label),
+tot AS (SELECT *, coalesce((SELECT sum(n) FROM tc WHERE tc.g=cls.g AND tc.c=cls.c),0) AS words FROM cls)"""
+# The label of the largest score, the first one on ties.
+JUDGED_SQL = f"""db AS MATERIALIZED (SELECT v, g, id, label, w, count(*) AS m FROM {buckets_sql('te')} GROUP BY ALL),
+sc AS (SELECT v, a, id, label, tot.c, any_value(prior) + sum(m*{share_sql('alpha')}) AS s, sum(m) AS len
+  FROM db JOIN tot ON db.g=tot.g CROSS JOIN alphas LEFT JOIN tc ON tc.g=tot.g AND tc.c=tot.c AND tc.w=db.w GROUP BY ALL),
+ju AS (SELECT v, a, id, label, arg_max(c, (s, -c)) AS predicted FROM sc GROUP BY ALL)"""
+ONE_ALPHA_SQL = "alphas AS (SELECT 0 AS a, 1.0::DOUBLE AS alpha)"
+ALPHAS_SQL = "alphas AS (SELECT * FROM (VALUES " + ",".join(f"({i},{a}::DOUBLE)" for i, a in enumerate(dataset_jobs.ALPHAS)) + ") t(a, alpha))"
+# Macro F1 of judged rows per trial.
+TRIALS_SQL = """cell AS (SELECT a, label, predicted, count(*) AS n FROM ju GROUP BY ALL),
+side AS (SELECT a, label AS c, n AS support, 0 AS called, CASE WHEN label=predicted THEN n ELSE 0 END AS tp FROM cell
+  UNION ALL SELECT a, predicted, 0, n, 0 FROM cell),
+f AS (SELECT a, c, 2.0*sum(tp)/(sum(support)+sum(called)) AS f1 FROM side GROUP BY ALL),
+trial AS (SELECT a, avg(f1) AS macro_f1 FROM f GROUP BY a)"""
+
+
+@register(
+    f"""WITH {TOLD_SQL}, {split_sql('ds', 'id')}, tr AS (SELECT 0 AS g, * FROM sp WHERE split='train'), te AS (SELECT 0 AS g, 0 AS v, id, label, text FROM sp WHERE split='val'),
+    {COUNT_MODEL_SQL}, {ALPHAS_SQL}, {JUDGED_SQL}, {TRIALS_SQL} SELECT a AS trial, alpha, round(macro_f1,6) AS macro_f1 FROM trial JOIN alphas USING (a)"""
+)
 def parameter_search(spark: SparkSession, folder: str) -> DataFrame:
-    """Twenty trials ranked by validation macro F1."""
-    rows = _vectors(spark, folder)
-    estimator = classify.classifier()
-    trials = classify.sample_params(estimator, DatasetSettings().n_trials)
-    _, table_of_trials = classify.search(estimator, trials, rows.filter("split = 'train'"), rows.filter("split = 'val'"))
-    return table_of_trials.select("trial", "macro_f1", F.col("settings")["regParam"].alias("reg_param"))
+    """Twenty smoothing values of the count model and their validation macro F1."""
+    rows = prepare.split(_told_texts(spark, folder))
+    trials, _ = countmodel.search(rows.filter("split = 'train'"), rows.filter("split = 'val'"), dataset_jobs.ALPHAS)
+    return r6(trials, "macro_f1")
+
+
+@register(f"WITH {LANGUAGES_SQL} SELECT range::INTEGER AS trial, (SELECT count(DISTINCT label) FROM sp WHERE split='val')>1 AS learnt FROM range(4)")
+def regression_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Trials of the regression, fitted side by side: whether each tells the languages apart."""
+    rows, estimator = _languages(spark, folder), classify.classifier()
+    _, trials = classify.search(estimator, classify.sample_params(estimator, 4), rows.filter("split = 'train'"), rows.filter("split = 'val'"))
+    return trials.select("trial", (F.col("macro_f1") > 0.5).alias("learnt"))
+
 
+FOLD_SQL = "CAST((rk>=floor(n*0.3333333333333333+0.5))::INT + (rk>=floor(n*0.6666666666666666+0.5))::INT AS INTEGER)"
 
-@register()
+
+@register(
+    f"""WITH {TOLD_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sha256('42:' || id))-1 AS rk, count(*) OVER (PARTITION BY label) AS n FROM ds),
+    fo AS (SELECT id, label, text, {FOLD_SQL} AS fold FROM r), tr AS (SELECT range AS g, fo.* FROM fo JOIN range(3) ON range<>fold),
+    te AS (SELECT fold AS g, 0 AS v, id, label, text FROM fo), {COUNT_MODEL_SQL}, {ONE_ALPHA_SQL}, {JUDGED_SQL},
+    z AS (SELECT id, label, list(s/(len*1000000.0) ORDER BY c) AS z FROM sc GROUP BY ALL),
+    pr AS (SELECT id, label, list_transform(z, lambda x: exp(x-list_max(z))/list_sum(list_transform(z, lambda y: exp(y-list_max(z))))) AS p FROM z),
+    bar AS (SELECT label AS c, avg(p[label+1]) AS bar FROM pr GROUP BY label), bars AS (SELECT list(bar ORDER BY c) AS b FROM bar),
+    q AS (SELECT id, label, list_transform(p, lambda x, i: CASE WHEN x >= b[i] THEN x ELSE -1 END) AS c FROM pr, bars)
+    SELECT id, label, (list_position(c, list_max(c))-1)::INTEGER AS suggested FROM q WHERE list_max(c)>=0 AND list_position(c, list_max(c))-1<>label"""
+)
 def out_of_fold_label_errors(spark: SparkSession, folder: str) -> DataFrame:
-    rows = materialize(
-        classify.vector_features(table(spark, folder, "embeddings")).select(F.col("vec_id").alias("id"), "features", "label"), "vectors"
-    )
-    judged = classify.out_of_fold(rows, 3, maxIter=10, regParam=0.01)
+    """Quality labels that models of the other folds argue against."""
+    judged = countmodel.predict_out_of_fold(_told_texts(spark, folder), 3)
     return evaluate.label_errors(judged).select("id", "label", "suggested")
 
 
-@register()
+@register(
+    f"""WITH {TOLD_SQL}, {split_sql('ds', 'id')}, tr AS (SELECT 0 AS g, * FROM sp WHERE split='train'),
+    sd AS (SELECT id, label, text, string_split(text,' ') AS w, {seed_sql('42-typo', 'id')} AS s0 FROM sp WHERE split='test'),
+    sh AS (SELECT unnest([0.1,0.3])::DOUBLE AS v),
+    te AS (SELECT 0 AS g, 0.0::DOUBLE AS v, id, label, text FROM sd UNION ALL SELECT 0, v, id, label,
+      array_to_string(list_transform(w, lambda x, i: CASE WHEN length(x)>=4 AND {CHANCE_SQL} < v THEN x[1:1] || x[3:3] || x[2:2] || x[4:] ELSE x END),' ') FROM sd, sh),
+    {COUNT_MODEL_SQL}, {ONE_ALPHA_SQL}, {JUDGED_SQL}, ac AS (SELECT v, avg((label=predicted)::INT) AS acc FROM ju GROUP BY v)
+    SELECT v AS typo_share, round(acc,6) AS accuracy, round(acc-(SELECT acc FROM ac WHERE v=0),6) AS change FROM ac"""
+)
 def typo_robustness(spark: SparkSession, folder: str) -> DataFrame:
     """Quality classifier on words: test accuracy as typos grow."""
-    rows = prepare.as_dataset(prepare.cleaned(labelled(spark, folder), keep_empty=False), label="quality", key="doc_id")
-    splits = prepare.split(materialize(rows, "labelled"))
-    features = classify.text_features(splits.filter("split = 'train'"))
-    model = classify.classifier(maxIter=10, regParam=0.01).fit(features)
-    return classify.robustness(model, splits.filter("split = 'test'"), classify.text_features)
+    splits = prepare.split(_told_texts(spark, folder))
+    fitted = countmodel.fit(splits.filter("split = 'train'"))
+    return r6(countmodel.robustness(splits.filter("split = 'test'"), fitted), "accuracy", "change")
 
 
-@register()
+@register(
+    f"""WITH {KEPT_SQL}, ds AS (SELECT doc_id AS id, t AS text, quality AS label FROM kept), {split_sql('ds', 'id')},
+    tr AS (SELECT 0 AS g, * FROM sp WHERE split='train'), te AS (SELECT 0 AS g, split AS v, id, label, text FROM sp),
+    {COUNT_MODEL_SQL}, {ALPHAS_SQL}, {JUDGED_SQL.replace('ju AS', 'al AS')}, ju AS (SELECT * FROM al WHERE v='val'), {TRIALS_SQL},
+    chosen AS (SELECT a FROM trial ORDER BY round(macro_f1,9) DESC, a LIMIT 1),
+    cm AS (SELECT v, label, predicted, count(*) AS n FROM al WHERE a=(SELECT a FROM chosen) GROUP BY ALL),
+    cl AS (SELECT v, label AS c FROM cm UNION SELECT v, predicted FROM cm),
+    pc AS (SELECT v, c, coalesce((SELECT sum(n) FROM cm WHERE cm.v=cl.v AND label=c AND predicted=c),0) AS tp, coalesce((SELECT sum(n) FROM cm WHERE cm.v=cl.v AND label=c),0) AS support,
+      coalesce((SELECT sum(n) FROM cm WHERE cm.v=cl.v AND predicted=c),0) AS called FROM cl),
+    rt AS (SELECT v, c, tp, support, CASE WHEN called>0 THEN tp/called ELSE 0 END AS precision, CASE WHEN support>0 THEN tp/support ELSE 0 END AS recall, 2.0*tp/(called+support) AS f1 FROM pc),
+    rp AS (SELECT v, 'class ' || c AS class, precision, recall, f1, support FROM rt
+      UNION ALL SELECT v, 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) FROM rt GROUP BY v
+      UNION ALL SELECT v, 'weighted avg', sum(precision*support)/sum(support), sum(recall*support)/sum(support), sum(f1*support)/sum(support), sum(support) FROM rt GROUP BY v
+      UNION ALL SELECT v, 'accuracy', NULL, NULL, sum(tp)/sum(support), sum(support) FROM rt GROUP BY v),
+    u AS (SELECT v, class, 'precision' AS metric, precision AS value FROM rp UNION ALL SELECT v, class, 'recall', recall FROM rp
+      UNION ALL SELECT v, class, 'f1', f1 FROM rp UNION ALL SELECT v, class, 'support', support FROM rp)
+    SELECT 'quality' AS run, v AS phase, metric, class, round(value,6) AS value FROM u WHERE value IS NOT NULL"""
+)
 def dataset_job(spark: SparkSession, folder: str) -> DataFrame:
-    """The whole dataset job on labelled documents: prepare, train, report."""
+    """The whole dataset job on labelled documents: prepare, choose a smoothing, train, report all splits."""
     settings = DatasetSettings(id_column="doc_id", label_column="quality")
     prepared = dataset_jobs.prepare_rows(labelled(spark, folder), settings)
-    _, history = dataset_jobs.train_and_judge(prepared, settings, "quality", regParam=0.01)
-    return history
+    _, _, history = dataset_jobs.count_and_judge(prepared, "quality")
+    return r6(history, "value")
