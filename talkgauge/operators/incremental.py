@@ -34,6 +34,15 @@ def replace_chats(state: DataFrame, recomputed: DataFrame, touched: DataFrame, a
     return faded.unionByName(as_state(recomputed, as_of).select(faded.columns))
 
 
+def recomputed_chats(touched: DataFrame, score_rows, as_of, half_life_days: float, min_score: float = MIN_SCORE) -> DataFrame:
+    """State rows of chats from all their messages, old and new.
+
+    ``score_rows`` turns messages into scored bundles (``score``, ``mean_us``,
+    ``n_messages``).
+    """
+    return as_state(chat_sums(weighted(score_rows(touched), as_of, half_life_days), min_score), as_of)
+
+
 def recompute_affected(history: DataFrame, new: DataFrame, state: DataFrame, score_rows, as_of,
                        half_life_days: float, min_score: float = MIN_SCORE) -> DataFrame:
     """Batch update for any bundle mode: only chats with new messages are recomputed.

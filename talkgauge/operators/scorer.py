@@ -20,9 +20,8 @@ from talkgauge.functions.scoring import (
     render_prompt,
     word_score,
 )
-from talkgauge.operators.scale import BROADCAST_ROWS, bounded
-from talkgauge.session import materialize
-from talkgauge.sources.store import append_scores, load_scores
+from talkgauge.session import materialize, scratch_path
+from talkgauge.sources.store import score_cache
 
 Answerer = Callable[[Sequence[str]], Sequence[str]]
 
@@ -69,40 +68,25 @@ def distinct_texts(bundled: DataFrame) -> DataFrame:
     return bundled.select("text_key", "text").dropDuplicates(["text_key"])
 
 
-def unseen_texts(bundled: DataFrame, cached: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Texts without a stored score, each once.
+def score_missing(bundled: DataFrame, scorer, topic: str, cache_path: str) -> DataFrame:
+    """Score what the cache does not hold, store it, and return ``text_key, score`` of ``bundled``.
 
-    The usual daily batch misses few keys: their texts are picked in the scan.
-    With many misses, copies collapse before the shuffle and the cache is
-    subtracted from what is left.
-    """
-    keys = bundled.select("text_key").distinct().join(cached.select("text_key"), "text_key", "left_anti")
-    missing, is_small = bounded(keys, max_rows)
-    if is_small:
-        return distinct_texts(bundled.join(F.broadcast(missing), "text_key", "left_semi"))
-    return distinct_texts(bundled).join(cached.select("text_key"), "text_key", "left_anti")
-
-
-def score_missing(bundled: DataFrame, scorer, topic: str, cache_path: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Score what the cache does not hold, store it, and return the scores of ``bundled``.
-
-    New scores are written before anything joins them: a retried task reads the
-    stored answer instead of asking again.  A daily batch needs few keys: they
-    pick their scores in the scan of the cache, which may be far larger.
+    Only parts of the cache that can hold a key of the batch are opened.  The keys that miss are a written table, so
+    the planner knows its size: few of them are broadcast into the scan of the texts, many meet the folded texts in a
+    shuffle.  New scores are written before anything joins them: a retried task reads the stored answer instead of
+    asking again.
     """
     if cache_path is None:
         raise ValueError("a scorer that is asked once per text needs a cache_path")
-    spark = bundled.sparkSession
-    keys, is_small = bounded(bundled.select("text_key").distinct(), max_rows)
-
-    def stored() -> DataFrame:
-        scores = load_scores(spark, cache_path, scorer.name, topic).select("text_key", "score")
-        return scores.join(F.broadcast(keys), "text_key", "left_semi") if is_small else scores
-
-    fresh = scorer.score(unseen_texts(bundled, stored(), max_rows), topic)
-    tagged = fresh.select("text_key", "score", F.lit(scorer.name).alias("scorer"), F.lit(topic).alias("topic"))
-    append_scores(tagged, cache_path)
-    return stored()
+    cache = score_cache(bundled.sparkSession, cache_path, scorer.name, topic)
+    if not cache.commits():
+        cache.write(scorer.score(distinct_texts(bundled), topic))
+        return cache.load()
+    keys = materialize(bundled.select("text_key").distinct(), "keys")
+    missing = materialize(keys.join(cache.load(keys), "text_key", "left_anti"), "missing-keys")
+    if not missing.isEmpty():
+        cache.write(scorer.score(distinct_texts(bundled.join(missing, "text_key", "left_semi")), topic))
+    return cache.load(keys).join(keys, "text_key", "left_semi")
 
 
 def score_bundles(bundled: DataFrame, scorer, topic: str, cache_path: str, settle: bool = True) -> DataFrame:
@@ -131,13 +115,22 @@ def cache_report(bundled: DataFrame, cached: DataFrame) -> DataFrame:
     )
 
 
-def on_topic(messages: DataFrame, make_answerer: Callable[[], Answerer], topic: str) -> DataFrame:
-    """Messages whose yes/no answer is yes; each distinct text is asked once."""
+class YesNoScorer(PromptScorer):
+    """Scores a text 1 if it is on topic and 0 if not."""
+
+    def __init__(self, make_answerer: Callable[[], Answerer], name: str = "yes-no"):
+        super().__init__(make_answerer, name, YES_NO_PROMPT)
+
+    def score(self, keyed: DataFrame, topic: str) -> DataFrame:
+        return self.answers(keyed, topic).select("text_key", parse_yes(F.col("answer")).cast("int").alias("score"))
+
+
+def on_topic(messages: DataFrame, make_answerer: Callable[[], Answerer], topic: str, cache_path: str | None = None) -> DataFrame:
+    """Messages whose yes/no answer is yes; each distinct text is asked once, over all runs that share a ``cache_path``."""
     keyed = messages.withColumn("text_key", content_key(F.col("text")))
-    asker = PromptScorer(make_answerer, "yes-no", YES_NO_PROMPT)
-    answers = materialize(asker.answers(distinct_texts(keyed), topic), "answers")
-    passed = answers.filter(parse_yes(F.col("answer"))).select("text_key")
-    return keyed.join(passed, "text_key", "left_semi").drop("text_key")
+    path = cache_path or scratch_path(messages.sparkSession, "answers")
+    scores = score_missing(keyed, YesNoScorer(make_answerer), topic, path)
+    return keyed.join(scores.filter("score = 1").select("text_key"), "text_key", "left_semi").drop("text_key")
 
 
 def cosine(left: Column, right: Column) -> Column:

@@ -352,9 +352,10 @@ def _vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 def _languages(spark: SparkSession, folder: str) -> DataFrame:
     """Hashed words of all documents, their language as label, in splits."""
-    rows = texts(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("label"))
-    numbered = prepare.encode_labels(rows, prepare.label_map(rows)).drop("label").withColumnRenamed("label_id", "label")
-    return prepare.split(materialize(classify.text_features(numbered, size=1 << 10).drop("text"), "features"))
+    rows = texts(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text", "lang").filter("lang is not null")
+    # Languages are few: their sorted list is a scalar subquery.
+    numbered = rows.withColumn("label", (F.array_position(rows.agg(F.array_sort(F.collect_set("lang"))).scalar(), F.col("lang")) - 1).cast("int"))
+    return prepare.split(materialize(classify.text_features(numbered, size=1 << 10).drop("text", "lang"), "features"))
 
 
 LANGUAGES_SQL = f"""ds AS (SELECT doc_id AS id, dense_rank() OVER (ORDER BY lang)-1 AS label FROM documents WHERE lang IS NOT NULL), {split_sql('ds', 'id')}"""

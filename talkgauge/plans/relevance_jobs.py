@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from talkgauge.functions.scoring import MIN_SCORE
 from talkgauge.operators.bundling import bundles, with_key
-from talkgauge.operators.incremental import recompute_affected
+from talkgauge.operators.incremental import recomputed_chats
 from talkgauge.operators.keys import affected_chats, merge_messages, messages_of, with_pair
 from talkgauge.operators.relevance import (
     additive_bundle_scores,
@@ -16,13 +16,14 @@ from talkgauge.operators.relevance import (
     chat_sums,
     key_weights,
     overall,
+    state_at,
     user_sums,
     weighted,
     with_score,
 )
 from talkgauge.operators.scorer import WordListScorer, score_bundles, score_missing
 from talkgauge.session import materialize
-from talkgauge.sources.store import append_messages, load_state, save_state, stored_messages
+from talkgauge.sources.store import append_messages, chat_states, stored_messages
 
 
 @dataclass(frozen=True)
@@ -88,27 +89,32 @@ def roll_up(state: DataFrame, settings: ScoringSettings) -> Scores:
     )
 
 
+def _stored_scores(spark: SparkSession, settings: ScoringSettings, as_of, state_root: str) -> Scores:
+    """Scores of all stored chats at one moment; sums of earlier runs fade as they are read."""
+    return roll_up(state_at(chat_states(spark, state_root).load(), as_of, settings.half_life_days), settings)
+
+
 def first_run(messages: DataFrame, settings: ScoringSettings, as_of, state_root: str,
               cache_path: str | None = None) -> Scores:
-    """Score a history and store its state as the newest version."""
+    """Score a history and store its state in the place of what is there."""
     spark = messages.sparkSession
     sums = process_history(with_pair(messages), settings, as_of, cache_path)
-    save_state(as_state(sums, as_of), state_root)
-    return roll_up(load_state(spark, state_root), settings)
+    chat_states(spark, state_root).write(as_state(sums, as_of), replace=True)
+    return _stored_scores(spark, settings, as_of, state_root)
+
+
+def _store_touched(touched: DataFrame, settings: ScoringSettings, as_of, state_root: str, cache_path: str | None) -> None:
+    """Compute chats from all their messages, and store them alone."""
+    sums = recomputed_chats(touched, lambda rows: scored_rows(rows, settings, cache_path), as_of, settings.half_life_days, settings.min_score)
+    chat_states(touched.sparkSession, state_root).write(sums)
 
 
 def daily_run(history: DataFrame, new_messages: DataFrame, settings: ScoringSettings, as_of, state_root: str,
               cache_path: str | None = None) -> Scores:
-    """Merge new messages, recompute the chats they touch, fade the others, store a new version."""
-    spark: SparkSession = history.sparkSession
-    merged = merge_messages(history, new_messages)
-    state = recompute_affected(
-        with_pair(merged), with_pair(new_messages), load_state(spark, state_root),
-        lambda touched: scored_rows(touched, settings, cache_path),
-        as_of, settings.half_life_days, settings.min_score,
-    )
-    save_state(state, state_root)
-    return roll_up(load_state(spark, state_root), settings)
+    """Merge new messages, recompute and store the chats they touch; all others keep their stored sums."""
+    merged = with_pair(merge_messages(history, new_messages))
+    _store_touched(messages_of(merged, affected_chats(with_pair(new_messages))), settings, as_of, state_root, cache_path)
+    return _stored_scores(history.sparkSession, settings, as_of, state_root)
 
 
 def stored_first_run(messages: DataFrame, settings: ScoringSettings, as_of, store: str, state_root: str,
@@ -120,7 +126,7 @@ def stored_first_run(messages: DataFrame, settings: ScoringSettings, as_of, stor
 
 def stored_daily_run(new_messages: DataFrame, settings: ScoringSettings, as_of, store: str, state_root: str,
                      cache_path: str | None = None) -> Scores:
-    """A daily run that reads only the buckets of the touched chats.
+    """A daily run that reads and writes only the buckets of the touched chats.
 
     Touched chats are computed from all their messages, so a run repeated after a failure gives the same state;
     messages that the store already holds are not added again.
@@ -128,12 +134,7 @@ def stored_daily_run(new_messages: DataFrame, settings: ScoringSettings, as_of,
     spark: SparkSession = new_messages.sparkSession
     new = materialize(with_pair(new_messages), "new-messages")
     known = stored_messages(spark, store, new)
-    merged = materialize(merge_messages(messages_of(known, affected_chats(new)), new), "touched-messages")
-    state = recompute_affected(
-        merged, new, load_state(spark, state_root), lambda touched: scored_rows(touched, settings, cache_path),
-        as_of, settings.half_life_days, settings.min_score,
-    )
-    save_state(state, state_root)
+    _store_touched(merge_messages(messages_of(known, affected_chats(new)), new), settings, as_of, state_root, cache_path)
     fresh = new.dropDuplicates(["msg_id"]).join(known.select("msg_id"), "msg_id", "left_anti")
-    append_messages(materialize(fresh.select(new.columns), "fresh-messages"), store)
-    return roll_up(load_state(spark, state_root), settings)
+    append_messages(fresh.select(new.columns), store)
+    return _stored_scores(spark, settings, as_of, state_root)

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import re
+from urllib.parse import quote, unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from talkgauge.operators.keys import PAIR
+from talkgauge.sources.folders import folder, list_folders, path_exists
+from talkgauge.sources.keyed_store import KeyedStore
+
 SCORES_SCHEMA = T.StructType(
     [
         T.StructField("text_key", T.StringType()),
@@ -42,16 +47,7 @@ _VERSION = re.compile(r"v=(\d{10})$")
 
 # Folders of a message store; a daily run reads those its messages fall into.
 CHAT_BUCKETS = 512
-
-
-def _folder(spark: SparkSession, path: str):
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    fs, hadoop = _folder(spark, path)
-    return fs.exists(hadoop)
+STATE_BUCKETS = 64
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -84,27 +80,33 @@ def stored_messages(spark: SparkSession, path: str, like: DataFrame) -> DataFram
     return read_or_empty(spark, path, schema).filter(F.col("chat_bucket").isin(touched)).drop("chat_bucket")
 
 
-def load_scores(spark: SparkSession, path: str, scorer: str | None = None, topic: str | None = None) -> DataFrame:
-    """One cached score per key; scorer and topic are partition folders, so others are not read.
+def score_cache(spark: SparkSession, path: str, scorer: str, topic: str) -> KeyedStore:
+    """Scores of one scorer and topic, in a folder of their own; filters tell which parts can hold a key."""
+    schema = T.StructType([SCORES_SCHEMA["text_key"], SCORES_SCHEMA["score"]])
+    root = f"{path.rstrip('/')}/scorer={quote(scorer, safe='')}/topic={quote(topic, safe='')}"
+    return KeyedStore(spark, root, schema, ["text_key"], filtered=True)
 
-    Runs that overlap may append a key twice; a join with both rows would count a bundle double.
-    """
-    scores = read_or_empty(spark, path, SCORES_SCHEMA)
-    if scorer is not None:
-        scores = scores.filter(F.col("scorer") == scorer)
-    if topic is not None:
-        scores = scores.filter(F.col("topic") == topic)
-    keys = [c for c in SCORES_SCHEMA.fieldNames() if c != "score"]
-    return scores.groupBy(*keys).agg(F.max("score").alias("score")).select(*SCORES_SCHEMA.fieldNames())
+
+def load_scores(spark: SparkSession, path: str, scorer: str | None = None, topic: str | None = None) -> DataFrame:
+    """One cached score per key; scorer and topic are folders, so others are not read."""
+    out = spark.createDataFrame([], SCORES_SCHEMA)
+    for first in list_folders(spark, path):
+        for second in list_folders(spark, f"{path.rstrip('/')}/{first}"):
+            named, about = (unquote(x.split("=", 1)[1]) for x in (first, second))
+            if scorer in (None, named) and topic in (None, about):
+                scores = score_cache(spark, path, named, about).load()
+                out = out.unionByName(scores.withColumns({"scorer": F.lit(named), "topic": F.lit(about)}))
+    return out
 
 
-def append_scores(scores: DataFrame, path: str) -> None:
-    scores.select(*SCORES_SCHEMA.fieldNames()).write.mode("append").partitionBy("scorer", "topic").parquet(path)
+def chat_states(spark: SparkSession, root: str) -> KeyedStore:
+    """Sums of all chats; a run writes the chats that it computed, each with its own time."""
+    return KeyedStore(spark, root, STATE_SCHEMA, PAIR, buckets=STATE_BUCKETS)
 
 
 def versions(spark: SparkSession, root: str) -> list[int]:
     """Completed versions, oldest first; a version without its success marker is ignored."""
-    fs, hadoop = _folder(spark, root)
+    fs, hadoop = folder(spark, root)
     if not fs.exists(hadoop):
         return []
     found = []

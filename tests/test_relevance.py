@@ -179,15 +179,6 @@ def test_condensing_keeps_chat_sums(spark):
         assert after[k].n_messages == before[k].n_messages
 
 
-def test_unseen_texts_agree_on_both_paths(spark, trio):
-    pairs = keys.with_pair(trio)
-    twice = bundling.with_key(bundling.bundles(pairs.unionByName(pairs), "message"))
-    cached = twice.filter("bundle_id <= 2").select("text_key").distinct()
-    few = sorted(r.text for r in scorer.unseen_texts(twice, cached).collect())
-    many = sorted(r.text for r in scorer.unseen_texts(twice, cached, max_rows=1).collect())
-    assert few == many and len(few) == 4
-
-
 class CountingScorer(scorer.PromptScorer):
     """Counts the prompts that reach the answerer."""
 
@@ -218,6 +209,30 @@ def test_each_distinct_text_is_asked_once_per_topic(spark, trio):
     assert store.load_scores(spark, cache, "counting", "racing").count() == 6
 
 
+def test_only_unseen_texts_are_asked(spark, trio):
+    cache, rater = scratch_path(spark, "cache"), CountingScorer(spark)
+    pairs = keys.with_pair(trio)
+    twice = bundling.with_key(bundling.bundles(pairs.unionByName(pairs), "message"))
+    assert scorer.score_missing(twice.filter("bundle_id <= 2"), rater, "racing", cache).count() == 2 == rater.asked.value
+    assert scorer.score_missing(twice, rater, "racing", cache).count() == 6 == rater.asked.value
+
+
+def test_yes_no_answers_are_kept(spark, trio):
+    cache, asked = scratch_path(spark, "cache"), spark.sparkContext.accumulator(0)
+
+    def make():
+        def answer(batch):
+            asked.add(len(batch))
+            return ["Yes" if "race" in p.split("'No': ", 1)[1] else "no" for p in batch]
+
+        return answer
+
+    for rows in (trio.filter("msg_id <= 4"), trio, trio):
+        got = scorer.on_topic(rows, make, "racing", cache)
+        assert [r.msg_id for r in got.collect()] == [3]
+    assert asked.value == 6
+
+
 def test_prompted_history_weighs_before_joining(spark, trio):
     settings = jobs.ScoringSettings(topic="racing", scorer=CountingScorer(spark))
     got = by_key(relevance.with_score(jobs.process_history(keys.with_pair(trio), settings, AS_OF, scratch_path(spark, "c"))), "u2")
@@ -232,7 +247,7 @@ def test_daily_run_equals_first_run_on_everything(spark, trio, mode, size):
     jobs.first_run(old, settings, "2025-12-02T12:00:00", root)
     updated = jobs.daily_run(old, new, settings, AS_OF, root)
     full = jobs.first_run(trio, settings, AS_OF, scratch_path(spark, "state"))
-    assert store.versions(spark, root) == [1, 2]
+    assert len(store.chat_states(spark, root).commits()) == 2
     for a, b in ((updated.chats, full.chats), (updated.users, full.users)):
         names = [c for c in a.columns if c in ("u1", "u2", "user")]
         left, right = by_key(a, *names), by_key(b, *names)
