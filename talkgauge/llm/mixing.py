@@ -1,11 +1,11 @@
 """Mixing sources to target weights.
 
 Word counts are summed per source, targets follow from the weights, and each document of a source is emitted
-``floor(rate)`` times plus once more with the probability of the fraction, drawn from a hash of its id.  Only the
+``floor(rate)`` times plus once more with the probability of the fraction, drawn from a hash of its id and text.  Only the
 one-row-per-source table is joined, so no text and no hot source is shuffled.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; a source without
-words has target and rate 0; rows with equal id and source are drawn alike; a null id draws like an empty one; an
+words has target and rate 0; rows with equal id and text are drawn alike; a null id draws like an empty one; an
 empty table gives an empty mix.
 """
 
@@ -59,24 +59,24 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most_repe
     return shares.select("source", "source_size", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
-def draw(key: str | Column, seed: str = SEED) -> Column:
-    """A number in [0, 1) that depends on the id and the seed alone."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), no_null(F.col(key).cast("string") if isinstance(key, str) else key)))
+def draw(key: str, text: str, seed: str = SEED) -> Column:
+    """A number in [0, 1) that depends on the id, the text and the seed alone."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), no_null(F.col(key).cast("string")), F.lit(":"), F.md5(no_null(text))))
     return F.conv(F.substring(digest, 1, _DRAW_DIGITS), 16, 10).cast("bigint").cast("double") / F.lit(float(16**_DRAW_DIGITS))
 
 
-def copies(key: str | Column, seed: str = SEED) -> Column:
-    """How often a row with columns ``source_size`` and ``target`` is emitted."""
+def copies() -> Column:
+    """How often a row with columns ``source_size``, ``target`` and ``draw`` is emitted."""
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    extra = F.when(draw(key, seed) < rate - F.floor(rate), 1).otherwise(0)
+    extra = F.when(F.col("draw") < rate - F.floor(rate), 1).otherwise(0)
     return (F.floor(rate) + extra).cast("bigint")
 
 
-def with_copies(rows: DataFrame, targets: DataFrame, key: str = "doc_id", source: str = "source", seed: str = SEED) -> DataFrame:
-    """Rows with ``source_size``, ``target`` and ``copies``; ``targets`` is a written table of one row per source."""
+def with_copies(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """Rows of ``source, draw`` and more with ``source_size``, ``target`` and ``copies``; ``targets`` is a written table of one row per source."""
     named = targets.select(F.col("source").alias("_mix_source"), "source_size", "target")
-    joined = rows.join(named, F.col(source).eqNullSafe(F.col("_mix_source")))
-    return joined.withColumn("copies", copies(key, seed)).drop("_mix_source")
+    joined = rows.join(named, F.col("source").eqNullSafe(F.col("_mix_source")))
+    return joined.withColumn("copies", copies()).drop("_mix_source")
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[int] = WEIGHTS,
@@ -84,8 +84,8 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     """The mixed corpus: every row of ``docs`` as often as its source's rate asks, with the columns of ``docs``."""
     sizes = docs.select(F.col(source).alias("source"), word_count(text).alias("size"))
     targets = materialize(source_targets(sizes, weights, most_repeats), "targets")
-    packed = docs.select(F.struct("*").alias("row"), F.col(source).alias("source"), F.col(key).alias("id"))
-    mixed = with_copies(packed, targets, "id", "source", seed)
+    packed = docs.select(F.struct("*").alias("row"), F.col(source).alias("source"), draw(key, text, seed).alias("draw"))
+    mixed = with_copies(packed, targets)
     repeated = mixed.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("_copy"))
     return repeated.select("row.*")
 
@@ -93,9 +93,9 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 def mix_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[int] = WEIGHTS,
                most_repeats: int = MOST_REPEATS, seed: str = SEED) -> DataFrame:
     """Per document its size, its source's size and target, and the words the mix takes of it."""
-    sized = docs.select(F.col(key).alias("id"), F.col(source).alias("source"), word_count(text).alias("size"))
+    sized = docs.select(F.col(key).alias("id"), F.col(source).alias("source"), word_count(text).alias("size"), draw(key, text, seed).alias("draw"))
     sized = materialize(sized, "sizes")
     targets = materialize(source_targets(sized, weights, most_repeats), "targets")
-    return with_copies(sized, targets, "id", "source", seed).select(
+    return with_copies(sized, targets).select(
         F.col("id").alias(key), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken")
     )

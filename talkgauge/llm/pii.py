@@ -244,15 +244,14 @@ def pseudonymised(docs: DataFrame, text: str = "text", key: str = KEY, found: st
             out = F.when(kind == name, PSEUDONYMS[name](m, key)).otherwise(out)
         return out
 
-    # Cards are looked for between the other values, so that a number that is none hides nothing.
+    # Cards are looked for between the other values, so that a number that is none hides nothing.  The row is packed, so no
+    # column of its own can clash with the names used here.
     values = F.regexp_extract_all(body, F.lit(OTHERS), F.lit(0))
-    marked = docs.withColumn("_found", F.when(body.rlike(ANY), values))
-    marked = marked.withColumn("_new", F.transform("_found", renewed))
-    marked = marked.withColumn("_pieces", F.when(F.col("_found").isNotNull(), F.transform(F.split(body, OTHERS, -1), lambda p: without_cards(p, key))))
-    joined = F.array_join(F.flatten(F.zip_with("_pieces", "_new", lambda p, n: F.array(p["out"], F.coalesce(n, F.lit(""))))), "")
-    changed = F.size(F.filter(F.zip_with("_found", "_new", lambda a, b: a != b), lambda x: x))
-    changed = changed + F.aggregate("_pieces", F.lit(0), lambda n, p: n + p["n"])
-    return marked.withColumns({
-        text: F.when(F.col("_found").isNull(), body).otherwise(joined),
-        found: F.when(F.col("_found").isNull(), 0).otherwise(changed).cast("bigint"),
-    }).drop("_found", "_new", "_pieces")
+    marked = docs.select(F.struct("*").alias("row"), body.alias("body"), F.when(body.rlike(ANY), values).alias("found"))
+    marked = marked.withColumn("new", F.transform("found", renewed))
+    marked = marked.withColumn("pieces", F.when(F.col("found").isNotNull(), F.transform(F.split("body", OTHERS, -1), lambda p: without_cards(p, key))))
+    joined = F.array_join(F.flatten(F.zip_with("pieces", "new", lambda p, n: F.array(p["out"], F.coalesce(n, F.lit(""))))), "")
+    changed = F.size(F.filter(F.zip_with("found", "new", lambda a, b: a != b), lambda x: x))
+    changed = changed + F.aggregate("pieces", F.lit(0), lambda n, p: n + p["n"])
+    kept = [F.when(F.col("found").isNull(), F.col("body")).otherwise(joined).alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns if c != found]
+    return marked.select(*kept, F.when(F.col("found").isNull(), 0).otherwise(changed).cast("bigint").alias(found))

@@ -201,7 +201,7 @@ def fit(values: np.ndarray, labels: np.ndarray, rounds: int = 150, rate: float =
     labels = np.asarray(labels, dtype=float)
     share = float(labels.mean()) if len(labels) else 0.5
     width = len(FEATURES)
-    if not 0 < share < 1:
+    if not len(labels) or not 0 < share < 1:
         base = float(np.log((share + 1e-6) / (1 - share + 1e-6)))
         return AdditiveModel(base, (np.zeros(0),) * width, (np.zeros(1),) * width, ())
     quantiles = np.linspace(0, 1, most_bins + 1)[1:-1]

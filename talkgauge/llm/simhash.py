@@ -34,6 +34,7 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit and width
 BLOCK = 4096
 _CHUNK = 1 << 15
 _ROWS = 1 << 18
+_SALTS = 32
 
 
 def _votes(hashes: Iterator[int]) -> tuple[int, np.ndarray]:
@@ -168,9 +169,12 @@ def rooted_prints(printed: DataFrame) -> DataFrame:
     distinct = materialize(printed.groupBy("print").agg(F.min("id").alias("least")), "distinct-prints")
     rooted = materialize(components(links(distinct.select("print"))), "roots")
     named = distinct.join(rooted, F.col("print") == F.col("node"), "left").select("print", "least", "root")
-    # A print without a link is its own component; only the others need the least id over the component.
+    # A print without a link is its own component; only the others need the least id over the component.  A component
+    # may hold a third of all prints, so its row is dealt to several tasks.
     ids = named.filter("root is not null").groupBy("root").agg(F.min("least").alias("component_id"))
-    return named.join(ids, "root", "left").select(
+    ids = ids.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    salted = named.withColumn("salt", F.pmod(F.xxhash64("print"), F.lit(_SALTS)).cast("int"))
+    return salted.join(ids, ["root", "salt"], "left").select(
         "print", F.coalesce("root", "print").alias("root"),
         F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"),
     )
@@ -194,14 +198,15 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     rows = printed.join(placed, "print")
     not_first = rows.filter(~F.col("id").eqNullSafe(F.col("component_id"))).select("id")
     repeated = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id")
-    apart = materialize(not_first.unionByName(repeated).distinct().withColumnRenamed("id", "_apart"), "apart")
-    plain = docs.join(apart, F.col(key).eqNullSafe(F.col("_apart")), "left_anti")
-    again = materialize(repeated.withColumnRenamed("id", "_again"), "repeated")
-    doubled = docs.join(again, F.col(key).eqNullSafe(F.col("_again")), "left_semi")
-    body = F.sha2(no_null(text), 256)
-    of_text = fingerprints_by_text(doubled.select(F.col(text).alias("body")).distinct()).join(placed, "print")
+    # Rows are packed, so no column of theirs can clash with the names used here.
+    packed = docs.select(F.struct("*").alias("row"), F.col(key).alias("id"), F.col(text).alias("body"))
+    apart = materialize(not_first.unionByName(repeated).distinct().withColumnRenamed("id", "apart"), "apart")
+    plain = packed.join(apart, F.col("id").eqNullSafe(F.col("apart")), "left_anti")
+    again = materialize(repeated.withColumnRenamed("id", "again"), "repeated")
+    doubled = packed.join(again, F.col("id").eqNullSafe(F.col("again")), "left_semi")
+    of_text = fingerprints_by_text(doubled.select("body").distinct()).join(placed, "print")
     of_text = of_text.select("digest", "root", "component_id")
-    packed = doubled.select(F.struct("*").alias("row"), F.col(key).alias("id"), body.alias("digest"))
-    kept = packed.join(of_text, "digest").filter(F.col("id").eqNullSafe(F.col("component_id")))
-    kept = kept.dropDuplicates(["id", "root"]).select("row.*")
-    return plain.unionByName(kept)
+    named = doubled.select("row", "id", F.sha2(no_null("body"), 256).alias("digest"))
+    kept = named.join(of_text, "digest").filter(F.col("id").eqNullSafe(F.col("component_id")))
+    kept = kept.dropDuplicates(["id", "root"])
+    return plain.select("row.*").unionByName(kept.select("row.*"))

@@ -123,7 +123,7 @@ def plain_mix(docs):
     out = []
     for d in docs:
         rate = target[d["source"]] / size[d["source"]] if size[d["source"]] else 0.0
-        draw = int(hashlib.md5(f"mix-1:{d['doc_id']}".encode()).hexdigest()[:13], 16) / 16**13
+        draw = int(hashlib.md5(f"mix-1:{d['doc_id']}:{hashlib.md5((d['text'] or '').encode()).hexdigest()}".encode()).hexdigest()[:13], 16) / 16**13
         out += [d] * (math.floor(rate) + (draw < rate - math.floor(rate)))
     return out
 
