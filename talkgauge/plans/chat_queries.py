@@ -28,7 +28,7 @@ from talkgauge.plans.tables import (
 )
 from talkgauge.session import scratch_path
 from talkgauge.sources.messages import contact_messages, flatten_history, nest_history
-from talkgauge.streaming import decayed_stream
+from talkgauge.streaming import bundle_stream, decayed_stream
 
 TOPIC = "Formula 1"
 WORDS_SQL = "('the','and','of','en','de','der','la','que')"
@@ -242,6 +242,28 @@ def trailing_bundles(spark: SparkSession, folder: str) -> DataFrame:
     return _bundle_digest(bundling.trailing_bundle(pairs(spark, folder), 5))
 
 
+def _streamed_bundles(spark: SparkSession, folder: str, kind: str) -> DataFrame:
+    """The message view in two deliveries, the stream stopped between them and started again from its checkpoint."""
+    root = scratch_path(spark, "bundles")
+    rows = pairs(spark, folder)
+    for part in (old_part(rows), new_part(rows)):
+        part.write.mode("append").parquet(f"{root}/messages")
+        arriving = spark.readStream.schema(part.schema).option("maxFilesPerTrigger", 1_000).parquet(f"{root}/messages")
+        found = bundle_stream.run_bundles(arriving, 4, 5, root)
+    found = found.filter(F.col("kind") == kind).withColumns({c: F.col(c).cast("bigint") for c in PAIR})
+    return _bundle_digest(found)
+
+
+@register(f"WITH {NUMBERED_SQL} SELECT u1,u2,(rn-1)//4 AS bundle_id, {BUNDLE_OUT_SQL} FROM o GROUP BY 1,2,3")
+def count_bundles_streamed(spark: SparkSession, folder: str) -> DataFrame:
+    return _streamed_bundles(spark, folder, "count")
+
+
+@register(f"WITH {NUMBERED_SQL} SELECT u1,u2,0::BIGINT AS bundle_id, {BUNDLE_OUT_SQL} FROM o WHERE back<=5 GROUP BY 1,2")
+def trailing_bundles_streamed(spark: SparkSession, folder: str) -> DataFrame:
+    return _streamed_bundles(spark, folder, "trailing")
+
+
 @register(
     f"""WITH {MESSAGES_SQL}, b AS (SELECT u1,u2,us//86400000000 AS bundle_id, string_agg(text, chr(10) ORDER BY us,msg_id) AS t
       FROM p GROUP BY 1,2,3)
