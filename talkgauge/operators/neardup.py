@@ -71,12 +71,8 @@ def candidates(sets: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame
     return rare.join(other, "shingle").filter((F.col(key) > F.col("first")) & close).select(key, "first").distinct()
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", hot_rows: int = HOT_ROWS,
-                    earliest: bool = False) -> DataFrame:
-    """Flagged texts with the earlier text they repeat and their Jaccard similarity.
-
-    An exact copy names the first text it equals; with ``earliest`` it names what that text repeats, if anything.
-    """
+def links(df: DataFrame, key: str = "doc_id", text: str = "text", hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Exact copies as ``(key, first)``, and all similar pairs ``(key, first, similarity)`` of different texts, both written."""
     signed = materialize(with_shingles(df, key, text).withColumn("size", F.size("shingles")), "shingles")
     copies = materialize(copies_of(signed, key, hot_rows), "copies")
     sets = materialize(attach(signed.drop("digest"), copies.select(key), key, "left_anti"), "originals")
@@ -87,10 +83,19 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", hot_
     shared = F.size(F.array_intersect("shingles", "_other"))
     compared = both.select(key, "first", F.size("shingles").alias("_a"), F.size("_other").alias("_b"), shared.alias("_s"))
     similar = compared.withColumn("similarity", F.col("_s") / (F.col("_a") + F.col("_b") - F.col("_s")))
-    best = filter_after(similar, F.col("similarity") > LEAST_SIMILARITY).groupBy(key).agg(
-        F.min(F.struct("first", "similarity")).alias("_m")
-    )
-    flagged = materialize(best.select(key, F.col("_m.first").alias("first"), F.col("_m.similarity").alias("similarity")), "flagged")
+    close = filter_after(similar, F.col("similarity") > LEAST_SIMILARITY).select(key, "first", "similarity")
+    return copies, materialize(close, "similar")
+
+
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", hot_rows: int = HOT_ROWS,
+                    earliest: bool = False) -> DataFrame:
+    """Flagged texts with the earlier text they repeat and their Jaccard similarity.
+
+    An exact copy names the first text it equals; with ``earliest`` it names what that text repeats, if anything.
+    """
+    copies, similar = links(df, key, text, hot_rows)
+    best = similar.groupBy(key).agg(F.min(F.struct("first", "similarity")).alias("_m"))
+    flagged = best.select(key, F.col("_m.first").alias("first"), F.col("_m.similarity").alias("similarity"))
     if not earliest:
         return flagged.unionByName(copies.select(key, "first", F.lit(1.0).alias("similarity")))
     of_first = flagged.select(F.col(key).alias("first"), F.col("first").alias("_first"), "similarity")

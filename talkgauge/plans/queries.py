@@ -4,6 +4,7 @@ from talkgauge.plans import (  # noqa: F401  (register on import)
     chat_queries,
     data_queries,
     eval_queries,
+    group_queries,
     report_queries,
     text_queries,
 )
