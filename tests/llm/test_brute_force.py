@@ -323,7 +323,7 @@ def test_licences_against_plain_scores(spark):
     made += [(100, "Permission was granted to the public library"), (101, None), (102, ""), (103, " \n\n - ")]
     more = table(spark, SMALL, "documents").filter("doc_id < 12").select((F.col("doc_id") + 200).alias("doc_id"), "text")
     docs = spark.createDataFrame(made, "doc_id bigint, text string").unionByName(more)
-    model, least, templates = licenses.train(docs)
+    model, least, templates, marked = licenses.train(docs)
     words_of = lambda line: [w for w in regex.split(r"[^\p{L}\p{N}]+", line.lower()) if w]
     terms_of = lambda words: {*words, *map(" ".join, zip(words, words[1:], strict=False))}
     lines = [(r.doc_id, i, terms_of(words_of(line))) for r in docs.collect() for i, line in enumerate((r.text or "").split("\n"))]
@@ -344,7 +344,7 @@ def test_licences_against_plain_scores(spark):
         if share >= licenses.CONFIRM:
             want[doc, line] = family, round(float(p[best]), 9), round(share, 9)
     got = {(r.doc_id, r.line): (r.family, round(r.probability, 9), round(r.template_share, 9))
-           for r in licenses.scan(docs, model, least, templates).collect()}
+           for r in licenses.scan(docs, model, least, templates, marked).collect()}
     assert got == want
     # Every notice in disguise is found under its own family.
     families = [f for f, ts in licenses.TEMPLATES.items() for _ in ts]

@@ -138,6 +138,52 @@ def test_notices_inside_long_lines(spark):
     assert {r.family for r in licenses.scan(both, *fitted).collect()} == {kinds[0][0], kinds[-1][0]}
 
 
+# Written as in the files they come from.
+NOTICES = {
+    "GPL": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+            "GNU GENERAL PUBLIC LICENSE\n\nVersion 3, 29 June 2007"],
+    "Apache-2.0": ["SPDX-License-Identifier: Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."],
+    "MIT": ["The MIT License (MIT)", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
+    "MPL-2.0": ["Mozilla Public License Version 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
+}
+
+
+def test_wrapped_notices_titles_and_identifiers(spark):
+    import textwrap
+
+    docs = table(spark, MORE, "documents").select("doc_id", "text")
+    fitted = licenses.train(docs)
+    words = sorted({w for d in rows_of(spark, MORE) for w in (d["text"] or "").lower().split() if w.isalpha()})
+    rng = np.random.default_rng(4)
+    made = []
+    for family, texts in NOTICES.items():
+        for text in texts:
+            for width in (40, 72, 80):
+                for mark in ("", " * ", "# "):
+                    lines = [mark + line for piece in text.split("\n") for line in textwrap.wrap(piece, width) or [""]]
+                    around = [textwrap.fill(" ".join(rng.choice(words, 60)), width) for _ in range(2)]
+                    made.append((len(made), "\n".join([around[0], "", *lines, "", around[1]]), family))
+    clean = [(1000 + i, textwrap.fill(" ".join(rng.choice(words, 200)), 72)) for i in range(100)]
+    rows = spark.createDataFrame([m[:2] for m in made] + clean, "doc_id bigint, text string")
+    got = {(r.doc_id, r.family) for r in licenses.scan(rows, *fitted).collect()}
+    missed = [(m[1][-400:], m[2]) for m in made if (m[0], m[2]) not in got]
+    assert len(missed) <= 0.05 * len(made), missed
+    wrong = [(i, f) for i, f in got if i >= 1000 or made[i][2] != f]
+    assert len(wrong) <= 0.05 * len(made), wrong
+
+
+def test_marks_lose_no_paragraph_that_could_be_confirmed(spark):
+    docs = table(spark, MORE, "documents").select("doc_id", "text")
+    _, _, templates, marked = licenses.train(docs)
+    rng = np.random.default_rng(6)
+    for r in templates:
+        for _ in range(300):
+            kept = [t for t in r.terms if rng.random() < 0.85]
+            if len(kept) >= licenses.CONFIRM * len(r.terms):
+                assert {w for t in kept for w in t.split(" ")} & set(marked)
+
+
 def test_leaks_and_tokens_of_documents_without_an_id(spark, tmp_path):
     item = "what is the colour of the quiet river under the old stone bridge near zurvath the answer is deep green"
     rows = [(None, f"well {item} then", "en", "a"), (None, "clean text without id", "en", "a"), (None, "clean text without id", "en", "a"),
