@@ -173,6 +173,15 @@ def test_wrapped_notices_titles_and_identifiers(spark):
     assert len(wrong) <= 0.05 * len(made), wrong
 
 
+def test_a_weaker_notice_beside_a_whole_one_stays(spark):
+    docs = table(spark, MORE, "documents").select("doc_id", "text")
+    fitted = licenses.train(docs)
+    weaker = "Licensed under the Apache License, of Version 2.0."
+    rows = [(1, weaker), (2, f"{weaker}\nReleased under the MIT License.\n\nshort end"), (3, f"one two\nReleased under the MIT License.\n{weaker}")]
+    got = {(r.doc_id, r.line, r.family) for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string"), *fitted).collect()}
+    assert got == {(1, 0, "Apache-2.0"), (2, 0, "Apache-2.0"), (2, 1, "MIT"), (3, 1, "MIT"), (3, 2, "Apache-2.0")}
+
+
 def test_marks_lose_no_paragraph_that_could_be_confirmed(spark):
     docs = table(spark, MORE, "documents").select("doc_id", "text")
     _, _, templates, marked = licenses.train(docs)
