@@ -5,6 +5,7 @@ from talkgauge.plans import (  # noqa: F401  (register on import)
     data_queries,
     eval_queries,
     group_queries,
+    history_queries,
     report_queries,
     text_queries,
 )
