@@ -3,8 +3,13 @@
 Card numbers (Luhn), IPv4 addresses, phone numbers, social security numbers and dates are taken as numbers, checked, and
 permuted within their own range by a Feistel network of two halves whose round function is SHA-256 with a key; the
 check digit of a card is set anew.  Mail addresses and secrets are permuted letter by letter in the same way.  Each is
-a permutation, so equal values get equal pseudonyms in all documents.  Only column expressions are used; the key is
-part of the plan, so give a key made for the job.
+a permutation, so equal values get equal pseudonyms in all documents.  Only column expressions are used; the key has no
+default and is part of the plan, so give a key made for the job.  Account numbers (IBAN, checked modulo 97) keep their country
+and get check digits anew; their letters and digits are permuted in place.  Mail addresses are lower-cased first, so all
+spellings of one are linked.  Dates with slashes or dots are read day first, month first where only that is a date; they are
+written with two-digit days and months, and a month-first pseudonym may equal a day-first one.  National phone numbers
+keep their first digit.  Secrets are the run without blanks or quotes after their name: twelve characters, or six with both
+letters and digits.  IPv6 addresses, names and postal addresses are not looked for.
 
 Defined results: a null text stays null, an empty one empty; values that fail their check stay as they are; other rows
 and columns are untouched; an empty table gives an empty result.
@@ -15,7 +20,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEY = "pseudonym-key-1"
 ROUNDS = 8
 # 400 Gregorian years from 1800 on are 146,097 days: 189 times 773.
 FIRST_DAY, DAYS = "1800-01-01", (189, 773)
@@ -23,10 +27,21 @@ MAIL = r"[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9.\-]{1,190}\.[A-Za-z]{2,24}"
 ADDRESS = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.]*\d)"
 CARD = r"(?<!\d)\d(?:[ \-]?\d){12,18}(?!\d)"
 PHONE = r"\+\d{1,3}[ .\-]?\(?\d{2,4}\)?(?:[ .\-]?\d{2,4}){2,4}(?!\d)"
-SOCIAL = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
+# Eleven or ten digits that begin with 0, or three, three and four; never a piece of a longer run of groups.
+NATIONAL = r"(?<![\d.\-+])(?<!\d[ \-])(?:0\d{2,4}[ \-]\d{3,4}[ \-]?\d{3,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[-.]\d{3}[-.]\d{4})(?![ \-]?\d)"
+SOCIAL = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])|(?<![A-Za-z])(?i:ssn|social security(?: number)?) ?[:#=]? ?\d{9}(?!\d)"
 DATE = r"(?<![\d\-])\d{4}-\d{2}-\d{2}(?![\d\-])"
-SECRET = r'(?i:password|passwd|token|secret|api_?key) ?[=:] ?"?[A-Za-z0-9_\-]{12,}|(?<![A-Z0-9])AKIA[A-Z0-9]{16}(?![A-Z0-9])'
-KINDS = (("mail", MAIL), ("secret", SECRET), ("phone", PHONE), ("date", DATE), ("social", SOCIAL), ("address", ADDRESS), ("card", CARD))
+DAY = r"(?<![\d./])\d{1,2}/\d{1,2}/\d{4}(?![\d/])|(?<![\d./])\d{1,2}\.\d{1,2}\.\d{4}(?!\d|\.\d)"
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
+SECRET_NAME = r"""(?i:password|passwd|token|secret|api_?key)["']? ?[=:] ?["']?"""
+# A value does not end in the punctuation of its sentence, so that it is the same value wherever it stands.
+SECRET_END = r"""[^\s"'.,;:!?)\]}>]"""
+SECRET_VALUE = rf"""(?:[^\s"']{{11,}}{SECRET_END}|(?=[^\s"']*[0-9])(?=[^\s"']*[A-Za-z])[^\s"']{{5,}}{SECRET_END})"""
+SECRET = SECRET_NAME + SECRET_VALUE + r"|(?<![A-Z0-9])AKIA[A-Z0-9]{16}(?![A-Z0-9])"
+KINDS = (
+    ("mail", MAIL), ("secret", SECRET), ("iban", IBAN), ("phone", PHONE), ("national", NATIONAL), ("date", DATE), ("day", DAY),
+    ("social", SOCIAL), ("address", ADDRESS), ("card", CARD),
+)
 ANY = "|".join(p for _, p in KINDS)
 OTHERS = "|".join(p for name, p in KINDS if name != "card")
 # Groups of digits one blank or hyphen apart, 13 digits at least; a card begins and ends at borders of groups.
@@ -39,7 +54,7 @@ def _round(key: str, tweak: str, i: Column, other: Column) -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
 
 
-def permute(left: Column, right: Column, a: Column, b: Column, tweak: str, key: str = KEY) -> Column:
+def permute(left: Column, right: Column, a: Column, b: Column, tweak: str, key: str) -> Column:
     """A keyed permutation of the pairs below ``(a, b)``, as a struct of ``l`` and ``r``."""
     start = F.struct(left.cast("bigint").alias("l"), right.cast("bigint").alias("r"), a.cast("bigint").alias("a"), b.cast("bigint").alias("b"))
 
@@ -54,7 +69,7 @@ def permute(left: Column, right: Column, a: Column, b: Column, tweak: str, key:
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step)
 
 
-def permute_digits(digits: Column, tweak: str, key: str = KEY) -> Column:
+def permute_digits(digits: Column, tweak: str, key: str) -> Column:
     """Digits of equal number, permuted."""
     half = F.floor(F.length(digits) / 2).cast("int")
     rest = F.length(digits) - half
@@ -92,13 +107,13 @@ def _digits(text: Column) -> Column:
     return F.regexp_replace(text, r"\D", "")
 
 
-def card(digits: Column, key: str = KEY) -> Column:
+def card(digits: Column, key: str) -> Column:
     """Digits of a card, permuted but for the last one, which is the check digit of the others."""
     head = permute_digits(F.substr(digits, F.lit(1), F.length(digits) - 1), "card", key)
     return _let(head, lambda h: F.concat(h, ((10 - luhn_sum(F.concat(h, F.lit("0"))) % 10) % 10).cast("string")))
 
 
-def cards(run: Column, key: str = KEY) -> Column:
+def cards(run: Column, key: str) -> Column:
     """A run of digit groups with its cards replaced, and their number, as a struct of ``out`` and ``n``.
 
     Every span of groups with a valid check digit counts, from left to right and the longest one of each start.  A span
@@ -126,7 +141,7 @@ def cards(run: Column, key: str = KEY) -> Column:
     return _let(borders, lambda ends: _let(_digits(run), lambda digits: renewed(digits, ends)))
 
 
-def without_cards(text: Column, key: str = KEY) -> Column:
+def without_cards(text: Column, key: str) -> Column:
     """Text with its cards replaced, and their number, as a struct of ``out`` and ``n``."""
     runs = F.transform(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)), lambda r: cards(r, key))
 
@@ -137,12 +152,12 @@ def without_cards(text: Column, key: str = KEY) -> Column:
     return F.when(text.rlike(CARD), _let(runs, joined)).otherwise(F.struct(text.alias("out"), F.lit(0).alias("n")))
 
 
-def phone(found: Column, key: str = KEY) -> Column:
+def phone(found: Column, key: str) -> Column:
     """The first digit, which begins the country code, stays."""
     return _let(_digits(found), lambda d: fill(found, permute_digits(F.substr(d, F.lit(2), F.length(d) - 1), "phone", key), 1))
 
 
-def address(found: Column, key: str = KEY) -> Column:
+def address(found: Column, key: str) -> Column:
     parts = F.transform(F.split(found, r"\."), lambda p: p.cast("bigint"))
 
     def renewed(p: Column) -> Column:
@@ -153,9 +168,13 @@ def address(found: Column, key: str = KEY) -> Column:
     return _let(parts, renewed)
 
 
-def social(found: Column, key: str = KEY) -> Column:
+def social(found: Column, key: str) -> Column:
     """Areas 001 to 899 but 666, groups 01 to 99, serials 0001 to 9999."""
-    area, group, serial = (F.substr(found, F.lit(a), F.lit(n)).cast("bigint") for a, n in ((1, 3), (5, 2), (8, 4)))
+    return _let(_digits(found), lambda digits: _social(found, digits, key))
+
+
+def _social(found: Column, digits: Column, key: str) -> Column:
+    area, group, serial = (F.substr(digits, F.lit(a), F.lit(n)).cast("bigint") for a, n in ((1, 3), (4, 2), (6, 4)))
     valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
     place = (area - F.when(area > 666, 2).otherwise(1)) * 99 + group - 1
     out = permute(place, serial - 1, F.lit(898 * 99), F.lit(9999), "social", key)
@@ -163,24 +182,40 @@ def social(found: Column, key: str = KEY) -> Column:
     def shown(s: Column) -> Column:
         at = F.floor(s["l"] / 99)
         number = at + F.when(at >= 665, 2).otherwise(1)
-        return F.concat_ws("-", F.lpad(number.cast("string"), 3, "0"), F.lpad((s["l"] % 99 + 1).cast("string"), 2, "0"), F.lpad((s["r"] + 1).cast("string"), 4, "0"))
+        return F.concat(F.lpad(number.cast("string"), 3, "0"), F.lpad((s["l"] % 99 + 1).cast("string"), 2, "0"), F.lpad((s["r"] + 1).cast("string"), 4, "0"))
 
-    return F.when(valid, _let(out, shown)).otherwise(found)
+    return F.when(valid, fill(found, _let(out, shown))).otherwise(found)
 
 
-def date(found: Column, key: str = KEY) -> Column:
+def _moved_day(day: Column, key: str) -> Column:
+    """A date moved within the 400 years; null outside them."""
     first = F.lit(FIRST_DAY).cast("date")
+    n = F.datediff(day, first)
+    out = permute(F.floor(n / DAYS[1]), n % DAYS[1], F.lit(DAYS[0]), F.lit(DAYS[1]), "date", key)
+    moved = _let(out, lambda s: F.date_add(first, (s["l"] * DAYS[1] + s["r"]).cast("int")))
+    return F.when(n.between(0, DAYS[0] * DAYS[1] - 1), moved)
+
+
+def date(found: Column, key: str) -> Column:
+    return F.coalesce(_let(F.try_to_date(found, "yyyy-MM-dd"), lambda d: _moved_day(d, key)).cast("string"), found)
 
-    def renewed(day: Column) -> Column:
-        n = F.datediff(day, first)
-        out = permute(F.floor(n / DAYS[1]), n % DAYS[1], F.lit(DAYS[0]), F.lit(DAYS[1]), "date", key)
-        shown = _let(out, lambda s: F.date_add(first, (s["l"] * DAYS[1] + s["r"]).cast("int")).cast("string"))
-        return F.when(n.between(0, DAYS[0] * DAYS[1] - 1), shown).otherwise(found)
 
-    return F.coalesce(_let(F.try_to_date(found, "yyyy-MM-dd"), renewed), found)
+def day(found: Column, key: str) -> Column:
+    """A date with slashes or dots; equal dates get equal pseudonyms, in whatever form they stand."""
+    mark = F.when(F.contains(found, F.lit("/")), "/").otherwise(".")
 
+    def form(parts: Column, d: int, m: int, names: tuple[str, str]) -> Column:
+        read = F.try_to_date(F.concat_ws("-", parts[2], F.lpad(parts[m], 2, "0"), F.lpad(parts[d], 2, "0")), "yyyy-MM-dd")
+        shown = lambda x: F.concat(F.date_format(x, names[0]), mark, F.date_format(x, names[1]), mark, F.date_format(x, "yyyy"))
+        return _let(_let(read, lambda x: _moved_day(x, key)), shown)
 
-def letters(text: Column, tweak: str, key: str = KEY) -> Column:
+    def renewed(parts: Column) -> Column:
+        return F.coalesce(form(parts, 0, 1, ("dd", "MM")), form(parts, 1, 0, ("MM", "dd")), found)
+
+    return _let(F.split(found, r"[/.]"), renewed)
+
+
+def letters(text: Column, tweak: str, key: str) -> Column:
     """Letters and digits permuted within a-z, A-Z and 0-9, half against half; all else stays in place."""
     half = F.floor(F.length(text) / 2).cast("int")
     start = F.struct(F.substr(text, F.lit(1), half).alias("l"), F.substr(text, half + 1, F.length(text)).alias("r"))
@@ -212,18 +247,49 @@ def letters(text: Column, tweak: str, key: str = KEY) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda s: F.concat(s["l"], s["r"]))
 
 
-def mail(found: Column, key: str = KEY) -> Column:
-    """All but the last part of the host's name."""
+def mail(found: Column, key: str) -> Column:
+    """All but the last part of the host's name, in lower case."""
+    found = F.lower(found)
     end = F.regexp_extract(found, r"(\.[A-Za-z]+)$", 1)
     return F.concat(letters(F.regexp_replace(found, r"\.[A-Za-z]+$", ""), "mail", key), end)
 
 
-def secret(found: Column, key: str = KEY) -> Column:
-    name = F.regexp_extract(found, r'^((?i:password|passwd|token|secret|api_?key) ?[=:] ?"?|AKIA)', 1)
+def secret(found: Column, key: str) -> Column:
+    name = F.regexp_extract(found, f"^({SECRET_NAME}|AKIA)", 1)
     return F.concat(name, letters(F.substr(found, F.length(name) + 1, F.length(found)), "secret", key))
 
 
-PSEUDONYMS = {"mail": mail, "secret": secret, "phone": phone, "date": date, "social": social, "address": address}
+def _rest_97(code: Column) -> Column:
+    """An account number's remainder by 97, its first four characters moved to the end and letters read as 10 to 35."""
+    moved = F.concat(F.substr(code, F.lit(5), F.length(code)), F.substr(code, F.lit(1), F.lit(4)))
+    value = lambda c: F.when(c.between("0", "9"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    return F.aggregate(F.split(moved, ""), F.lit(0), lambda rest, c: (rest * F.when(c.between("0", "9"), 10).otherwise(100) + value(c)) % 97)
+
+
+def iban(found: Column, key: str) -> Column:
+    """The longest valid prefix of the groups; where there is none, cards are looked for."""
+    groups = F.split(found, " ")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(groups)), lambda n: F.array_join(F.slice(groups, F.lit(1), n), " "))
+    compact = lambda x: F.replace(x, F.lit(" "), F.lit(""))
+    valid = F.filter(prefixes, lambda p: F.when(F.length(compact(p)).between(15, 34), _rest_97(compact(p)) == 1).otherwise(False))
+
+    def renewed(p: Column) -> Column:
+        body = letters(F.substr(p, F.lit(5), F.length(p)), "iban", key)
+
+        def checked(b: Column) -> Column:
+            country = F.substr(p, F.lit(1), F.lit(2))
+            check = 98 - _rest_97(compact(F.concat(country, F.lit("00"), b)))
+            return F.concat(country, F.lpad(check.cast("string"), 2, "0"), b, F.substr(found, F.length(p) + 1, F.length(found)))
+
+        return F.when(p.isNull(), without_cards(found, key)["out"]).otherwise(_let(body, checked))
+
+    return _let(F.get(valid, F.size(valid) - 1), renewed)
+
+
+PSEUDONYMS = {
+    "mail": mail, "secret": secret, "iban": iban, "phone": phone, "national": phone, "date": date, "day": day,
+    "social": social, "address": address,
+}
 
 
 def kind_of(found: Column) -> Column:
@@ -233,7 +299,7 @@ def kind_of(found: Column) -> Column:
     return out
 
 
-def pseudonymised(docs: DataFrame, text: str = "text", key: str = KEY, found: str = "n_replaced") -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str, text: str = "text", found: str = "n_replaced") -> DataFrame:
     """``docs`` with personal data in ``text`` replaced; ``found`` counts the values that changed."""
     body = F.col(text)
 

@@ -150,9 +150,13 @@ def op9_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat.formatted_conversations(rows, token_files.public_tokenizer("byte_bpe_50k.json"))
 
 
+# A real job brings a key of its own.
+PSEUDONYM_KEY = "pseudonym-key-1"
+
+
 @query("op7_pii")
 def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
-    return pii.pseudonymised(table(spark, folder, "documents").select("doc_id", "text"))
+    return pii.pseudonymised(table(spark, folder, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
 
 
 @query("op11_repair")

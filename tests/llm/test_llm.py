@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from talkgauge.llm import chat, decontaminate, exact_dedup, mixing, pii, quality, simhash, token_counts, token_files
 from talkgauge.llm.components import components
 from talkgauge.llm.word_encoder import WordEncoder
+from talkgauge.llm.queries import PSEUDONYM_KEY
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, id bigint, size bigint, row string"
 ITEM = "what is the colour of the quiet river under the old stone bridge near zurvath the answer is deep green"
@@ -185,10 +186,10 @@ def test_chat(spark):
 
 
 def test_pii(docs, spark):
-    got = {r.doc_id: r for r in pii.pseudonymised(docs).collect()}
+    got = {r.doc_id: r for r in pii.pseudonymised(docs, PSEUDONYM_KEY).collect()}
     assert got[10].n_replaced == 2 and "4328024104680481" in got[10].text and "4328024104680480" not in got[10].text
     assert got[2].text is None and got[3].text == "" and got[0].text == TEXTS[0]
-    days = spark.range(146097).select(pii.date(F.expr("cast(date_add(date'1800-01-01', cast(id as int)) as string)")).alias("d"))
+    days = spark.range(146097).select(pii.date(F.expr("cast(date_add(date'1800-01-01', cast(id as int)) as string)"), PSEUDONYM_KEY).alias("d"))
     assert days.distinct().count() == 146097
 
 
@@ -199,7 +200,7 @@ def test_empty_tables(spark, docs, tokenizer, tmp_path):
     assert simhash.simhash_groups(none).count() == simhash.keep_first(none).count() == 0
     assert token_files.encoded_documents(none, f"file://{tmp_path}/none", tokenizer).count() == 0
     assert decontaminate.contaminated(none, items).count() == decontaminate.contaminated(docs, items.limit(0)).count() == 0
-    assert pii.pseudonymised(none).count() == token_counts.counted(none, tokenizer).count() == 0
+    assert pii.pseudonymised(none, PSEUDONYM_KEY).count() == token_counts.counted(none, tokenizer).count() == 0
 
 
 def test_licences(docs, spark):

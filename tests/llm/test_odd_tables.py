@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 from talkgauge.llm import decontaminate, mixing, pii, quality, simhash
+from talkgauge.llm.queries import PSEUDONYM_KEY
 
 NAMES = ["_apart", "_again", "apart", "again", "_leaked", "_digest", "leaked", "leaked_digest", "digest", "row", "id", "body", "root", "print", "salt",
          "draw", "copies", "target", "_found", "_new", "_pieces", "found", "new", "pieces", "n_replaced", "_mix_source"]
@@ -26,11 +27,11 @@ def test_clashing_names_come_through(spark):
         assert kept.columns == docs.columns
         assert all(r[n] == n for r in kept.collect() for n in NAMES)
     assert decontaminate.keep_clean(docs, benchmark).count() == docs.count() - 1
-    masked = pii.pseudonymised(docs, found="n_values")
+    masked = pii.pseudonymised(docs, PSEUDONYM_KEY, found="n_values")
     assert masked.columns == [*docs.columns, "n_values"]
     got = masked.collect()
     assert all(r[n] == n for r in got for n in NAMES) and sum(r.n_values for r in got) == 1
-    counted = pii.pseudonymised(docs)
+    counted = pii.pseudonymised(docs, PSEUDONYM_KEY)
     assert sorted(counted.columns) == sorted(docs.columns) and sum(r.n_replaced for r in counted.collect()) == 1
 
 
