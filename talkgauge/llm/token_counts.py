@@ -7,7 +7,8 @@ again does nothing, and a commit that broke off is written anew.
 
 Defined results: of several changes of a document and tokenizer in a batch the last ``seq`` counts, on ties the greatest
 row; deleting an unknown document changes nothing; null source or language is a group of its own; a document without an
-id is its ``content``, a digest of source, language and text, and each copy of it in a batch counts; changes without a
+id is its ``content``, a digest of source, language and text, and each copy of it in a batch counts, and revising it
+ends the commit with an error (delete the old text and insert the new one); changes without a
 tokenizer, or with neither id nor content, are left out; groups whose totals return to zero vanish; an empty batch is a valid one.
 """
 
@@ -72,6 +73,9 @@ class TokenLedger:
         if "content" not in changes.columns:
             changes = changes.withColumn("content", F.lit(None).cast("string"))
         keyed = changes.filter("(doc_id is not null or content is not null) and tokenizer is not null")
+        # A revised text has another digest, so without an id nothing says which document it was.
+        lost = F.col("doc_id").isNull() & (F.col("op") == "revise")
+        keyed = keyed.withColumn("op", F.when(lost, F.raise_error(F.lit("a document without an id cannot be revised: delete and insert it"))).otherwise(F.col("op")))
         # Equal changes of a document without an id are its copies; other repeats say the same again.
         copies = F.when(F.col("doc_id").isNull(), F.count(F.lit(1))).otherwise(1).cast("bigint")
         keyed = keyed.groupBy(*_KEY, "seq", "op", "source", "lang", "n_tokens").agg(copies.alias("copies"))

@@ -4,6 +4,7 @@ import itertools
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from test_brute_force import MORE, feistel_digits, feistel_letters, luhn, plain_leaks, put, rows_of
 
@@ -244,3 +245,16 @@ def test_leaks_and_tokens_of_documents_without_an_id(spark, tmp_path):
     assert {r.source: (r.documents, r.tokens) for r in ledger.totals().collect()} == want and want["a"][0] == 3
     ledger.commit(2, token_counts.change_rows(counted.filter("n_tokens < 10 and doc_id is null"), "delete", "t"))
     assert {r.source: r.documents for r in ledger.totals().collect()} == {"a": 1, "b": 1}
+
+
+def test_revising_a_document_without_an_id_is_refused(spark, tmp_path):
+    rows = [(None, "first", "a", "en", 4), (5, None, "a", "en", 2)]
+    counted = spark.createDataFrame(rows, "doc_id bigint, content string, source string, lang string, n_tokens bigint")
+    ledger = token_counts.TokenLedger(spark, f"file://{tmp_path}/ledger")
+    ledger.commit(1, token_counts.change_rows(counted, "insert", "t"))
+    with pytest.raises(Exception, match="cannot be revised"):
+        ledger.commit(2, token_counts.change_rows(counted.withColumn("n_tokens", F.lit(9)), "revise", "t"))
+    assert ledger.committed() == [1]
+    assert ledger.commit(2, token_counts.change_rows(counted.filter("doc_id = 5").withColumn("n_tokens", F.lit(9)), "revise", "t"))
+    assert ledger.commit(3, token_counts.change_rows(counted.limit(0), "insert", "t"))
+    assert [tuple(r)[-2:] for r in ledger.totals().collect()] == [(2, 13)]
