@@ -13,6 +13,7 @@ from talkgauge.functions import textclean
 from talkgauge.functions.hashing import hash_place, row_seed, unit, units
 from talkgauge.functions.scoring import content_key
 from talkgauge.operators.scale import attach, before_cut, bounded, filter_after, hash_cuts, order_rank
+from talkgauge.session import materialize
 
 SPLITS = ("train", "val", "test")
 PAD, UNKNOWN, FIRST_WORD_ID = 0, 1, 2
@@ -290,7 +291,8 @@ def augmented_by_synonyms(splits: DataFrame, synonyms: DataFrame, share: float,
                           text: str = "text", max_rows: int = 1_000) -> DataFrame:
     """Synonym replacement from a ``(word, synonym)`` table with one row per word.
 
-    A short table becomes a map inside the row; a long one is joined word by word.
+    A short table becomes a map inside the row; a long one is joined with the words whose chance has come.  Rows are told
+    apart by number, so keys may repeat.
     """
     table, is_small = bounded(synonyms.select("word", "synonym"), max_rows)
     if is_small:
@@ -298,14 +300,23 @@ def augmented_by_synonyms(splits: DataFrame, synonyms: DataFrame, share: float,
         with_map = splits.withColumn("_synonyms", mapping)
         both = augmented(with_map, lambda w, k: replace_words(w, F.col("_synonyms"), k, share, seed), "synonym", key, text)
         return both.drop("_synonyms")
-    train = splits.filter(F.col("split") == "train")
-    words = train.select(key, F.posexplode(_words(F.col(text))).alias("_i", "word"))
-    named = words.join(synonyms, "word", "left")
-    swap = F.when(unit(row_seed(key, f"{seed}-synonym"), F.col("_i")) < share, F.coalesce("synonym", "word")).otherwise(F.col("word"))
-    again = named.groupBy(key).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", swap.alias("w")))), lambda x: x["w"]), " ").alias(text)
-    )
-    altered = train.drop(text).join(again, key).select(splits.columns)
+    kept = [c for c in splits.columns if c != text]
+    train = splits.filter(F.col("split") == "train").select(*kept, F.monotonically_increasing_id().alias("_row"), _words(F.col(text)).alias("_words"))
+    train = materialize(train, "train-words")
+    # Only words that are swapped leave their row, and come back by the number of the row.
+    seeded = train.select("_row", "_words", F.explode(F.array(row_seed(key, f"{seed}-synonym"))).alias("_seed"))
+    words = seeded.select("_row", "_seed", F.posexplode("_words").alias("_i", "word")).filter(unit(F.col("_seed"), F.col("_i")) < share)
+    swaps = attach(words, synonyms.select("word", "synonym").filter(F.col("synonym").isNotNull()), "word")
+    lists = swaps.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_i", "synonym"))).alias("_swaps"))
+
+    def piece(swap: Column, j: Column) -> Column:
+        """The words between the swap before and this one, and the synonym."""
+        start = F.when(j == 0, 0).otherwise(F.get("_swaps", j - 1)["_i"] + 1)
+        return F.concat(F.slice("_words", start + 1, swap["_i"] - start), F.array(swap["synonym"]))
+
+    rest = F.slice("_words", F.element_at("_swaps", -1)["_i"] + 2, F.greatest(F.size("_words"), F.lit(1)))
+    swapped = F.when(F.col("_swaps").isNull(), F.col("_words")).otherwise(F.concat(F.flatten(F.transform("_swaps", piece)), rest))
+    altered = train.join(lists, "_row", "left").withColumn(text, F.array_join(swapped, " ")).select(splits.columns)
     return splits.withColumn("variant", F.lit("original")).unionByName(altered.withColumn("variant", F.lit("synonym")))
 
 

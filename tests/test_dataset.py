@@ -1,6 +1,7 @@
 import json
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from talkgauge.operators import neardup, prepare, profile
 from talkgauge.functions.hashing import hash_place, row_seed, unit
 from talkgauge.operators.scale import attach, bounded, hash_cuts, split_join
 from talkgauge.plans import dataset_jobs
+from talkgauge.session import materialize
 from talkgauge.sources import datasets
 
 SCHEMA = "text string, label string"
@@ -319,3 +321,12 @@ def test_length_warning_suggests_the_upper_quantile(spark):
     assert warned.cut_warning and warned.suggested_length == 6
     fine = profile.length_stats(rows, max_length=6).first()
     assert not fine.cut_warning and fine.suggested_length == 6
+
+
+def test_long_synonym_table_takes_rows_one_by_one(spark):
+    """Keys that repeat or are null: the path by join gives one altered copy for every row, as the path by map does."""
+    rows = [(i // 2, f"the cat {i} sat on the mat", "train") for i in range(20)] + [(None, "the cat", "train"), (50, "the the", "test"), (51, "", "train")]
+    df = spark.createDataFrame(rows, "id bigint, text string, split string")
+    synonyms = spark.createDataFrame([("cat", "dog"), ("mat", "rug"), ("the", "that"), ("sat", None)], "word string, synonym string")
+    a, b = (prepare.augmented_by_synonyms(df, synonyms, 0.5, max_rows=n).collect() for n in (1_000, 1))
+    assert Counter(a) == Counter(b) and len(b) == 45
