@@ -1,10 +1,16 @@
 """Near-duplicate texts: a prefix filter finds candidates, exact Jaccard decides.
 
 A text is flagged when its word 3-shingles agree by more than 95 % with those
-of an earlier text.  Copies are folded before.  Two such texts share a shingle
-among the rarest few of each, about 5 % of its shingles; texts meet on these
-only, so common passages bring nobody together.  The result equals comparing
-all pairs; work grows with the texts that share rare shingles.
+of an earlier text.  Copies are folded before.  In any one order of all
+shingles, two such texts share ``SHARED`` shingles among the first few of each,
+about 5 % of its shingles; texts meet on these only, and nothing else of a text
+is shuffled before.  The order is that of their hashes, but shingles which
+crowd these first places come later, the most frequent last, so common passages
+bring nobody together.  Which ones do is counted over the first places of all
+texts and kept for ``BUCKETS`` buckets of shingles: a rare shingle in the bucket
+of a frequent one comes later too, which changes the work, not the result.  The
+result equals comparing all pairs; work grows with the texts that share rare
+shingles.
 """
 
 from __future__ import annotations
@@ -18,6 +24,12 @@ from talkgauge.session import materialize
 
 SHINGLE_WORDS = 3
 LEAST_SIMILARITY = 0.95
+SHARED = 3
+# Shingles that more texts than CROWD have among their first ones come later; the first ones are chosen TURNS times at most.
+CROWD = 16
+TURNS = 4
+HASH_BITS = 58
+BUCKETS = 1 << 20
 
 
 def shingle_hashes(words: str) -> Column:
@@ -48,38 +60,67 @@ def copies_of(signed: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFram
     return split_join(digests, firsts, ["digest"], hot_rows=hot_rows).filter(F.col(key) != F.col("first")).select(key, "first")
 
 
-def prefixes(sets: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The rarest shingles of every text, as many as two similar texts cannot both lack.
+def least_shared(size: str) -> Column:
+    """Shingles that a text shares at least with any similar one."""
+    return F.floor(F.lit(LEAST_SIMILARITY) * F.col(size)) + 1
 
-    Shingles held by one text come first in that order and can be left out.
-    """
-    each = sets.select(key, "size", F.explode("shingles").alias("shingle"))
-    counts = materialize(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1), "counts")
-    shared = split_join(each, counts, ["shingle"], hot_rows=hot_rows)
-    listed = shared.groupBy(key, "size").agg(F.array_sort(F.collect_list(F.struct("_n", "shingle"))).alias("_all"))
-    alone = F.col("size") - F.size("_all")
-    length = (F.col("size") - F.floor(F.lit(LEAST_SIMILARITY) * F.col("size")) - alone).cast("int")
-    rarest = listed.select(key, "size", F.explode(F.slice("_all", F.lit(1), F.greatest(length, F.lit(0)))).alias("_s"))
-    return rarest.select(key, "size", F.col("_s.shingle").alias("shingle"))
 
+def prefixes(signed: DataFrame, key: str, levels: bytearray) -> DataFrame:
+    """The first shingles of every text, so many that two similar texts share ``SHARED`` of them (or all they share).
 
-def candidates(sets: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    A token is a shingle's hash behind the level of its bucket.
+    """
+    packed = signed.sparkSession.createDataFrame([(levels,)], "levels binary").scalar()
+    hashed = signed.select(key, "size", F.transform("shingles", lambda x: F.shiftrightunsigned(x, 64 - HASH_BITS)).alias("_t"))
+    if any(levels):
+        byte = lambda t: F.substring(F.col("_levels"), (t.bitwiseAND(BUCKETS - 1) + 1).cast("int"), F.lit(1))
+        level = lambda t: F.ascii(byte(t).cast("string")).cast("bigint")
+        hashed = hashed.withColumn("_levels", packed).select(
+            key, "size", F.transform("_t", lambda t: F.shiftleft(level(t), HASH_BITS).bitwiseOR(t)).alias("_t"))
+    length = F.col("size") - least_shared("size") + F.least(F.lit(SHARED), least_shared("size"))
+    return hashed.select(key, "size", F.slice(F.sort_array("_t"), F.lit(1), length.cast("int")).alias("tokens"))
+
+
+def rare_tokens(signed: DataFrame, copies: DataFrame, key: str) -> DataFrame:
+    """``key, size, token``: the first shingles of the texts that are no copies, in an order in which few texts share them."""
+    levels = bytearray(BUCKETS)
+    for turn in range(TURNS):
+        # Written before copies are taken out: only first shingles meet them.
+        firsts = materialize(prefixes(signed, key, levels), "prefixes")
+        rare = attach(firsts, copies.select(key), key, "left_anti").select(key, "size", F.explode("tokens").alias("token"))
+        if turn == TURNS - 1:
+            break
+        crowds = rare.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD)
+        bucket = F.col("token").bitwiseAND(BUCKETS - 1).cast("int").alias("bucket")
+        level = F.least(F.floor(F.log2(F.max("n"))), F.lit(2 ** (63 - HASH_BITS) - 1)).cast("int").alias("level")
+        # At most BUCKETS small rows, whatever the input.
+        found = [r for r in crowds.groupBy(bucket).agg(level).toArrow().to_pylist() if r["level"] > levels[r["bucket"]]]
+        if not found:
+            break
+        for r in found:
+            levels[r["bucket"]] = r["level"]
+    return rare
+
+
+def candidates(rare: DataFrame, key: str) -> DataFrame:
     """``(key, first)`` pairs of texts that may be similar, the second one earlier."""
-    rare = materialize(prefixes(sets, key, hot_rows), "prefixes")
-    other = rare.select(F.col(key).alias("first"), F.col("size").alias("_size"), "shingle")
+    other = rare.select(F.col(key).alias("first"), F.col("size").alias("_size"), "token")
     close = F.least("size", "_size") > F.lit(LEAST_SIMILARITY) * F.greatest("size", "_size")
-    return rare.join(other, "shingle").filter((F.col(key) > F.col("first")) & close).select(key, "first").distinct()
+    met = rare.join(other, "token").filter((F.col(key) > F.col("first")) & close)
+    counted = met.groupBy(key, "first", "size", "_size").agg(F.count(F.lit(1)).alias("_met"))
+    enough = F.col("_met") >= F.least(F.lit(SHARED), least_shared("size"), least_shared("_size"))
+    return counted.filter(enough).select(key, "first").distinct()
 
 
 def links(df: DataFrame, key: str = "doc_id", text: str = "text", hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
     """Exact copies as ``(key, first)``, and all similar pairs ``(key, first, similarity)`` of different texts, both written."""
     signed = materialize(with_shingles(df, key, text).withColumn("size", F.size("shingles")), "shingles")
     copies = materialize(copies_of(signed, key, hot_rows), "copies")
-    sets = materialize(attach(signed.drop("digest"), copies.select(key), key, "left_anti"), "originals")
-    pairs = candidates(sets, key, hot_rows)
-    both = pairs.join(sets.select(key, "shingles"), key).join(
-        sets.select(F.col(key).alias("first"), F.col("shingles").alias("_other")), "first"
-    )
+    pairs = materialize(candidates(rare_tokens(signed, copies, key), key), "pairs")
+    # Only texts of a pair are compared; copies are in none.
+    paired = materialize(pairs.select(F.explode(F.array(key, "first")).alias(key)).distinct(), "paired")
+    sets = materialize(signed.select(key, "shingles").join(paired, key, "left_semi"), "sets")
+    both = pairs.join(sets, key).join(sets.select(F.col(key).alias("first"), F.col("shingles").alias("_other")), "first")
     shared = F.size(F.array_intersect("shingles", "_other"))
     compared = both.select(key, "first", F.size("shingles").alias("_a"), F.size("_other").alias("_b"), shared.alias("_s"))
     similar = compared.withColumn("similarity", F.col("_s") / (F.col("_a") + F.col("_b") - F.col("_s")))

@@ -323,6 +323,17 @@ def test_length_warning_suggests_the_upper_quantile(spark):
     assert not fine.cut_warning and fine.suggested_length == 6
 
 
+def test_first_shingles_are_few_and_seldom_common(spark):
+    """Of each text about 5 % of its shingles meet others; a passage in all texts brings nobody together."""
+    common = " ".join(f"c{i}" for i in range(150))
+    df = spark.createDataFrame([(i, common + " " + " ".join(f"w{i}-{j}" for j in range(150))) for i in range(400)], "doc_id bigint, text string")
+    signed = materialize(neardup.with_shingles(df, "doc_id", "text").withColumn("size", F.size("shingles")), "signed")
+    none = spark.createDataFrame([], "doc_id bigint, first bigint")
+    rare = neardup.rare_tokens(signed, none, "doc_id").collect()
+    assert len(rare) == 400 * (298 - 284 + 3)
+    assert sum(n * n for n in Counter(r.token for r in rare).values()) < 2 * len(rare)
+
+
 def test_long_synonym_table_takes_rows_one_by_one(spark):
     """Keys that repeat or are null: the path by join gives one altered copy for every row, as the path by map does."""
     rows = [(i // 2, f"the cat {i} sat on the mat", "train") for i in range(20)] + [(None, "the cat", "train"), (50, "the the", "test"), (51, "", "train")]
