@@ -8,11 +8,10 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
 # Patterns, replacement tokens and limits that results depend on.
 TAG = r"<[^>]+>"
@@ -36,18 +35,37 @@ def _unicode(pattern: str) -> str:
     return "(?U)" + pattern.replace(r"\s", _BLANK).replace(r"\S", _SOLID)
 
 
-@pandas_udf(T.StringType())
-def _nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+# Characters that NFKC leaves as they are, whatever stands around them: no marks, no second half of a composition, no
+# compatibility forms.  Not all of them, but those of common scripts, punctuation and symbols.
+STABLE = (
+    (0x00, 0x9F), (0xA1, 0xA7), (0xA9, 0xA9), (0xAB, 0xAE), (0xB0, 0xB1), (0xB6, 0xB7), (0xBB, 0xBB), (0xBF, 0x131),
+    (0x134, 0x13E), (0x141, 0x148), (0x14A, 0x17E), (0x180, 0x1C3), (0x388, 0x38A), (0x38E, 0x3A1), (0x3A3, 0x3CF),
+    (0x400, 0x482), (0x48A, 0x52F), (0x1E00, 0x1E99), (0x2010, 0x2010), (0x2012, 0x2016), (0x2018, 0x2023),
+    (0x2030, 0x2032), (0x2039, 0x203A), (0x20AC, 0x20AC), (0x2190, 0x21FF), (0x2500, 0x27BF), (0x3001, 0x3029),
+    (0x3041, 0x3096), (0x30A1, 0x30FA), (0x30FC, 0x30FE), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0x1F300, 0x1F64F),
+)
+# Most characters are ASCII and pass at the first look.
+_UNSTABLE = r"(?![\x00-\x7F])[^" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in STABLE) + "]"
+_SLICE = 256
+
+
+@F.arrow_udf(T.StringType())
+def _nfkc(texts: pa.Array) -> pa.Array:
+    parts = [pa.array([], pa.string())]
+    # A few texts at a time: a batch is never whole in Python strings.
+    for at in range(0, len(texts), _SLICE):
+        some = texts.slice(at, _SLICE).to_pylist()
+        parts.append(pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in some], pa.string()))
+    return pa.concat_arrays(parts)
 
 
 def normalize(text: Column) -> Column:
     """NFKC form.
 
-    Plain ASCII is its own normal form, so only other texts cross to Python;
-    ASCII rows are sent as nulls and keep their value.
+    A text of ``STABLE`` characters alone is its own normal form, so only other
+    texts cross to Python; the others are sent as nulls and keep their value.
     """
-    foreign = F.when(text.rlike(r"[^\x00-\x7F]"), text)
+    foreign = F.when(text.rlike(_UNSTABLE), text)
     return F.coalesce(_nfkc(foreign), text)
 
 

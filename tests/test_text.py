@@ -91,3 +91,15 @@ def test_chain_equals_python_regexes(spark, texts):
 
 def test_long_run_without_at_sign_is_fast(spark):
     assert apply(spark, tc.mark_emails, "x" * 2_000_000) == ["x" * 2_000_000]
+
+
+def test_only_texts_that_may_change_are_normalized_in_python(spark):
+    seconds = {int(d.split()[1], 16) for d in map(unicodedata.decomposition, map(chr, range(0x110000))) if d and d[0] != "<" and " " in d}
+    seconds |= {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}
+    for a, b in tc.STABLE:
+        for c in range(a, b + 1):
+            assert unicodedata.normalize("NFKC", chr(c)) == chr(c) and not unicodedata.combining(chr(c)) and c not in seconds
+    texts = ["plain", "café Straße ñ – “quoted” Ж 漢字 한글 😀", "cafe\u0301", "…", "a\u00a0b", "x²"]
+    assert apply(spark, lambda t: t.rlike(tc._UNSTABLE), *texts) == [False, False, True, True, True, True]
+    many = [t for _ in range(200) for t in texts]
+    assert apply(spark, tc.normalize, *many) == [unicodedata.normalize("NFKC", t) for t in many]
