@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +18,7 @@ from talkgauge.session import materialize
 SPLITS = ("train", "val", "test")
 PAD, UNKNOWN, FIRST_WORD_ID = 0, 1, 2
 VOCABULARY = 30_000
+TOKENIZER_TEXTS = 256
 
 
 # --- labels ------------------------------------------------------------------------------
@@ -219,17 +220,23 @@ def tokenized(df: DataFrame, max_length: int = 256, text: str = "text",
     """Add ``input_ids`` and ``attention_mask``.
 
     Without a tokenizer, words are hashed in the JVM.  ``make_tokenizer()`` is
-    called once per task; its product maps a batch of texts to lists of ids.
+    called once per task; its product maps a list of at most ``TOKENIZER_TEXTS``
+    texts to sequences of ids.
     """
     if make_tokenizer is None:
         ids = df.withColumn("_ids", hashed_ids(textclean.present(F.col(text)), max_length))
     else:
 
-        @F.pandas_udf(T.ArrayType(T.IntegerType()))
-        def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.arrow_udf(T.ArrayType(T.IntegerType()))
+        def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             tokenizer = make_tokenizer()
             for batch in batches:
-                yield pd.Series([list(x) for x in tokenizer(batch.fillna("").tolist())], dtype=object)
+                parts = [pa.array([], pa.list_(pa.int32()))]
+                # A few texts at a time, cut at once: the ids of a batch are never whole in Python.
+                for at in range(0, len(batch), TOKENIZER_TEXTS):
+                    texts = ["" if t is None else t for t in batch.slice(at, TOKENIZER_TEXTS).to_pylist()]
+                    parts.append(pa.array([list(x[:max_length]) for x in tokenizer(texts)], pa.list_(pa.int32())))
+                yield pa.concat_arrays(parts)
 
         ids = df.withColumn("_ids", encode(F.col(text)))
     input_ids, mask = pad(F.col("_ids"), max_length)

@@ -341,3 +341,11 @@ def test_long_synonym_table_takes_rows_one_by_one(spark):
     synonyms = spark.createDataFrame([("cat", "dog"), ("mat", "rug"), ("the", "that"), ("sat", None)], "word string, synonym string")
     a, b = (prepare.augmented_by_synonyms(df, synonyms, 0.5, max_rows=n).collect() for n in (1_000, 1))
     assert Counter(a) == Counter(b) and len(b) == 45
+
+
+def test_plugged_in_tokenizer_gets_few_texts_at_a_time(spark):
+    df = spark.range(700).select("id", F.when(F.col("id") % 7 > 0, F.concat(F.lit("t"), "id")).alias("text")).coalesce(1)
+    made = prepare.tokenized(df, 4, make_tokenizer=lambda: lambda texts: [[len(texts), len(t), 7, 8, 9] for t in texts])
+    got = made.collect()
+    assert max(r.input_ids[0] for r in got) == prepare.TOKENIZER_TEXTS and len(got) == 700
+    assert all(r.input_ids[1:] == [len(r.text or ""), 7, 8] and r.attention_mask == [1] * 4 for r in got)
