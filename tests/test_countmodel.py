@@ -84,6 +84,16 @@ def test_search_scores_every_trial_as_a_fit_of_its_own(spark):
     assert countmodel.best_alpha(trials) in alphas
 
 
+def test_search_in_several_passes(spark, monkeypatch):
+    """More smoothings than one pass holds, texts without words, rows without a label, and no row at all to learn from."""
+    df = spark.createDataFrame([*made(), (900, "", 0, 0), (901, None, 1, 0), (902, "new words only", None, 0)], ROWS)
+    alphas = (0.001, 0.1, 0.5, 2.0, 30.0)
+    whole = sorted(countmodel.search(df.filter("id < 900"), df, alphas)[0].collect())
+    monkeypatch.setattr(countmodel, "TRIAL_SUMS", 4)
+    assert sorted(countmodel.search(df.filter("id < 900"), df, alphas)[0].collect()) == whole and len(whole) == 5
+    assert countmodel.search(df.limit(0), df, alphas)[0].count() == 5
+
+
 def test_typos_lower_accuracy(spark):
     df = spark.createDataFrame([(i, "alpha beta gamma" if i % 2 else "delta epsilon zeta", i % 2) for i in range(60)], "id bigint, text string, label int")
     got = {r.typo_share: r for r in countmodel.robustness(df, countmodel.fit(df), (0.0, 1.1)).collect()}
