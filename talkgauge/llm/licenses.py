@@ -3,8 +3,8 @@
 A paragraph is a line, or a window of ``WINDOW`` words, one every ``STEP``, that runs over several lines or lies in a longer
 line: so wrapped notices are read whole, also over blank lines.  Its words and word pairs, hashed into a sparse vector, go
 through a multinomial logistic regression over the licence families and an unknown class.  Training rows are the templates in
-several disguises and a bounded sample of ordinary lines (about ``BACKGROUND``).  Half of the sample is kept to calibrate: a
-family must be likelier than all but ``FALSE_SHARE`` of these lines make any family.  A prediction counts if the paragraph
+several disguises and one half of all distinct ordinary lines of the table, which together weigh as ``BACKGROUND / 2`` lines at
+most.  The other half is kept to calibrate: a family must be likelier than all but ``FALSE_SHARE`` of these lines make any family.  A prediction counts if the paragraph
 holds ``CONFIRM`` of the words and word pairs of a template of that family.  Paragraphs that hold no word of ``marks`` could
 not be confirmed and are not scored; that loses nothing.  Scoring is Spark ML and column expressions alone.
 
@@ -18,8 +18,9 @@ a text the window must still hold ``CONFIRM``.
 
 from __future__ import annotations
 
+import math
 import random
-from collections import Counter
+from collections.abc import Mapping
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
@@ -29,6 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from talkgauge.llm.common import no_null
+from talkgauge.session import materialize
 
 # Short notices by which licences are named.
 TEMPLATES = {
@@ -48,6 +50,8 @@ TEMPLATES = {
 FAMILIES = ("unknown", *TEMPLATES)
 BACKGROUND = 4_000
 DISGUISES = 12
+# Words around disguised templates: some times as many are drawn from the words of the lines it learns from.
+AROUND = 4_000
 FALSE_SHARE = 0.001
 CONFIRM = 0.75
 # Windows of about the length of the training rows; any notice of up to WINDOW - STEP + 1 words is whole in one of them.
@@ -95,16 +99,15 @@ def holds(terms: Column, family: Column, templates: list) -> Column:
     return out
 
 
-def marks(templates: list, background: list) -> list[str]:
+def marks(templates: list, common: Mapping[str, int]) -> list[str]:
     """Words of which a paragraph must hold one to hold ``CONFIRM`` of any template.
 
-    Of each template as many words, the rarest of the background first, as leave too few terms for it when all of them
-    and their pairs are missing.
+    Of each template as many words, the rarest in ordinary lines first, as leave too few terms for it when all of them
+    and their pairs are missing.  ``common`` counts the ordinary lines that hold a word.
     """
-    common = Counter(t for terms in background for t in terms)
     out = set()
     for r in templates:
-        words, chosen = sorted((t for t in r.terms if " " not in t), key=lambda w: (common[w], w)), set()
+        words, chosen = sorted((t for t in r.terms if " " not in t), key=lambda w: (common.get(w, 0), w)), set()
         while sum(chosen.isdisjoint(t.split(" ")) for t in r.terms) >= CONFIRM * len(r.terms):
             chosen.add(words[len(chosen)])
         out |= chosen
@@ -115,35 +118,57 @@ def _vectors(df: DataFrame) -> DataFrame:
     return HashingTF(numFeatures=WIDTH, binary=True, inputCol="terms", outputCol="x").transform(df)
 
 
+def _ordinary(docs: DataFrame, templates: list, key: str, text: str) -> DataFrame:
+    """All distinct lines that share no word pair with a template, stored as features: those and the words of templates that
+    a line holds, the words drawn from it, and whether it is kept to calibrate."""
+    known = sorted({t for r in templates for t in r.terms})
+    letters = docs.agg(F.sum(F.length(text))).first()[0] or 0
+    share = min(1.0, 16 * AROUND / max(1, letters))
+    # Only words are shuffled; terms and features are made once for each distinct line.
+    plain = lines_of(docs, key, text).select(F.concat_ws(" ", words_of(F.col("body"))).alias("body")).distinct().filter("body != ''")
+    worded = plain.select(F.explode(F.array(F.struct(F.xxhash64("body").alias("line"), F.split("body", " ").alias("words")))).alias("p")).select("p.*")
+    termed = worded.select("line", "words", F.explode(F.array(terms_of("words"))).alias("terms"))
+    held = F.explode(F.array(F.filter("terms", lambda t: t.isin(known)))).alias("held")
+    marked = termed.select("line", "words", "terms", held).filter(~F.exists("held", lambda t: F.contains(t, F.lit(" "))))
+    small = lambda t: F.pmod(F.xxhash64("line", t), F.lit(_PARTS)) < int(share * _PARTS)
+    made = _vectors(marked).select("x", "held", F.filter("words", small).alias("drawn"), (F.pmod("line", F.lit(2)) == 1).alias("kept"))
+    return materialize(made, "ordinary")
+
+
+def _least(model: LogisticRegressionModel, kept: DataFrame) -> float:
+    """The least probability that all but ``FALSE_SHARE`` of the lines stay at or below, at least 0.5."""
+    likely = model.transform(kept).select((1 - vector_to_array("probability")[0]).alias("p"))
+    n, above = likely.agg(F.count("*"), F.count(F.when(F.col("p") > 0.5, 1))).first()
+    allowed = n - math.ceil((1 - FALSE_SHARE) * n)
+    if above <= allowed:
+        return 0.5
+    return likely.filter("p > 0.5").orderBy(F.desc("p")).limit(allowed + 1).agg(F.min("p")).first()[0]
+
+
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[LogisticRegressionModel, float, list, list[str]]:
     """The classifier, the least probability a family needs, the templates with their terms, and the marks."""
     spark = docs.sparkSession
     templates = _templates(docs).collect()
-    named = sorted({t for r in templates for t in r.terms if " " in t})
-    # About BACKGROUND lines, those whose hash is small; ordinary ones share no word pair with a template.  Terms are
-    # made for these alone, and neither texts nor terms of other lines are shuffled.
-    lines = lines_of(docs, key, text)
-    share = min(1.0, BACKGROUND / max(1, lines.count()))
-    some = lines.filter(F.pmod(F.xxhash64("id", "line", "body"), F.lit(_PARTS)) < int(share * _PARTS))
-    ordinary = paragraphs(some).filter(~F.arrays_overlap("terms", F.array(*map(F.lit, named))))
-    background = sorted(r.terms for r in ordinary.select("terms").distinct().collect())
+    ordinary = _ordinary(docs, templates, key, text)
+    learned, calibrating = ordinary.filter("not kept"), ordinary.filter("kept")
+    weight = min(1.0, BACKGROUND / max(1, ordinary.count()))
+    common = dict(ordinary.select(F.explode("held").alias("w")).groupBy("w").count().collect())
+    # No word of a line kept to calibrate teaches a family.
+    around = sorted(r.w for r in learned.select(F.explode("drawn").alias("w")).collect()) or ["word"]
     rng = random.Random(_SEED)
-    rng.shuffle(background)
-    around = [t for terms in background[:200] for t in terms if " " not in t] or ["word"]
-    rows = [(0.0, terms) for terms in background[::2]]
+    rows = []
     for r in templates:
         for i in range(DISGUISES):
             extra = rng.sample(around, min(len(around), rng.randrange(0, 12))) if i else []
             kept = [t for t in r.terms if not i or rng.random() > 0.1]
             rows.append((float(FAMILIES.index(r.family)), kept + extra))
-    data = _vectors(spark.createDataFrame(rows, "label double, terms array<string>"))
-    model = LogisticRegression(featuresCol="x", labelCol="label", family="multinomial", maxIter=40, regParam=0.001).fit(data)
-    least = 0.5
-    if background[1::2]:
-        kept = _vectors(spark.createDataFrame([(t,) for t in background[1::2]], "terms array<string>"))
-        likely = model.transform(kept).select((1 - vector_to_array("probability")[0]).alias("p"))
-        least = max(least, likely.approxQuantile("p", [1 - FALSE_SHARE], 0.0)[0])
-    return model, least, templates, marks(templates, background)
+    named = _vectors(spark.createDataFrame(rows, "label double, terms array<string>")).select("x", "label", F.lit(1.0).alias("weight"))
+    unknown = learned.select("x", F.lit(0.0).alias("label"), F.lit(weight).alias("weight"))
+    # Each step sums one gradient of all classes per partition and block, so both are few and large.
+    data = unknown.coalesce(max(1, unknown.rdd.getNumPartitions() // 2)).unionByName(named.coalesce(1))
+    model = LogisticRegression(featuresCol="x", labelCol="label", weightCol="weight", family="multinomial", maxIter=40, regParam=0.001,
+                               maxBlockSizeInMB=16).fit(data)
+    return model, _least(model, calibrating), templates, marks(templates, common)
 
 
 def marked_paragraphs(docs: DataFrame, marked: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -218,6 +218,34 @@ def test_a_weaker_notice_beside_a_whole_one_stays(spark):
     assert got == {(1, 0, "Apache-2.0"), (2, 0, "Apache-2.0"), (2, 1, "MIT"), (3, 1, "MIT"), (3, 2, "Apache-2.0")}
 
 
+def test_classifier_learns_from_all_ordinary_lines(spark, monkeypatch):
+    monkeypatch.setattr(licenses, "BACKGROUND", 2)
+    lines = [f"river{i} stone {'affero' if i % 5 == 0 else 'bridge'} field{i % 7}" for i in range(400)]
+    rows = [(i, "\n".join(lines[i : i + 8])) for i in range(0, 400, 4)] + [(1000, None), (None, lines[0]), (1001, "Released under the MIT License.")]
+    model, least, templates, marked = licenses.train(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    taught = model.summary.predictions.groupBy("label").count().collect()
+    taught = {int(r["label"]): r["count"] for r in taught}
+    assert 150 <= taught.pop(0) <= 250 and sum(taught.values()) == licenses.DISGUISES * len(templates)
+    # Counted over all lines, "affero" is no rare word.
+    assert "affero" not in marked and {"agpl", "gnu"} & set(marked)
+    # However many ordinary lines there are, each template is still known.
+    scored = licenses._vectors(spark.createDataFrame([(r.family, r.terms) for r in templates], "family string, terms array<string>"))
+    assert all(licenses.FAMILIES[int(r.prediction)] == r.family for r in model.transform(scored).collect()) and least >= 0.5
+
+
+def test_threshold_is_exceeded_by_its_share_of_all_lines(spark, monkeypatch):
+    docs = table(spark, MORE, "documents").select("doc_id", "text").limit(100)
+    model, _, templates, _ = licenses.train(docs)
+    kept = licenses._vectors(licenses.paragraphs(licenses.lines_of(docs)).select("terms").unionByName(
+        spark.createDataFrame([(list(r.terms)[i:],) for r in templates for i in range(3)], "terms array<string>"))).cache()
+    likely = sorted(1 - r.probability[0] for r in model.transform(kept).collect())
+    for share in (0.001, 0.05, 0.5):
+        monkeypatch.setattr(licenses, "FALSE_SHARE", share)
+        want = max(0.5, likely[int(np.ceil((1 - share) * len(likely))) - 1])
+        assert licenses._least(model, kept) == pytest.approx(want, abs=1e-12)
+    assert licenses._least(model, kept.limit(0)) == 0.5
+
+
 def test_marks_lose_no_paragraph_that_could_be_confirmed(spark):
     docs = table(spark, MORE, "documents").select("doc_id", "text")
     _, _, templates, marked = licenses.train(docs)
