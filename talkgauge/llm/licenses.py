@@ -65,10 +65,14 @@ def words_of(line: Column) -> Column:
     return F.filter(F.split(F.lower(line), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def pairs_of(words: str) -> Column:
+    before = F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))
+    return F.transform(before, lambda w, i: F.concat(w, F.lit(" "), F.get(words, i + 1)))
+
+
 def terms_of(words: str) -> Column:
     """Distinct words and word pairs of a column of words."""
-    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.array_distinct(F.concat(F.col(words), F.filter(pairs, lambda p: p.isNotNull())))
+    return F.array_distinct(F.concat(F.col(words), pairs_of(words)))
 
 
 def lines_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -118,31 +122,58 @@ def _vectors(df: DataFrame) -> DataFrame:
     return HashingTF(numFeatures=WIDTH, binary=True, inputCol="terms", outputCol="x").transform(df)
 
 
+def _plain(docs: DataFrame, templates: list, key: str, text: str) -> DataFrame:
+    """All lines that share no word pair with a template, equal ones too: two hashes of the words, the words, those of them
+    that templates hold, and whether the line is kept to calibrate."""
+    known = sorted({t for r in templates for t in r.terms if " " not in t})
+    pairs = sorted({t for r in templates for t in r.terms if " " in t})
+    body = F.trim(F.regexp_replace(F.lower("body"), r"[^\p{L}\p{N}]+", " "))
+    # Generators keep what they make from being computed again.
+    lines = lines_of(docs, key, text).select(F.explode(F.array(body)).alias("body")).filter("body != ''")
+    worded = lines.select("body", F.explode(F.array(F.struct(F.xxhash64("body").alias("line"), F.split("body", " ").alias("words")))).alias("p"))
+    held = F.array_distinct(F.filter("words", lambda w: w.isin(known)))
+    marked = worded.select("body", "p.*").select("*", F.explode(F.array(held)).alias("held"))
+    other = marked.filter((F.size("held") == 0) | ~F.exists(pairs_of("words"), lambda p: p.isin(pairs)))
+    return other.select("line", F.xxhash64("line", "body").alias("check"), "body", "words", "held", (F.pmod("line", F.lit(2)) == 1).alias("kept"))
+
+
+def _features(lines: DataFrame, *others: str) -> DataFrame:
+    # Equal terms fall into one place of the binary vector.
+    return _vectors(lines.select(*others, F.explode(F.array(F.concat("words", pairs_of("words")))).alias("terms"))).drop("terms")
+
+
 def _ordinary(docs: DataFrame, templates: list, key: str, text: str) -> DataFrame:
-    """All distinct lines that share no word pair with a template, stored as features: those and the words of templates that
-    a line holds, the words drawn from it, and whether it is kept to calibrate."""
-    known = sorted({t for r in templates for t in r.terms})
+    """All distinct lines that share no word pair with a template, stored: the words of templates that a line holds, whether
+    it is kept to calibrate, and, of those that are not, their features and the words drawn from them."""
     letters = docs.agg(F.sum(F.length(text))).first()[0] or 0
     share = min(1.0, 16 * AROUND / max(1, letters))
-    # Only words are shuffled; terms and features are made once for each distinct line.
-    plain = lines_of(docs, key, text).select(F.concat_ws(" ", words_of(F.col("body"))).alias("body")).distinct().filter("body != ''")
-    worded = plain.select(F.explode(F.array(F.struct(F.xxhash64("body").alias("line"), F.split("body", " ").alias("words")))).alias("p")).select("p.*")
-    termed = worded.select("line", "words", F.explode(F.array(terms_of("words"))).alias("terms"))
-    held = F.explode(F.array(F.filter("terms", lambda t: t.isin(known)))).alias("held")
-    marked = termed.select("line", "words", "terms", held).filter(~F.exists("held", lambda t: F.contains(t, F.lit(" "))))
+    # Of a line kept to calibrate only hashes are shuffled, and of the others only the words.
+    once = _plain(docs, templates, key, text).select("line", "check", "kept", F.when(~F.col("kept"), F.col("body")).alias("body"), "held").distinct()
+    worded = once.select("line", "held", "kept", F.when(F.col("kept"), F.array().cast("array<string>")).otherwise(F.split("body", " ")).alias("words"))
     small = lambda t: F.pmod(F.xxhash64("line", t), F.lit(_PARTS)) < int(share * _PARTS)
-    made = _vectors(marked).select("x", "held", F.filter("words", small).alias("drawn"), (F.pmod("line", F.lit(2)) == 1).alias("kept"))
+    made = _features(worded.withColumn("drawn", F.filter("words", small)), "held", "drawn", "kept")
     return materialize(made, "ordinary")
 
 
-def _least(model: LogisticRegressionModel, kept: DataFrame) -> float:
-    """The least probability that all but ``FALSE_SHARE`` of the lines stay at or below, at least 0.5."""
-    likely = model.transform(kept).select((1 - vector_to_array("probability")[0]).alias("p"))
-    n, above = likely.agg(F.count("*"), F.count(F.when(F.col("p") > 0.5, 1))).first()
+def _calibrating(docs: DataFrame, templates: list, key: str, text: str) -> DataFrame:
+    """Hashes and features of the lines kept to calibrate, equal ones too: made again, as stored features take more disk."""
+    return _features(_plain(docs, templates, key, text).filter("kept"), "line", "check")
+
+
+def _least(model: LogisticRegressionModel, kept: DataFrame, n: int | None = None) -> float:
+    """The least probability that all but ``FALSE_SHARE`` of the lines stay at or below, at least 0.5.
+
+    With the number ``n`` of different lines, lines of equal hashes count once.
+    """
+    place = [] if n is None else ["line", "check"]
+    # A generator keeps the probability from being computed again for the filter.
+    likely = model.transform(kept).select(*place, F.explode(F.array(1 - vector_to_array("probability")[0])).alias("p")).filter("p > 0.5")
+    likely = materialize(likely if n is None else likely.distinct(), "likely")
+    n, above = kept.count() if n is None else n, likely.count()
     allowed = n - math.ceil((1 - FALSE_SHARE) * n)
     if above <= allowed:
         return 0.5
-    return likely.filter("p > 0.5").orderBy(F.desc("p")).limit(allowed + 1).agg(F.min("p")).first()[0]
+    return likely.orderBy(F.desc("p")).limit(allowed + 1).agg(F.min("p")).first()[0]
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[LogisticRegressionModel, float, list, list[str]]:
@@ -150,8 +181,9 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Log
     spark = docs.sparkSession
     templates = _templates(docs).collect()
     ordinary = _ordinary(docs, templates, key, text)
-    learned, calibrating = ordinary.filter("not kept"), ordinary.filter("kept")
-    weight = min(1.0, BACKGROUND / max(1, ordinary.count()))
+    learned = ordinary.filter("not kept")
+    lines, calibrating = ordinary.agg(F.count("*"), F.count_if("kept")).first()
+    weight = min(1.0, BACKGROUND / max(1, lines))
     common = dict(ordinary.select(F.explode("held").alias("w")).groupBy("w").count().collect())
     # No word of a line kept to calibrate teaches a family.
     around = sorted(r.w for r in learned.select(F.explode("drawn").alias("w")).collect()) or ["word"]
@@ -168,14 +200,17 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Log
     data = unknown.coalesce(max(1, unknown.rdd.getNumPartitions() // 2)).unionByName(named.coalesce(1))
     model = LogisticRegression(featuresCol="x", labelCol="label", weightCol="weight", family="multinomial", maxIter=40, regParam=0.001,
                                maxBlockSizeInMB=16).fit(data)
-    return model, _least(model, calibrating), templates, marks(templates, common)
+    least = _least(model, _calibrating(docs, templates, key, text), calibrating)
+    return model, least, templates, marks(templates, common)
 
 
 def marked_paragraphs(docs: DataFrame, marked: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
     """Lines and windows that hold a mark: document row, id, line, first and last word, whether on one line, and terms."""
     some = F.array(*map(F.lit, marked))
     body = no_null(text)
-    near = docs.filter(F.lower(body).rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(marked)})(?![\p{{L}}\p{{N}}])"))
+    # Looking for a mark's first letter before anything else spares most places of a text the rest.
+    first = "".join(sorted({m[0] for m in marked}))
+    near = docs.filter(F.lower(body).rlike(rf"(?=[{first}])(?<![\p{{L}}\p{{N}}])(?:{'|'.join(marked)})(?![\p{{L}}\p{{N}}])"))
     cut = near.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("id"), F.explode(F.array(F.transform(F.split(body, "\n"), words_of))).alias("lines"))
     flat = F.flatten(F.transform("lines", lambda ws, i: F.transform(ws, lambda w: F.struct(i.alias("l"), w.alias("w")))))
     worded = cut.select("row", "id", "lines", F.explode(F.array(flat)).alias("words"))

@@ -233,6 +233,28 @@ def test_classifier_learns_from_all_ordinary_lines(spark, monkeypatch):
     assert all(licenses.FAMILIES[int(r.prediction)] == r.family for r in model.transform(scored).collect()) and least >= 0.5
 
 
+def test_lines_kept_to_calibrate_are_stored_without_features(spark, monkeypatch):
+    monkeypatch.setattr(licenses, "BACKGROUND", 2)
+    monkeypatch.setattr(licenses, "FALSE_SHARE", 0.1)
+    stored = {}
+    monkeypatch.setattr(licenses, "materialize", lambda df, name, write=licenses.materialize: stored.setdefault(name, write(df, name)))
+    lines = [f"river{i} {('affero', 'stone', 'gnu', 'mozilla')[i % 4]} field{i % 7} {('bridge', 'lesser')[i % 3 == 0]} bank{i}" for i in range(600)]
+    # Each line comes three times, in other letters and marks, and in rows without an id or of the same id.
+    rows = [(i % 50 or None, "\n".join([f"* {a.upper()}!", f"{a}  ", "--", lines[i - 1].replace(" ", ", ")])) for i, a in enumerate(lines)] + [(1, None), (2, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    model, least, templates, _ = licenses.train(docs)
+    known = {t for r in templates for t in r.terms}
+    ordinary = stored["ordinary"].collect()
+    assert len(ordinary) == 600 and 250 <= sum(r.kept for r in ordinary) <= 350
+    assert all((r.x.numNonzeros() == 0) == r.kept for r in ordinary)
+    # Their words are counted, and their probabilities make the threshold, each line once.
+    assert sorted(w for r in ordinary for w in r.held) == sorted(w for a in lines for w in a.split(" ") if w in known)
+    plain = spark.createDataFrame([(a, a.split(" ")) for a in lines], "body string, words array<string>").filter("pmod(xxhash64(body), 2) = 1")
+    likely = sorted(1 - r.probability[0] for r in model.transform(licenses._vectors(plain.withColumn("terms", licenses.terms_of("words")))).collect())
+    assert len(likely) == sum(r.kept for r in ordinary) and likely[-1] > 0.5
+    assert least == pytest.approx(max(0.5, likely[int(np.ceil(0.9 * len(likely))) - 1]), abs=1e-12) and least > 0.5
+
+
 def test_threshold_is_exceeded_by_its_share_of_all_lines(spark, monkeypatch):
     docs = table(spark, MORE, "documents").select("doc_id", "text").limit(100)
     model, _, templates, _ = licenses.train(docs)
