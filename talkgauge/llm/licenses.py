@@ -122,24 +122,34 @@ def _vectors(df: DataFrame) -> DataFrame:
     return HashingTF(numFeatures=WIDTH, binary=True, inputCol="terms", outputCol="x").transform(df)
 
 
-def _plain(docs: DataFrame, templates: list, key: str, text: str) -> DataFrame:
+def _plain(docs: DataFrame, templates: list, key: str, text: str, kept: bool | None = None) -> DataFrame:
     """All lines that share no word pair with a template, equal ones too: two hashes of the words, the words, those of them
-    that templates hold, and whether the line is kept to calibrate."""
+    that templates hold, and whether the line is kept to calibrate.  ``kept`` leaves only lines that are, or are not."""
     known = sorted({t for r in templates for t in r.terms if " " not in t})
     pairs = sorted({t for r in templates for t in r.terms if " " in t})
+    firsts = sorted({p.split(" ")[0] for p in pairs})
     body = F.trim(F.regexp_replace(F.lower("body"), r"[^\p{L}\p{N}]+", " "))
     # Generators keep what they make from being computed again.
     lines = lines_of(docs, key, text).select(F.explode(F.array(body)).alias("body")).filter("body != ''")
-    worded = lines.select("body", F.explode(F.array(F.struct(F.xxhash64("body").alias("line"), F.split("body", " ").alias("words")))).alias("p"))
+    hashed = lines.select("body", F.explode(F.array(F.xxhash64("body"))).alias("line")).withColumn("kept", F.pmod("line", F.lit(2)) == 1)
+    hashed = hashed if kept is None else hashed.filter(F.col("kept") == kept)
+    worded = hashed.select("body", "line", "kept", F.explode(F.array(F.split("body", " "))).alias("words"))
     held = F.array_distinct(F.filter("words", lambda w: w.isin(known)))
-    marked = worded.select("body", "p.*").select("*", F.explode(F.array(held)).alias("held"))
-    other = marked.filter((F.size("held") == 0) | ~F.exists(pairs_of("words"), lambda p: p.isin(pairs)))
-    return other.select("line", F.xxhash64("line", "body").alias("check"), "body", "words", "held", (F.pmod("line", F.lit(2)) == 1).alias("kept"))
+    marked = worded.select("*", F.explode(F.array(held)).alias("held"))
+    # Few words begin a pair of a template, so few pairs are made.  The last word has no next one: its pair is null.
+    shared = F.filter("words", lambda w, i: w.isin(firsts) & F.concat(w, F.lit(" "), F.get("words", i + 1)).isin(pairs))
+    other = marked.filter((F.size("held") == 0) | (F.size(shared) == 0))
+    return other.select("line", F.xxhash64("line", "body").alias("check"), "body", "words", "held", "kept")
 
 
 def _features(lines: DataFrame, *others: str) -> DataFrame:
-    # Equal terms fall into one place of the binary vector.
-    return _vectors(lines.select(*others, F.explode(F.array(F.concat("words", pairs_of("words")))).alias("terms"))).drop("terms")
+    """Features of lines by ``body``, words with one space between, none for null.  Equal terms fall into one place."""
+    # Each word after a space ends one term and begins the next: one pass over the text, where a lambda would be called for
+    # each pair.  The last word comes twice.
+    paired = F.regexp_replace("body", " ([^ ]+)", " $1\n$1")
+    terms = F.split(F.concat(F.replace("body", F.lit(" "), F.lit("\n")), F.lit("\n"), paired), "\n")
+    termed = F.coalesce(terms, F.array().cast("array<string>"))
+    return _vectors(lines.select(*others, F.explode(F.array(termed)).alias("terms"))).drop("terms")
 
 
 def _ordinary(docs: DataFrame, templates: list, key: str, text: str) -> DataFrame:
@@ -149,15 +159,14 @@ def _ordinary(docs: DataFrame, templates: list, key: str, text: str) -> DataFram
     share = min(1.0, 16 * AROUND / max(1, letters))
     # Of a line kept to calibrate only hashes are shuffled, and of the others only the words.
     once = _plain(docs, templates, key, text).select("line", "check", "kept", F.when(~F.col("kept"), F.col("body")).alias("body"), "held").distinct()
-    worded = once.select("line", "held", "kept", F.when(F.col("kept"), F.array().cast("array<string>")).otherwise(F.split("body", " ")).alias("words"))
     small = lambda t: F.pmod(F.xxhash64("line", t), F.lit(_PARTS)) < int(share * _PARTS)
-    made = _features(worded.withColumn("drawn", F.filter("words", small)), "held", "drawn", "kept")
-    return materialize(made, "ordinary")
+    drawn = F.coalesce(F.filter(F.split("body", " "), small), F.array().cast("array<string>"))
+    return materialize(_features(once.withColumn("drawn", drawn), "held", "drawn", "kept"), "ordinary")
 
 
 def _calibrating(docs: DataFrame, templates: list, key: str, text: str) -> DataFrame:
     """Hashes and features of the lines kept to calibrate, equal ones too: made again, as stored features take more disk."""
-    return _features(_plain(docs, templates, key, text).filter("kept"), "line", "check")
+    return _features(_plain(docs, templates, key, text, kept=True), "line", "check")
 
 
 def _least(model: LogisticRegressionModel, kept: DataFrame, n: int | None = None) -> float:

@@ -255,6 +255,24 @@ def test_lines_kept_to_calibrate_are_stored_without_features(spark, monkeypatch)
     assert least == pytest.approx(max(0.5, likely[int(np.ceil(0.9 * len(likely))) - 1]), abs=1e-12) and least > 0.5
 
 
+def test_calibrating_lines_alone_have_the_features_of_their_terms(spark):
+    lines = ["river", "the the the the", "* ÉTÉ, été--\u00dcber!", "version of the stone 12 12", "under the License of rivers", "gnu", "a1 b2 a1 b2 c3", "\t of ", ""]
+    lines += [f"the river{i}  of, license{i % 3} bank{i}" for i in range(40)]
+    docs = spark.createDataFrame([(None, "\n".join(lines)), (1, None), (2, lines[0]), (2, lines[4])], "doc_id bigint, text string")
+    templates = licenses._templates(docs).collect()
+    plain = licenses._plain(docs, templates, "doc_id", "text")
+    alone = licenses._plain(docs, templates, "doc_id", "text", kept=True)
+    assert sorted(map(str, alone.collect())) == sorted(map(str, plain.filter("kept").collect())) and 10 < alone.count() < 35
+    # Of lines that share a pair with a template only those are left out.
+    pairs = {t for r in templates for t in r.terms if " " in t}
+    bodies = [" ".join(w for w in re.split(r"[\W_]+", a.lower()) if w) for a in [*lines, lines[0], lines[4]]]
+    assert sorted(r.body for r in plain.collect()) == sorted(b for b in bodies if b and pairs.isdisjoint(map(" ".join, zip(b.split(), b.split()[1:], strict=False))))
+    want = {r.body: r.x for r in licenses._vectors(plain.withColumn("terms", licenses.terms_of("words"))).collect()}
+    assert {r.body: r.x for r in licenses._features(plain, "body").collect()} == want
+    # A line without a body, as the stored ones kept to calibrate, has no features.
+    assert licenses._features(plain.limit(1).withColumn("body", F.lit(None).cast("string"))).first().x.numNonzeros() == 0
+
+
 def test_threshold_is_exceeded_by_its_share_of_all_lines(spark, monkeypatch):
     docs = table(spark, MORE, "documents").select("doc_id", "text").limit(100)
     model, _, templates, _ = licenses.train(docs)
